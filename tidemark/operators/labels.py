@@ -22,25 +22,33 @@ def label_table(spark: SparkSession, intervals=fv.LABEL_INTERVALS) -> DataFrame:
 
 
 def flag_overlap(
-    windows: DataFrame, labels: DataFrame, spec: GridSpec, min_fraction: float = 0.10, inline_limit: int = INLINE_INTERVALS
+    windows: DataFrame, labels: DataFrame | list, spec: GridSpec, min_fraction: float = 0.10, inline_limit: int = INLINE_INTERVALS
 ) -> DataFrame:
     """``is_anomaly``: some single interval covers at least ``min_fraction`` of the window.
 
-    A short label list (its size is measured) becomes one array tested in place.
-    A long one is cut into time bins: both sides meet on the bin in a salted
+    ``labels`` is a list of ``(start, end, ...)`` texts or a table ``start, end``.
+    A list, or a table measured to be short, becomes one array tested in place. A
+    long table is cut into time bins: both sides meet on the bin in a salted
     semi join, which yields a window at most once and never lists pairs.
     """
-    fixed = settle(labels.select(F.unix_seconds("start").alias("ls"), F.unix_seconds("end").alias("le")).distinct())
     ws, we = F.unix_seconds("start_ts"), F.unix_seconds("end_ts")
 
     def covered(ls, le, ws, we):
         samples = F.floor((F.least(le, we) - F.greatest(ls, ws)) / spec.step_seconds) + 1
         return (ws <= le) & (we >= ls) & (samples / spec.length >= F.lit(min_fraction))
 
+    def flagged(listed):
+        return F.exists(listed, lambda x: covered(x["ls"], x["le"], ws, we))
+
+    if isinstance(labels, list):
+        ends = [[F.unix_seconds(F.to_timestamp(F.lit(t))) for t in row[:2]] for row in labels]
+        if not ends:
+            return windows.withColumn("is_anomaly", F.lit(False))
+        return windows.withColumn("is_anomaly", flagged(F.array(*[F.struct(a.alias("ls"), b.alias("le")) for a, b in ends])))
+    fixed = settle(labels.select(F.unix_seconds("start").alias("ls"), F.unix_seconds("end").alias("le")).distinct())
     if fixed.rows <= inline_limit:
         listed = fixed.df.agg(F.collect_list(F.struct("ls", "le")).alias("_labels"))
-        hit = F.exists("_labels", lambda x: covered(x["ls"], x["le"], ws, we))
-        return attach_scalar(windows, listed).withColumn("is_anomaly", hit).drop("_labels")
+        return attach_scalar(windows, listed).withColumn("is_anomaly", flagged("_labels")).drop("_labels")
     return _flag_by_bins(windows, fixed.df, spec, covered)
 
 

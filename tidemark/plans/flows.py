@@ -13,11 +13,11 @@ from tidemark.operators import localise as loc
 from tidemark.operators import score as sc
 from tidemark.operators.grid import regular_windows
 from tidemark.operators.labels import assign_splits, flag_edge_cases, flag_overlap
-from tidemark.session import attach, settle
+from tidemark.session import Sized, attach, settle
 
 
 def prepare(
-    buckets: DataFrame, labels: DataFrame, grid: GridSpec, splits: SplitSpec, edge_starts=(), min_fraction: float = 0.10
+    buckets: DataFrame, labels: DataFrame | list, grid: GridSpec, splits: SplitSpec, edge_starts=(), min_fraction: float = 0.10
 ) -> DataFrame:
     """Slot counts to labelled, split, dense windows."""
     windows = regular_windows(buckets, grid)
@@ -25,20 +25,20 @@ def prepare(
     return assign_splits(windows, splits)
 
 
-def fit_profile_model(windows: DataFrame, grid: GridSpec, scorer: ScorerSpec, by: list[str]) -> DataFrame:
+def fit_profile_model(windows: DataFrame, grid: GridSpec, scorer: ScorerSpec, by: list[str]) -> Sized:
     """One parameter row per model: scaler, profile, error distribution, thresholds.
 
-    Reads the development splits only, which are written once: a bounded number
-    of windows per series. Point statistics are always fitted, the window factor
+    Reads the development splits only: a bounded number of windows per series
+    (``windows`` should be a written table, the split filter reaches its scan). Point statistics are always fitted, the window factor
     and the window threshold when ``scorer.mode`` is ``window``.
     """
-    dev = settle(windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")).df
-    base = settle(sc.profile_fit(dev, by, grid.length)).df
+    dev = windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")
+    base = settle(sc.profile_fit(dev, by, grid.length))
     errors = sc.profile_errors(attach(dev, base, by, ["window_id"])).select("series_id", "window_id", "split", "err")
     return fit_scorer(errors, base, scorer, by, grid.length)
 
 
-def fit_scorer(errors: DataFrame, base: DataFrame, scorer: ScorerSpec, by: list[str], length: int) -> DataFrame:
+def fit_scorer(errors: DataFrame, base: Sized, scorer: ScorerSpec, by: list[str], length: int) -> Sized:
     """Error distribution from the val split, threshold from the threshold split.
 
     ``errors`` has ``series_id, window_id, split, err`` of the development splits;
@@ -48,22 +48,23 @@ def fit_scorer(errors: DataFrame, base: DataFrame, scorer: ScorerSpec, by: list[
     fit_rows = errors.filter(F.col("split") == "val")
     held_out = errors.filter(F.col("split") == "threshold")
     if scorer.mode == "point":
-        fitted = settle(sc.point_fit(fit_rows, by, scorer.ridge)).df
+        fitted = settle(sc.point_fit(fit_rows, by, scorer.ridge))
         scored = sc.point_scores(attach(held_out, fitted, by, ["window_id"]))
         pool = scored.select(*by, F.explode("point_scores").alias("score"))
         limit = sc.threshold_fit(pool, by, "score", scorer, bounded).withColumnRenamed("threshold", "point_threshold")
     else:
         fitted = sc.window_fit(fit_rows, by, scorer.ridge) if bounded else sc.pooled_window_fit(fit_rows, length, scorer.ridge)
-        fitted = settle(fitted).df
+        fitted = settle(fitted)
         scored = sc.window_scores(attach(held_out, fitted, by, ["window_id"]), scorer.ridge)
         limit = sc.threshold_fit(scored, by, "window_score", scorer, bounded)
-    out = base
-    for part in (fitted, limit):
+    out = base.df
+    for part in (fitted.df, limit):
         out = out.join(part, by) if by else attach(out, part, [], [])
-    return out
+    # The threshold adds one number per model.
+    return Sized(out, base.rows, base.bytes + fitted.bytes + 64 * base.rows)
 
 
-def score_windows(windows: DataFrame, params: DataFrame, scorer: ScorerSpec, by: list[str]) -> DataFrame:
+def score_windows(windows: DataFrame, params: DataFrame | Sized, scorer: ScorerSpec, by: list[str]) -> DataFrame:
     """Reconstruct with the profile, score and flag. The one code path of batch and stream."""
     return flag(sc.profile_errors(attach(windows, params, by, ["window_id"])), scorer)
 
@@ -90,7 +91,7 @@ def evaluate(scored: DataFrame, by: list[str], beta: float = 0.1) -> DataFrame:
 
 
 def detect(
-    windows: DataFrame, params: DataFrame, grid: GridSpec, scorer: ScorerSpec, by: list[str], where: LocaliseSpec = LocaliseSpec()
+    windows: DataFrame, params: DataFrame | Sized, grid: GridSpec, scorer: ScorerSpec, by: list[str], where: LocaliseSpec = LocaliseSpec()
 ) -> DataFrame:
     """Score reply per window with a nested localisation for flagged ones.
 
@@ -123,7 +124,7 @@ def reply_limits(scored: DataFrame) -> list[str]:
 
 
 def calibrate_with_injection(
-    dev: DataFrame, params: DataFrame, inject: InjectSpec, scorer: ScorerSpec, by: list[str], length: int, method: str, beta: float = 1.0
+    dev: DataFrame, params: DataFrame | Sized, inject: InjectSpec, scorer: ScorerSpec, by: list[str], length: int, method: str, beta: float = 1.0
 ) -> DataFrame:
     """Threshold from the threshold split and its corrupted copies.
 

@@ -37,7 +37,7 @@ def seasonal_profile(spark, folder):
     "A15 A16",
     s.SPLIT_SQL
     + """, prof AS (SELECT series_id, pos, avg(value) AS p FROM points JOIN flags USING (series_id, window_id) WHERE NOT is_anomaly GROUP BY 1, 2)
-SELECT series_id, window_id, round(avg(pow(value - p, 2)), 6) AS mse FROM points JOIN prof USING (series_id, pos) GROUP BY 1, 2""",
+SELECT series_id, window_id, round(avg(pow(value - p, 2)), 4) AS mse FROM points JOIN prof USING (series_id, pos) GROUP BY 1, 2""",
 )
 def profile_window_mse(spark, folder):
     """Distance of every window to the mean pattern of the normal windows."""
@@ -46,7 +46,7 @@ def profile_window_mse(spark, folder):
     base = sc.profile_fit(normal, s.BY, 48, split=None)
     met = attach(windows, base, s.BY, ["window_id"]).withColumn("p", sc.unscaled("profile"))
     mse = F.aggregate(F.zip_with("values", "p", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda x, y: x + y) / F.size("values")
-    return met.select("series_id", "window_id", F.round(mse, 6).alias("mse"))
+    return met.select("series_id", "window_id", F.round(mse, 4).alias("mse"))
 
 
 @query("X2 A22", s.ERROR_SQL + " SELECT series_id, window_id, split, round(avg(err), 6) AS mean_error, round(max(err), 6) AS max_error FROM errs GROUP BY 1, 2, 3")
@@ -347,12 +347,12 @@ top AS (
 
 @query(
     "T3 U4",
-    _TOP + f" SELECT series_id, window_id, pos, {s.sql_stamp('ws + 1800 * pos')} AS ts, value, round(score, 5) AS point_score FROM top WHERE rn <= 3",
+    _TOP + f" SELECT series_id, window_id, pos, {s.sql_stamp('ws + 1800 * pos')} AS ts, round(value, 4) AS value, round(score, 5) AS point_score FROM top WHERE rn <= 3",
 )
 def top_points_in_span(spark, folder):
     flagged, found = localised(spark, folder)
     out = loc.top_points(flagged, found, s.DAY, "point_scores")
-    return out.select("series_id", "window_id", "pos", s.stamp("ts").alias("ts"), "value", F.round("point_score", 5).alias("point_score"))
+    return out.select("series_id", "window_id", "pos", s.stamp("ts").alias("ts"), F.round("value", 4).alias("value"), F.round("point_score", 5).alias("point_score"))
 
 
 @query(
@@ -474,7 +474,7 @@ counts AS (
 
 def calibration_pool(spark, folder):
     windows = settle(s.prepared(spark, folder)).df
-    params = settle(flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)).df
+    params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
     return windows, params
 
 

@@ -210,7 +210,7 @@ def regenerated_timestamps(spark, folder):
     s.SPLIT_SQL + " SELECT series_id, window_id, name, is_anomaly, is_edge_case FROM flags",
 )
 def label_overlap_windows(spark, folder):
-    out = lab.flag_overlap(s.event_windows(spark, folder), s.labels(spark), s.DAY)
+    out = lab.flag_overlap(s.event_windows(spark, folder), s.INTERVALS, s.DAY)
     out = lab.flag_edge_cases(out, s.EDGES)
     return out.select("series_id", "window_id", F.date_format("start_ts", "yyyy-MM-dd").alias("name"), "is_anomaly", "is_edge_case")
 
@@ -280,10 +280,12 @@ def membership_semi_anti(spark, folder):
 
 @query(
     "U3",
-    _ORDERED + " SELECT series_id, window_id, split, order_id * 48 + pos AS idx, value FROM ordered JOIN points USING (series_id, window_id)",
+    _ORDERED + " SELECT series_id, window_id, split, order_id * 48 + pos AS idx, round(value, 4) AS value FROM ordered JOIN points USING (series_id, window_id)",
 )
 def ordered_concatenation(spark, folder):
-    return baseline.ordered_series(s.prepared(spark, folder), 48).select("series_id", "window_id", "split", "idx", "value")
+    return baseline.ordered_series(s.prepared(spark, folder), 48).select(
+        "series_id", "window_id", "split", "idx", F.round("value", 4).alias("value")
+    )
 
 
 @query(
@@ -297,14 +299,14 @@ def scaler_fit(spark, folder):
 
 @query(
     "A2 X1 J5",
-    s.ERROR_SQL + " SELECT series_id, window_id, pos, round(z, 6) AS z, round(z * scale + mean, 6) AS restored FROM zp JOIN scaler USING (series_id)",
+    s.ERROR_SQL + " SELECT series_id, window_id, pos, round(z, 6) AS z, round(z * scale + mean, 4) AS restored FROM zp JOIN scaler USING (series_id)",
 )
 def scaler_roundtrip(spark, folder):
     prepared = s.prepared(spark, folder)
     params = sc.scaler_fit(prepared, s.BY)
     out = attach(prepared, params, s.BY, ["window_id"]).withColumn("z", sc.scaled("values"))
     both = out.withColumn("back", sc.unscaled("z")).select("series_id", "window_id", F.posexplode(F.arrays_zip("z", "back")).alias("pos", "_v"))
-    return both.select("series_id", "window_id", "pos", F.round("_v.z", 6).alias("z"), F.round("_v.back", 6).alias("restored"))
+    return both.select("series_id", "window_id", "pos", F.round("_v.z", 6).alias("z"), F.round("_v.back", 4).alias("restored"))
 
 
 @query(
@@ -348,4 +350,4 @@ def newest_rows(spark, folder):
   min(window_id) FILTER (WHERE is_anomaly) AS first_anomaly FROM flags GROUP BY 1""",
 )
 def exemplar_windows(spark, folder):
-    return evaluate.exemplars(lab.flag_overlap(s.event_windows(spark, folder), s.labels(spark), s.DAY))
+    return evaluate.exemplars(lab.flag_overlap(s.event_windows(spark, folder), s.INTERVALS, s.DAY))

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import GridSpec, ScorerSpec, SplitSpec
 from tidemark.operators.grid import bucket, regular_windows
-from tidemark.operators.labels import label_table
 from tidemark.plans import flows
-from tidemark.session import pin_utc
 from tidemark.sources.tables import read_table
 
 DAY = GridSpec(length=48)
@@ -37,6 +35,10 @@ def event_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return bucket(events(spark, folder), "event_type", "ts", 1800)
 
 
+def value_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return bucket(events(spark, folder), "event_type", "ts", 1800, F.sum("value"))
+
+
 def order_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return bucket(read_table(spark, folder, "orders"), "o_orderpriority", "o_orderdate", 86400)
 
@@ -53,14 +55,9 @@ def order_windows(spark: SparkSession, folder: str) -> DataFrame:
     return regular_windows(order_buckets(spark, folder), DAILY)
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    pin_utc(spark)
-    return label_table(spark, INTERVALS)
-
-
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled, split daily windows of the event counts."""
-    return flows.prepare(event_buckets(spark, folder), labels(spark), DAY, SPLITS, EDGES)
+    """Labelled, split daily windows of the half-hourly value totals."""
+    return flows.prepare(value_buckets(spark, folder), INTERVALS, DAY, SPLITS, EDGES)
 
 
 def stamp(ts: Column | str) -> Column:
@@ -94,10 +91,12 @@ win AS (SELECT series_id, window_id, min(sec) AS ws, max(sec) AS we FROM points
 
 
 EVENT_BUCKETS = "SELECT event_type AS series_id, epoch_us(ts) // 1800000000 AS slot, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2"
+VALUE_BUCKETS = EVENT_BUCKETS.replace("count(*)::DOUBLE", "sum(value)")
 ORDER_BUCKETS = "SELECT o_orderpriority AS series_id, epoch_us(o_orderdate) // 86400000000 AS slot, count(*)::DOUBLE AS value FROM orders GROUP BY 1, 2"
 SHIP_BUCKETS = "SELECT l_returnflag AS series_id, epoch_us(l_shipdate) // 86400000000 AS slot, sum(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY 1, 2"
 
 EVENTS_SQL = grid_sql(EVENT_BUCKETS, 1800, 48)
+VALUES_SQL = grid_sql(VALUE_BUCKETS, 1800, 48)
 ORDERS_SQL = grid_sql(ORDER_BUCKETS, 86400, 7)
 SHIPS_SQL = grid_sql(SHIP_BUCKETS, 86400, 7)
 
@@ -107,7 +106,7 @@ _VALUES = ", ".join(
 _EDGES = ", ".join(f"'{e}'" for e in EDGES)
 
 SPLIT_SQL = (
-    EVENTS_SQL
+    VALUES_SQL
     + f""",
 labels_iv(ls, le) AS (VALUES {_VALUES}),
 flags AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +39,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 @dataclass(frozen=True)
-class Settled:
-    """A written table with figures measured while it was written."""
+class Sized:
+    """A table with its measured row count and size (``seen``: further figures)."""
 
     df: DataFrame
     rows: int
     bytes: int
-    seen: dict
+    seen: dict = field(default_factory=dict)
 
 
 def _width(field: T.StructField) -> Column:
@@ -66,7 +66,7 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(size.cast("long"), F.lit(0))
 
 
-def settle(df: DataFrame, **metrics: Column) -> Settled:
+def settle(df: DataFrame, **metrics: Column) -> Sized:
     """Write ``df`` once to the shared folder and read it back.
 
     The expensive side (a scan of the raw table) then runs exactly once, later
@@ -84,7 +84,7 @@ def settle(df: DataFrame, **metrics: Column) -> Settled:
     watched.write.parquet(path)
     seen = watch.get
     back = spark.read.schema(df.schema).parquet(path)
-    return Settled(back, seen["_rows"], seen["_bytes"] or 0, {k: seen[k] for k in metrics})
+    return Sized(back, seen["_rows"], seen["_bytes"] or 0, {k: seen[k] for k in metrics})
 
 
 def attach_scalar(rows: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def attach_scalar(rows: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def attach(
     rows: DataFrame,
-    params: DataFrame,
+    params: DataFrame | Sized,
     on: list[str],
     spread: list[str],
     how: str = "inner",
@@ -107,13 +107,14 @@ def attach(
 ) -> DataFrame:
     """Join one-row-per-key parameters to rows.
 
-    ``params`` is written first, so its size is known: below ``limit`` it is
-    broadcast and the rows do not move. Above, rows are salted by ``spread``
-    (columns that differ inside a key), which splits a hot key over tasks.
+    The size of ``params`` is known (a plain table is written first to measure
+    it): below ``limit`` it is broadcast and the rows do not move. Above, rows are
+    salted by ``spread`` (columns that differ inside a key), which splits a hot
+    key over tasks.
     """
     if not on:
-        return attach_scalar(rows, params)
-    fixed = settle(params)
+        return attach_scalar(rows, params.df if isinstance(params, Sized) else params)
+    fixed = params if isinstance(params, Sized) else settle(params)
     if fixed.bytes <= limit:
         return rows.join(F.broadcast(fixed.df), on, how)
     return salted_join(rows, fixed.df, on, spread, how)
