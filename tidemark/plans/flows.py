@@ -98,20 +98,24 @@ def detect(
     Only flagged windows are exploded and shuffled for the localisation.
     """
     scored = score_windows(windows, params, scorer, by)
-    scored = settle(scored.select("series_id", "window_id", "start_ts", "end_ts", "err", "window_score", "is_flagged", *reply_limits(scored))).df
+    needed = ["series_id", "window_id", "start_ts", "end_ts", "err", "window_score", "is_flagged", *reply_limits(scored)]
+    return replies(settle(scored.select(*needed)).df, grid, where)
+
+
+def replies(scored: DataFrame, grid: GridSpec, where: LocaliseSpec = LocaliseSpec()) -> DataFrame:
+    """Score replies of a written table of scored windows."""
     found = loc.localise(scored.filter("is_flagged"), grid, where)
     place = found.select(
         "series_id",
         "window_id",
         F.struct("anomaly_start", "anomaly_end", F.col("scale_hours").cast("double").alias("scale_hours"), "contrast_ratio").alias("localization"),
     )
-    limit = F.col("threshold") if "threshold" in scored.columns else F.col("point_threshold")
     return scored.join(place, ["series_id", "window_id"], "left").select(
         "series_id",
         "window_id",
         F.col("is_flagged").alias("is_anomaly"),
         F.col("window_score").alias("anomaly_score"),
-        limit.alias("threshold"),
+        F.col(reply_limits(scored)[0]).alias("threshold"),
         F.col("start_ts").alias("window_start"),
         F.col("end_ts").alias("window_end"),
         "localization",
