@@ -191,8 +191,8 @@ class Progress:
 
     def update(self, theta, train_loss: float, val_loss: float) -> bool:
         """Record an epoch; true when training should stop."""
-        self.train.append(train_loss)
-        self.val.append(val_loss)
+        self.train.append(float(train_loss))
+        self.val.append(float(val_loss))
         if val_loss < self.best_loss:
             self.best_loss, self.best_theta, self.best_epoch = val_loss, theta.copy(), len(self.val)
         if val_loss < self.reference - self.min_delta:

@@ -51,6 +51,12 @@ def _vectors(a: np.ndarray) -> list:
 
 
 def _apply(mode: str, pdf: pd.DataFrame, model) -> pd.DataFrame:
+    """One call per ``CHUNK`` windows: bounds the arrays over time, whatever the batch size."""
+    parts = [_apply_chunk(mode, pdf.iloc[i : i + CHUNK], model) for i in range(0, len(pdf), CHUNK)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _apply_chunk(mode: str, pdf: pd.DataFrame, model) -> pd.DataFrame:
     theta = np.asarray(model["theta"], dtype=float)
     spec = _spec(model, 0)
     x = _stacked(pdf["z"], spec.input_dim)
@@ -185,13 +191,15 @@ def fit_global(windows: DataFrame, train: TrainSpec, model: ModelSpec) -> tuple[
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = _stacked(pdf["z"], model.input_dim)
-                if with_grad:
-                    sse, grad = net.squared_error_grad(weights, model, x, np.random.default_rng(train.seed))
-                    total[0] += sse
-                    total[1:] += grad
-                else:
-                    total[0] += float(((net.reconstruct(weights, model, x) - x) ** 2).sum())
+                stacked = _stacked(pdf["z"], model.input_dim)
+                for i in range(0, len(stacked), CHUNK):
+                    x = stacked[i : i + CHUNK]
+                    if with_grad:
+                        sse, grad = net.squared_error_grad(weights, model, x, np.random.default_rng(train.seed))
+                        total[0] += sse
+                        total[1:] += grad
+                    else:
+                        total[0] += float(((net.reconstruct(weights, model, x) - x) ** 2).sum())
             yield pd.DataFrame({"v": [total.tolist()]})
 
         parts = rows.select("z").mapInPandas(part, "v array<double>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import attach
+from tidemark.session import attach, settle
 
 SKETCH_ACCURACY = 100_000
 
@@ -16,10 +16,10 @@ def exact_percentiles(
 ) -> DataFrame:
     """``by, cut, fraction, threshold`` with linear interpolation, for any pool size.
 
-    A mergeable sketch brackets every wanted rank. Values below a bracket are
-    only counted; the few distinct values inside it are ranked. Copies of a value
-    are counted before they meet, so neither a large pool nor one value that makes
-    up a third of it lands in a single task.
+    Two passes. A mergeable sketch brackets every wanted rank; then rows outside
+    the brackets are only counted and the few distinct values inside are ranked.
+    Both passes reduce map-side, so neither a large pool nor one value that makes
+    up a third of it is shuffled or lands in a single task.
     """
     slack = 2.0 / accuracy
     wanted = sorted(set(fractions))
@@ -33,15 +33,21 @@ def exact_percentiles(
     sketch = sketch.select(
         *by, F.slice("_edges", 1, k).alias("_lows"), F.slice("_edges", k + 1, k).alias("_highs"), "_n"
     )
-    distinct = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    met = attach(distinct, sketch, by, ["_v"])
+    met = attach(rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), sketch, by, ["_v"])
 
     # Brackets rise with the fraction, so two small integers say where a value lies.
     placed = met.withColumn("_over", F.size(F.filter("_lows", lambda x: x <= F.col("_v")))).withColumn(
         "_past", F.size(F.filter("_highs", lambda x: x < F.col("_v")))
     )
-    cells = placed.groupBy(*by, "_over", "_past").agg(
-        F.sum("_c").alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.first("_n").alias("n")
+    # One pass: rows outside all brackets collapse per task, values inside stay distinct.
+    inner = F.when(F.col("_over") > F.col("_past"), F.col("_v"))
+    small = settle(
+        placed.groupBy(*by, "_over", "_past", inner.alias("_v")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.first("_n").alias("n")
+        )
+    ).df
+    cells = small.groupBy(*by, "_over", "_past").agg(
+        F.sum("_c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"), F.first("n").alias("n")
     )
     cells = cells.groupBy(*by).agg(F.collect_list(F.struct("_over", "_past", "c", "least", "most")).alias("_cells"), F.first("n").alias("n"))
     cuts = cells.select(*by, "n", "_cells", F.posexplode(grid).alias("cut", "fraction"))
@@ -57,7 +63,7 @@ def exact_percentiles(
         F.array_min(F.transform(above, lambda x: x["least"])).alias("after"),
     )
 
-    inside = placed.filter(F.col("_over") > F.col("_past")).select(
+    inside = small.filter(F.col("_v").isNotNull()).select(
         *by, "_v", "_c", F.explode(F.sequence(F.col("_past"), F.col("_over") - 1)).alias("cut")
     )
     upward = Window.partitionBy(*by, "cut").orderBy("_v")

@@ -50,7 +50,7 @@ def dense_index(rows: DataFrame, order: list[str], key: str = "series_id") -> Da
         F.sum("_n").over(Window.partitionBy(key)).alias("total"),
     )
     return (
-        placed.join(offsets, [key, "_run"])
+        attach(placed, offsets, [key, "_run"], ["_at"])
         .withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_run", "_at", "_first", "_before")
     )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import GridSpec, InjectSpec, LocaliseSpec, ScorerSpec, SplitSpec
+from tidemark.config import GridSpec, InjectSpec, LocaliseSpec, ModelSpec, ScorerSpec, SplitSpec, TrainSpec
 from tidemark.operators import calibrate as cal
 from tidemark.operators import evaluate as ev
 from tidemark.operators import inject as inj
 from tidemark.operators import localise as loc
+from tidemark.operators import lstm
 from tidemark.operators import score as sc
 from tidemark.operators.grid import regular_windows
 from tidemark.operators.labels import assign_splits, flag_edge_cases, flag_overlap
@@ -151,3 +152,66 @@ def calibrate_with_injection(
     if method == "percentile":
         return sc.threshold_fit(labelled.filter(~F.col("is_anomaly")), by, "score", scorer, "series_id" in by)
     return cal.calibrate(labelled, by, method, beta, "series_id" in by)
+
+
+def fit_lstm_model(
+    windows: DataFrame, grid: GridSpec, scorer: ScorerSpec, model: ModelSpec, train: TrainSpec, by: list[str]
+) -> tuple[Sized, Sized, DataFrame]:
+    """Scaler, LSTM, error distribution and threshold: ``(models, params, history)``.
+
+    With a key one model per series is trained in parallel groups; without, one
+    global model over all series. ``params`` has the scaler and the scorer.
+    """
+    dev = windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")
+    base = settle(sc.scaler_fit(dev, by))
+    scaled = settle(attach(dev, base, by, ["window_id"]).withColumn("z", sc.scaled("values")).drop("values", "mean", "scale")).df
+    if by:
+        fitted = settle(lstm.fit_grouped(scaled, by, train, model))
+        history = fitted.df.select(*by, "train_history", "val_history", "best_epoch")
+        models = Sized(fitted.df.select(*by, *lstm.MODEL_COLUMNS), fitted.rows, fitted.bytes)
+    else:
+        table, losses, held = lstm.fit_global(scaled, train, model)
+        models = settle(table)
+        rows = [(losses, held, int(min(range(len(held)), key=held.__getitem__)) + 1)]
+        history = windows.sparkSession.createDataFrame(rows, "train_history array<double>, val_history array<double>, best_epoch int")
+    errors = settle(sc.with_errors(lstm.reconstruct(scaled.filter(F.col("split") != "train"), models, by)).drop("z", "x_hat")).df
+    return models, fit_scorer(errors, base, scorer, by, grid.length), history
+
+
+def score_lstm_windows(windows: DataFrame, models: DataFrame | Sized, params: DataFrame | Sized, scorer: ScorerSpec, by: list[str]) -> DataFrame:
+    """Reconstruct with the LSTM, score and flag.
+
+    Only the scaled vector and the keys go through Python; the scorer parameters
+    are attached afterwards.
+    """
+    fixed = params if isinstance(params, Sized) or not by else settle(params)
+    table = fixed.df if isinstance(fixed, Sized) else fixed
+    scaler = table.select(*by, "mean", "scale")
+    scaler = Sized(scaler, fixed.rows, fixed.bytes) if isinstance(fixed, Sized) else scaler
+    scaled = attach(windows, scaler, by, ["window_id"]).withColumn("z", sc.scaled("values")).drop("mean", "scale")
+    errors = sc.with_errors(lstm.reconstruct(scaled, models, by)).drop("z", "x_hat")
+    return flag(attach(errors, fixed, by, ["window_id"]), scorer)
+
+
+def with_injected_threshold(
+    windows: DataFrame, models: DataFrame | Sized, params: Sized, inject: InjectSpec, scorer: ScorerSpec, by: list[str], length: int, method: str, beta: float = 1.0
+) -> Sized:
+    """LSTM parameters whose window threshold is calibrated on injected anomalies.
+
+    Window mode. ``percentile`` as method keeps the fitted threshold.
+    """
+    if method == "percentile":
+        return params
+    normal = windows.filter(F.col("split") == "threshold").select("series_id", "window_id", "values")
+    scaler = Sized(params.df.select(*by, "mean", "scale"), params.rows, params.bytes)
+    ready = settle(attach(normal, scaler, by, ["window_id"]).withColumn("z", sc.scaled("values")).select("series_id", "window_id", "z")).df
+    rest = Sized(params.df.drop("mean", "scale"), params.rows, params.bytes)
+
+    def scored(rows):
+        errors = sc.with_errors(lstm.reconstruct(rows.select("series_id", "window_id", "z"), models, by))
+        return sc.window_scores(attach(errors, rest, by, ["window_id"]), scorer.ridge).select("series_id", "window_id", F.col("window_score").alias("score"))
+
+    labelled = settle(cal.labelled_union(scored(ready), scored(inj.inject(ready, inject, length, values="z")))).df
+    limit = cal.calibrate(labelled, by, method, beta, "series_id" in by).select(*by, "threshold")
+    kept = params.df.drop("threshold")
+    return Sized(kept.join(limit, by) if by else attach(kept, limit, [], []), params.rows, params.bytes)

@@ -12,8 +12,8 @@ from tidemark.operators.quantile import exact_percentiles
 from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_scores import rounded_metrics
-from tidemark.session import attach, settle
-from tidemark.sources.artifacts import model_stats, scorer_stats
+from tidemark.session import attach, fresh_folder, settle
+from tidemark.sources.artifacts import load, model_stats, save, scorer_stats
 
 # Hidden size 1: input, recurrent, two biases for the four gates of encoder and decoder, then the output.
 UNIT = ModelSpec(hidden=1, length=48)
@@ -112,15 +112,31 @@ def lstm_fit_global(spark, folder):
 @query("M1 M4 M7 M8 X4 X6")
 def lstm_flagged_windows(spark, folder):
     """Train per series, reconstruct every window in bounded groups, score by distance."""
-    rows = settle(scaled_windows(spark, folder)).df
-    models = settle(lstm.fit_grouped(rows, s.BY, SHORT, SMALL))
-    errors = settle(sc.with_errors(lstm.reconstruct(rows, models, s.BY)).drop("z", "x_hat")).df
-    base = settle(rows.select("series_id").distinct())
-    params = flows.fit_scorer(errors, base, s.WINDOW, s.BY, 48)
-    out = flows.flag(attach(errors, params, s.BY, ["window_id"]), s.WINDOW).filter(F.col("split") == "test")
+    windows = settle(s.prepared(spark, folder)).df
+    models, params, _ = flows.fit_lstm_model(windows, s.DAY, s.WINDOW, SMALL, SHORT, s.BY)
+    out = flows.score_lstm_windows(windows.filter(F.col("split") == "test"), models, params, s.WINDOW, s.BY)
     return out.select("series_id", "window_id", "is_anomaly", "window_score", "threshold", "is_flagged")
 
 
+@query(
+    "S10 A5 A7",
+    s.POINT_SQL
+    + """ SELECT series_id, round(mean, 6) AS mean, round(scale, 6) AS scale, round(mu, 8) AS mu_point, round(v, 8) AS var_point, round(tau, 5) AS point_threshold
+FROM scaler JOIN pfit USING (series_id) JOIN thr USING (series_id)""",
+)
+def saved_parameters(spark, folder):
+    """Fitted parameters written as a table and loaded back."""
+    windows = settle(s.prepared(spark, folder)).df
+    params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
+    store = fresh_folder(spark, "artifacts")
+    save(params, store, "scorer", "profile")
+    back = load(spark, store, "scorer", "profile")
+    return back.select(
+        "series_id", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"), F.round("mu_point", 8).alias("mu_point"),
+        F.round("var_point", 8).alias("var_point"), F.round("point_threshold", 5).alias("point_threshold"),
+    )
+
+
 @query("M15")
 def fitted_scorer_stats(spark, folder):
     windows = settle(s.prepared(spark, folder)).df

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import predicates as fn
 from tidemark.operators import baseline, calibrate as cal, evaluate as ev
 from tidemark.operators.grid import points
+from tidemark.operators.segment import dense_index
 from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_scores import _COUNTS, _METRIC, rounded_metrics
-from tidemark.session import attach, settle, work_dir
+from tidemark.session import attach, fresh_folder, settle
 from tidemark.sources import messages as msg
 from tidemark.sources.tables import parse_fields, read_series_csv, read_table
 
@@ -251,8 +252,6 @@ SELECT series_id, event_id, k * (total - 500) + idx - 500 AS sequence_id FROM ra
 def replayed_messages(spark, folder):
     """Skip the first 500 rows of every series, replay three times; sequence ids keep rising."""
     rows = s.events(spark, folder).select(F.col("event_type").alias("series_id"), "event_id")
-    from tidemark.operators.segment import dense_index
-
     return msg.replay(msg.skip_start(dense_index(rows, ["event_id"]), 500), 3).select("series_id", "event_id", "sequence_id")
 
 
@@ -262,9 +261,7 @@ def replayed_messages(spark, folder):
 )
 def csv_series_scan(spark, folder):
     """A series written as header CSV and scanned back with its fixed schema."""
-    import uuid
-
-    path = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "csv")
     daily = read_table(spark, folder, "orders").groupBy(F.col("o_orderdate").alias("timestamp")).agg(F.count(F.lit(1)).alias("value"))
     daily.select(s.stamp("timestamp").alias("timestamp"), "value").write.option("header", True).csv(path)
     return read_series_csv(spark, path, "orders").select("series_id", s.stamp("ts").alias("ts"), "value")

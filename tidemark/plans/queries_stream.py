@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.grid import points
 from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
-from tidemark.session import settle
+from tidemark.session import fresh_folder, settle
+from tidemark.sources import tables
 from tidemark.streaming import jobs
 from tidemark.streaming.windows import count_windows_stream, sunday_gate, window_rows
 
@@ -23,7 +24,7 @@ def event_stream(spark, folder):
 def grid_stream(spark, folder, buckets):
     """The gap-free grid, written by a batch job and read back as a file stream."""
     rows = points(s.regular_windows(buckets, s.DAY, keep_tail=True), s.DAY)
-    path = jobs.fresh_folder(spark, "grid")
+    path = fresh_folder(spark, "grid")
     rows.select("series_id", F.col("idx").alias("sequence_id"), "ts", "value").coalesce(1).write.parquet(path)
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -40,8 +41,8 @@ SELECT series_id, idx // 336 AS window_id, strftime(arg_min(ts, idx), '%Y-%m-%d
 def streamed_tumbling_windows(spark, folder):
     s.events(spark, folder)
     stream = window_rows(count_windows_stream(event_stream(spark, folder), 336))
-    out = jobs.fresh_folder(spark, "tumbling")
-    jobs.run_to_parquet(stream, out, jobs.fresh_folder(spark, "checkpoint"))
+    out = fresh_folder(spark, "tumbling")
+    jobs.run_to_parquet(stream, out, fresh_folder(spark, "checkpoint"))
     done = spark.read.schema(stream.schema).parquet(out)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     return done.select("series_id", "window_id", s.stamp("start_ts").alias("start_ts"), s.stamp("end_ts").alias("end_ts"), F.round(total, 3).alias("total"))
@@ -59,8 +60,8 @@ GROUP BY a.series_id, a.idx HAVING count(*) = 336""",
 )
 def streamed_sliding_windows(spark, folder):
     stream = window_rows(count_windows_stream(grid_stream(spark, folder, s.event_buckets(spark, folder)), 336, step=1, gate=sunday_gate("2024-01-10")))
-    out = jobs.fresh_folder(spark, "sliding")
-    jobs.run_to_parquet(stream, out, jobs.fresh_folder(spark, "checkpoint"))
+    out = fresh_folder(spark, "sliding")
+    jobs.run_to_parquet(stream, out, fresh_folder(spark, "checkpoint"))
     done = spark.read.schema(stream.schema).parquet(out)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long")
     return done.select("series_id", F.col("window_id").alias("start_idx"), s.stamp("start_ts").alias("start_ts"), s.stamp("end_ts").alias("end_ts"), total.alias("total"))
@@ -75,8 +76,8 @@ def streamed_scores(spark, folder):
     windows = settle(s.prepared(spark, folder)).df
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
     stream = count_windows_stream(grid_stream(spark, folder, s.value_buckets(spark, folder)), 48)
-    out = jobs.fresh_folder(spark, "scores")
-    jobs.detect_stream(stream, params, s.DAY, s.POINT, s.BY, out, jobs.fresh_folder(spark, "checkpoint")).awaitTermination()
+    out = fresh_folder(spark, "scores")
+    jobs.detect_stream(stream, params, s.DAY, s.POINT, s.BY, out, fresh_folder(spark, "checkpoint")).awaitTermination()
     done = spark.read.parquet(f"{out}/replies")
     return done.select("series_id", "window_id", s.stamp("window_start").alias("window_start"), "is_anomaly", F.round("anomaly_score", 5).alias("anomaly_score"))
 
@@ -89,8 +90,37 @@ def streamed_progress(spark, folder):
     """Counters per series after the last trigger: seen rows, finished windows, rows waiting."""
     s.events(spark, folder)
     stream = count_windows_stream(event_stream(spark, folder), 336, with_status=True).filter(F.col("kind") == "buffering")
-    out = jobs.fresh_folder(spark, "progress")
-    jobs.run_to_parquet(stream, out, jobs.fresh_folder(spark, "checkpoint"))
+    out = fresh_folder(spark, "progress")
+    jobs.run_to_parquet(stream, out, fresh_folder(spark, "checkpoint"))
     done = spark.read.schema(stream.schema).parquet(out)
     last = done.groupBy("series_id").agg(F.max_by(F.struct("buffered", "seen", "emitted"), "seen").alias("l"))
     return last.select("series_id", "l.buffered", "l.seen", "l.emitted")
+
+
+_ALL_BUCKETS = "SELECT 'all' AS series_id, epoch_us(ts) // 1800000000 AS slot, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2"
+
+
+@query(
+    "S2 P10 K4 K10 K11",
+    s.grid_sql(_ALL_BUCKETS, 1800, 1)
+    + f"""
+SELECT a.idx AS start_idx, {s.sql_stamp('any_value(a.sec)')} AS start_ts, {s.sql_stamp('max(b.sec)')} AS end_ts, sum(b.value)::BIGINT AS total
+FROM points a JOIN points b ON b.idx BETWEEN a.idx AND a.idx + 335
+WHERE dayofweek(make_timestamp(a.sec * 1000000)) = 0 AND a.sec % 86400 < 60
+GROUP BY a.idx HAVING count(*) = 336""",
+)
+def csv_folder_stream(spark, folder):
+    """A folder of CSV files as a stream: trim, parse, slide, gate."""
+    rows = s.events(spark, folder).select(F.lit("all").alias("kind"), "ts")
+    grid = points(s.regular_windows(s.bucket(rows, "kind", "ts", 1800), s.DAY, keep_tail=True), s.DAY)
+    source = fresh_folder(spark, "csv")
+    text = grid.select(F.concat(F.lit(" "), s.stamp("ts")).alias("timestamp"), F.col("value").cast("long").cast("string").alias("value"))
+    text.coalesce(1).write.option("header", True).csv(source)
+    raw = tables.parse_fields(tables.stream_series_csv(spark, source)).filter(~F.col("is_bad"))
+    typed = raw.select(F.lit("all").alias("series_id"), F.unix_seconds("ts").alias("sequence_id"), "ts", F.col("number").alias("value"))
+    stream = window_rows(count_windows_stream(typed, 336, step=1, gate=sunday_gate("2014-08-31")))
+    out = fresh_folder(spark, "sliding")
+    jobs.run_to_parquet(stream, out, fresh_folder(spark, "checkpoint"))
+    done = spark.read.schema(stream.schema).parquet(out)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long")
+    return done.select(F.col("window_id").alias("start_idx"), s.stamp("start_ts").alias("start_ts"), s.stamp("end_ts").alias("end_ts"), total.alias("total"))

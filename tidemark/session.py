@@ -38,6 +38,10 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Sized:
     """A table with its measured row count and size (``seen``: further figures)."""
@@ -78,7 +82,7 @@ def settle(df: DataFrame, **metrics: Column) -> Sized:
     for field in df.schema.fields:
         width = width + _width(field)
     watch = Observation()
-    path = f"{work_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "settled")
     asked = [col.alias(name) for name, col in metrics.items()]
     watched = df.observe(watch, F.count(F.lit(1)).alias("_rows"), F.sum(width).alias("_bytes"), *asked)
     watched.write.parquet(path)

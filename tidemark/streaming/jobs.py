@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from tidemark.config import GridSpec, LocaliseSpec, ScorerSpec
 from tidemark.operators import localise as loc
 from tidemark.plans import flows
-from tidemark.session import Sized, settle, work_dir
+from tidemark.session import Sized, settle
 from tidemark.sources.messages import format_results
 from tidemark.streaming.windows import window_rows
 
@@ -92,9 +92,3 @@ def progress_rows(query: StreamingQuery) -> list[dict]:
         seen = {k: v for m in (p["observedMetrics"] or {}).values() for k, v in m.asDict().items()} if p["observedMetrics"] else {}
         out.append({"batch_id": p["batchId"], "last_batch": p["numInputRows"], "total": total, **seen})
     return out
-
-
-def fresh_folder(spark, name: str) -> str:
-    import uuid
-
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
