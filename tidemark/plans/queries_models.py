@@ -137,11 +137,22 @@ def saved_parameters(spark, folder):
     )
 
 
-@query("M15")
+@query(
+    "M15",
+    s.WINDOW_SQL
+    + """ SELECT f.series_id, round(min(mu), 6) AS mu_min, round(max(mu), 6) AS mu_max, count(*) AS window_length, 1 AS rank, 2 AS n_fit,
+  round(log10((any_value(uu) + 1e-6) / 1e-6), 4) AS log_condition, round(any_value(threshold), 0) AS threshold
+FROM vfit f JOIN vnorm n ON n.series_id = f.series_id JOIN wthr w ON w.series_id = f.series_id GROUP BY 1""",
+)
 def fitted_scorer_stats(spark, folder):
+    """Ranges, shape, rank and condition number of the fitted window covariance."""
     windows = settle(s.prepared(spark, folder)).df
     params = flows.fit_profile_model(windows, s.DAY, s.WINDOW, s.BY)
-    return scorer_stats(params, s.BY, s.WINDOW.ridge)
+    out = scorer_stats(params, s.BY, s.WINDOW.ridge)
+    return out.select(
+        "series_id", F.round("mu_min", 6).alias("mu_min"), F.round("mu_max", 6).alias("mu_max"), "window_length", "rank", "n_fit",
+        F.round(F.log10("condition_number"), 4).alias("log_condition"), F.round("threshold", 0).alias("threshold"),
+    )
 
 
 # --- sweeps -----------------------------------------------------------------------
@@ -165,7 +176,12 @@ tprof AS (SELECT trial_id, series_id, pos, avg(z) AS x_hat FROM tz WHERE split =
 terr AS (SELECT tz.*, abs(z - x_hat) AS err FROM tz JOIN tprof USING (trial_id, series_id, pos)),
 tfit AS (SELECT trial_id, series_id, avg(err) AS mu, var_pop(err) + 1e-6 AS v FROM terr WHERE split = 'val' GROUP BY 1, 2),
 tps AS (SELECT terr.*, pow(err - mu, 2) / v AS score FROM terr JOIN tfit USING (trial_id, series_id)),
-tthr AS (SELECT trial_id, series_id, quantile_cont(score, 0.95) AS tau FROM tps WHERE split = 'threshold' GROUP BY 1, 2),
+tthr AS (
+  SELECT trial_id, series_id, """
+    + s.sql_percentile("0.95")
+    + """ AS tau
+  FROM (SELECT trial_id, series_id, list_sort(list(score)) AS s FROM tps WHERE split = 'threshold' GROUP BY 1, 2)
+),
 tw AS (
   SELECT trial_id, series_id, window_id, is_anomaly, is_edge_case, count(*) FILTER (WHERE score > tau) >= 5 AS is_flagged
   FROM tps JOIN tthr USING (trial_id, series_id) WHERE split = 'test' GROUP BY ALL

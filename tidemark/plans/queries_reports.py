@@ -267,9 +267,17 @@ def csv_series_scan(spark, folder):
     return read_series_csv(spark, path, "orders").select("series_id", s.stamp("ts").alias("ts"), "value")
 
 
-@query("P8 K10")
+@query(
+    "P8 K10",
+    s.POINT_SQL
+    + f""" SELECT is_flagged::VARCHAR AS is_anomaly, round(window_score, 3)::VARCHAR AS anomaly_score, round(tau, 3)::VARCHAR AS threshold,
+  {s.sql_stamp('ws')} AS window_start, {s.sql_stamp('we')} AS window_end
+FROM wpoint JOIN thr USING (series_id) WHERE split = 'test'""",
+)
 def formatted_results(spark, folder):
     """Result rows as text, five named fields."""
     windows = settle(s.prepared(spark, folder)).df
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
-    return msg.format_results(flows.detect(windows.filter(F.col("split") == "test"), params, s.DAY, s.POINT, s.BY))
+    replies = flows.detect(windows.filter(F.col("split") == "test"), params, s.DAY, s.POINT, s.BY)
+    rounded = replies.withColumn("anomaly_score", F.round("anomaly_score", 3)).withColumn("threshold", F.round("threshold", 3))
+    return msg.format_results(rounded)

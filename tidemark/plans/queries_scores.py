@@ -456,14 +456,15 @@ def circular_shift(spark, folder):
     return out.select("series_id", "window_id", F.posexplode("values").alias("pos", "value"))
 
 
-CAL_SQL = s.POINT_SQL + INJECT_SQL + """,
+CAL_SQL = s.POINT_SQL + INJECT_SQL + f""",
 pool AS (
   SELECT series_id, window_score AS score, false AS is_anomaly FROM wpoint WHERE split = 'threshold'
   UNION ALL
   SELECT series_id, max(pow(abs(z - x_hat) - mu, 2) / v), true FROM injected JOIN pfit USING (series_id) GROUP BY series_id, window_id, copy
 ),
 cands AS (
-  SELECT series_id, unnest(range(0, 198)) AS cut, unnest(quantile_cont(score, [(1 + 0.5 * i) / 100.0 for i in range(0, 198)])) AS t FROM pool GROUP BY 1
+  SELECT series_id, cut, {s.sql_percentile("(1 + 0.5::DOUBLE * cut) / 100")} AS t
+  FROM (SELECT series_id, list_sort(list(score)) AS s FROM pool GROUP BY 1) CROSS JOIN (SELECT unnest(range(0, 198)) AS cut)
 ),
 counts AS (
   SELECT c.series_id, cut, t, count(*) FILTER (WHERE score > t AND is_anomaly) AS tp, count(*) FILTER (WHERE score > t AND NOT is_anomaly) AS fp,

@@ -73,6 +73,13 @@ def sql_stamp(seconds: str) -> str:
     return STAMP.format(f"({seconds})")
 
 
+def sql_percentile(p: str, ordered: str = "s") -> str:
+    """Linear interpolation in a sorted list that returns equal neighbours unchanged."""
+    rank = f"((len({ordered}) - 1) * ({p})::DOUBLE)"
+    low, high = f"{ordered}[floor({rank})::BIGINT + 1]", f"{ordered}[ceil({rank})::BIGINT + 1]"
+    return f"({low} + ({high} - {low}) * ({rank} - floor({rank})))"
+
+
 def grid_sql(buckets: str, step: int, length: int, offset: int = 0) -> str:
     return f"""
 WITH RECURSIVE buckets AS ({buckets}),
@@ -144,10 +151,13 @@ errs AS (SELECT zp.*, x_hat, abs(z - x_hat) AS err FROM zp JOIN profile USING (s
 
 POINT_SQL = (
     ERROR_SQL
-    + """,
+    + f""",
 pfit AS (SELECT series_id, avg(err) AS mu, var_pop(err) + 1e-6 AS v FROM errs WHERE split = 'val' GROUP BY series_id),
 ps AS (SELECT errs.*, pow(err - mu, 2) / v AS score FROM errs JOIN pfit USING (series_id)),
-thr AS (SELECT series_id, quantile_cont(score, 0.95) AS tau FROM ps WHERE split = 'threshold' GROUP BY series_id),
+thr AS (
+  SELECT series_id, {sql_percentile("0.95")} AS tau
+  FROM (SELECT series_id, list_sort(list(score)) AS s FROM ps WHERE split = 'threshold' GROUP BY series_id)
+),
 wpoint AS (
   SELECT series_id, window_id, split, is_anomaly, is_edge_case, ws, we, max(score) AS window_score,
     count(*) FILTER (WHERE score > tau) AS n_over, count(*) FILTER (WHERE score > tau) >= 5 AS is_flagged
@@ -158,7 +168,7 @@ wpoint AS (
 # Two fit windows: the covariance is one outer product, so the inverse is closed form.
 WINDOW_SQL = (
     ERROR_SQL
-    + """,
+    + f""",
 vfit AS (
   SELECT series_id, pos, avg(err) AS mu, (max(err) FILTER (WHERE rn2 = 1) - max(err) FILTER (WHERE rn2 = 2)) / sqrt(2.0) AS u
   FROM (SELECT e.*, dense_rank() OVER (PARTITION BY series_id ORDER BY window_id) AS rn2 FROM errs e WHERE split = 'val')
@@ -170,6 +180,9 @@ wdist AS (
     (sum(pow(err - mu, 2)) - pow(sum(u * (err - mu)), 2) / (1e-6 + any_value(uu))) / 1e-6 AS score
   FROM errs JOIN vfit USING (series_id, pos) JOIN vnorm USING (series_id) GROUP BY ALL
 ),
-wthr AS (SELECT series_id, quantile_cont(score, 0.9999) AS threshold FROM wdist WHERE split = 'threshold' GROUP BY series_id),
+wthr AS (
+  SELECT series_id, {sql_percentile("0.9999")} AS threshold
+  FROM (SELECT series_id, list_sort(list(score)) AS s FROM wdist WHERE split = 'threshold' GROUP BY series_id)
+),
 wflag AS (SELECT wdist.*, threshold, score > threshold AS is_flagged FROM wdist JOIN wthr USING (series_id))"""
 )
