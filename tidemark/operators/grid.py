@@ -47,42 +47,38 @@ def windows_over(
     total = max(0, hi - lo + 1)
     whole, tail = divmod(total, length)
     count = whole + (1 if keep_tail and tail else 0)
-    entry = F.struct(
-        F.pmod(F.col("slot") - F.lit(lo), F.lit(length)).cast("int").alias("pos"),
-        F.lit(0).alias("filled"),
-        F.col("value"),
-    )
-    found = buckets.filter(F.col("slot").between(lo, lo + min(count * length, total) - 1)).select(
-        "series_id", F.floor((F.col("slot") - F.lit(lo)) / F.lit(length)).cast("long").alias("window_id"), entry.alias("entry")
+    placed = F.col("slot") - F.lit(lo)
+    found = buckets.filter(F.col("slot").between(lo, lo + min(count * length, total) - 1) & F.col("value").isNotNull()).select(
+        "series_id",
+        F.floor(placed / F.lit(length)).cast("long").alias("window_id"),
+        F.pmod(placed, F.lit(length)).cast("int").alias("pos"),
+        "value",
     )
-    spine = buckets.select("series_id").distinct()
-    spine = spine.select(
+    spine = buckets.select("series_id").distinct().select(
         "series_id",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(count - 1, 0)).cast("long"))).alias("window_id"),
-        F.lit(None).cast(found.schema["entry"].dataType).alias("entry"),
+        F.lit(None).cast("int").alias("pos"),
+        F.lit(None).cast("double").alias("value"),
     )
     if count == 0:
         spine = spine.filter(F.lit(False))
-    size = F.when(F.col("window_id") == whole, F.lit(tail)).otherwise(F.lit(length))
-    blanks = F.transform(
-        F.sequence(F.lit(0), size - 1), lambda p: F.struct(p.cast("int").alias("pos"), F.lit(1).alias("filled"), F.lit(float(fill)).alias("value"))
-    )
+    # Both lists are collected row by row in step; the spine's nulls are left out of both.
     packed = (
         found.unionByName(spine)
         .groupBy("series_id", "window_id")
-        .agg(F.collect_list("entry").alias("entries"))
-        .withColumn("entries", F.array_sort(F.concat("entries", blanks)))
+        .agg(F.collect_list("pos").alias("_pos"), F.collect_list("value").alias("_value"))
     )
-    seen = F.col("entries")
+    size = F.when(F.col("window_id") == whole, F.lit(tail)).otherwise(F.lit(length)).cast("int")
     values = F.transform(
-        F.filter(seen, lambda x, i: (i == 0) | (F.get(seen, i - 1)["pos"] != x["pos"])), lambda x: x["value"]
+        F.sequence(F.lit(0), size - 1),
+        lambda p: F.coalesce(F.get("_value", F.array_position("_pos", p).cast("int") - 1), F.lit(float(fill))),
     )
     start = (F.lit(lo) + F.col("window_id") * length) * spec.step_seconds
     return packed.select(
         "series_id",
         "window_id",
         F.timestamp_seconds(start).alias("start_ts"),
-        F.timestamp_seconds(start + (F.size("entries") * 0 + size - 1) * spec.step_seconds).alias("end_ts"),
+        F.timestamp_seconds(start + (size - 1) * spec.step_seconds).alias("end_ts"),
         values.alias("values"),
     )
 

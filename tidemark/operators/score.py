@@ -72,7 +72,7 @@ def with_errors(windows: DataFrame) -> DataFrame:
 
 def point_fit(errors: DataFrame, by: list[str], ridge: float) -> DataFrame:
     """Pooled mean and population variance (plus ridge) of all fit points."""
-    return errors.select(*by, F.explode("err").alias("_e")).groupBy(*by).agg(
+    return errors.select(*by, F.explode_outer("err").alias("_e")).groupBy(*by).agg(
         F.avg("_e").alias("mu_point"), (F.var_pop("_e") + F.lit(ridge)).alias("var_point")
     )
 

@@ -126,7 +126,8 @@ def sliding_windows(
     pair = pair.withColumn("_places", places)
     if gate is not None:
         pair = pair.withColumn("_places", F.filter("_places", lambda p: gate(F.get("stamps", p))))
-    started = pair.withColumn("pos", F.explode("_places"))
+    # The outer form keeps Spark from testing the (costly) place list a second time ahead of the explode.
+    started = pair.withColumn("pos", F.explode_outer("_places")).filter(F.col("pos").isNotNull())
     out = [
         "series_id",
         (F.col("window_id") * length + F.col("pos")).alias("start_idx"),

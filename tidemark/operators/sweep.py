@@ -158,7 +158,7 @@ def run_sweep(
     if scorer.mode == "point":
         fitted = settle(sc.point_fit(fit_rows, by, scorer.ridge))
         scores_of = sc.point_scores
-        pool = scores_of(attach(held_out, fitted, by, ["window_id"])).select(*by, "percentile", F.explode("point_scores").alias("s"))
+        pool = scores_of(attach(held_out, fitted, by, ["window_id"])).select(*by, "percentile", F.explode_outer("point_scores").alias("s"))
     else:
         fitted = settle(sc.window_fit(fit_rows, by, scorer.ridge))
 

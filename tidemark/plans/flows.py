@@ -51,7 +51,7 @@ def fit_scorer(errors: DataFrame, base: Sized, scorer: ScorerSpec, by: list[str]
     if scorer.mode == "point":
         fitted = settle(sc.point_fit(fit_rows, by, scorer.ridge))
         scored = sc.point_scores(attach(held_out, fitted, by, ["window_id"]))
-        pool = scored.select(*by, F.explode("point_scores").alias("score"))
+        pool = scored.select(*by, F.explode_outer("point_scores").alias("score"))
         limit = sc.threshold_fit(pool, by, "score", scorer, bounded).withColumnRenamed("threshold", "point_threshold")
     else:
         fitted = sc.window_fit(fit_rows, by, scorer.ridge) if bounded else sc.pooled_window_fit(fit_rows, length, scorer.ridge)
