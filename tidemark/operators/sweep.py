@@ -133,9 +133,9 @@ def run_sweep(
     """
     by = ["series_id", "trial_id"]
     names = ["series_id", "window_id", "values", "is_anomaly", "is_edge_case"]
-    ranked = settle(rank_normals(windows.select(*names), max_used)).df
+    ranked = rank_normals(settle(windows.select(*names)).df, max_used)
     # Development windows: at most `max_used` per series and trial.
-    dev = fan_out(ranked.filter(F.col("rank") > 0), trials).filter(F.col("split") != "test")
+    dev = settle(fan_out(ranked.filter(F.col("rank") > 0), trials).filter(F.col("split") != "test")).df
     rest = fan_out(ranked, trials).filter(F.col("split") == "test")
     if reconstructor == "profile":
         base = settle(sc.profile_fit(dev, by, grid.length))

@@ -20,20 +20,24 @@ from tidemark.session import Sized, attach, settle
 def prepare(
     buckets: DataFrame, labels: DataFrame | list, grid: GridSpec, splits: SplitSpec, edge_starts=(), min_fraction: float = 0.10
 ) -> DataFrame:
-    """Slot counts to labelled, split, dense windows."""
+    """Slot counts to labelled, split, dense windows.
+
+    The labelled windows are written once: the ranking behind the split reads only
+    their key columns, and every later fit or score starts from them.
+    """
     windows = regular_windows(buckets, grid)
     windows = flag_edge_cases(flag_overlap(windows, labels, grid, min_fraction), edge_starts)
-    return assign_splits(windows, splits)
+    return assign_splits(settle(windows).df, splits)
 
 
 def fit_profile_model(windows: DataFrame, grid: GridSpec, scorer: ScorerSpec, by: list[str]) -> Sized:
     """One parameter row per model: scaler, profile, error distribution, thresholds.
 
-    Reads the development splits only: a bounded number of windows per series
-    (``windows`` should be a written table, the split filter reaches its scan). Point statistics are always fitted, the window factor
+    Reads the development splits only, which are written once: a bounded number
+    of windows per series. Point statistics are always fitted, the window factor
     and the window threshold when ``scorer.mode`` is ``window``.
     """
-    dev = windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")
+    dev = settle(windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")).df
     base = settle(sc.profile_fit(dev, by, grid.length))
     errors = sc.profile_errors(attach(dev, base, by, ["window_id"])).select("series_id", "window_id", "split", "err")
     return fit_scorer(errors, base, scorer, by, grid.length)
@@ -162,7 +166,7 @@ def fit_lstm_model(
     With a key one model per series is trained in parallel groups; without, one
     global model over all series. ``params`` has the scaler and the scorer.
     """
-    dev = windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")
+    dev = settle(windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")).df
     base = settle(sc.scaler_fit(dev, by))
     scaled = settle(attach(dev, base, by, ["window_id"]).withColumn("z", sc.scaled("values")).drop("values", "mean", "scale")).df
     if by:

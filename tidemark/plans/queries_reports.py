@@ -92,7 +92,7 @@ ses AS (
 
 @query("M6 F2 F3 A16 U3", _SES + " SELECT series_id, window_id, is_anomaly, round(score, 4) AS score FROM ses")
 def smoothing_scores(spark, folder):
-    out = baseline.smoothing_scores(settle(s.prepared(spark, folder)).df, 48)
+    out = baseline.smoothing_scores(s.prepared(spark, folder), 48)
     return out.withColumn("score", F.round("score", 4))
 
 
@@ -111,7 +111,7 @@ best AS (SELECT series_id, max(correct) AS correct, arg_max(t, row(correct, -cut
 
 @query("M6 J7 T4", _SES_BEST + " SELECT series_id, correct, round(threshold, 4) AS threshold FROM best")
 def smoothing_best_threshold(spark, folder):
-    pool = settle(baseline.smoothing_scores(settle(s.prepared(spark, folder)).df, 48)).df
+    pool = settle(baseline.smoothing_scores(s.prepared(spark, folder), 48)).df
     out = cal.best_accuracy(pool, s.BY)
     return out.select("series_id", "correct", F.round("threshold", 4).alias("threshold"))
 
@@ -131,7 +131,7 @@ SELECT *, {_METRIC} FROM c""",
 )
 def detector_comparison(spark, folder):
     """Two detectors side by side on the same test windows."""
-    windows = settle(s.prepared(spark, folder)).df
+    windows = s.prepared(spark, folder)
     ses = settle(baseline.smoothing_scores(windows, 48)).df
     best = cal.best_accuracy(ses, s.BY).select("series_id", "threshold")
     first = attach(ses, best, s.BY, ["window_id"]).select(F.lit("smoothing").alias("method"), "is_anomaly", (F.col("score") > F.col("threshold")).alias("is_flagged"))
@@ -276,7 +276,7 @@ FROM wpoint JOIN thr USING (series_id) WHERE split = 'test'""",
 )
 def formatted_results(spark, folder):
     """Result rows as text, five named fields."""
-    windows = settle(s.prepared(spark, folder)).df
+    windows = s.prepared(spark, folder)
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
     replies = flows.detect(windows.filter(F.col("split") == "test"), params, s.DAY, s.POINT, s.BY)
     rounded = replies.withColumn("anomaly_score", F.round("anomaly_score", 3)).withColumn("threshold", F.round("threshold", 3))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.grid import points
 from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
-from tidemark.session import fresh_folder, settle
+from tidemark.session import fresh_folder
 from tidemark.sources import tables
 from tidemark.streaming import jobs
 from tidemark.streaming.windows import count_windows_stream, sunday_gate, window_rows
@@ -73,7 +73,7 @@ def streamed_sliding_windows(spark, folder):
 )
 def streamed_scores(spark, folder):
     """Stateful windows, scored with parameters fitted in batch, written per micro-batch."""
-    windows = settle(s.prepared(spark, folder)).df
+    windows = s.prepared(spark, folder)
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
     stream = count_windows_stream(grid_stream(spark, folder, s.value_buckets(spark, folder)), 48)
     out = fresh_folder(spark, "scores")

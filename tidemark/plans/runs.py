@@ -22,7 +22,7 @@ def train_and_save(
     ``labelled`` windows carry ``is_anomaly`` and ``is_edge_case``. With ``inject``
     the threshold comes from corrupted copies of the threshold split.
     """
-    windows = settle(assign_splits(labelled, splits)).df
+    windows = assign_splits(settle(labelled).df, splits)
     models, params, history = flows.fit_lstm_model(windows, grid, scorer, model, train, by)
     if inject is not None:
         params = flows.with_injected_threshold(windows, models, params, inject, scorer, by, grid.length, method)
@@ -38,7 +38,7 @@ def load_and_score(labelled: DataFrame, folder: str, model_id: str, by: list[str
     """Scored and flagged windows of every split, from saved state."""
     spark = labelled.sparkSession
     config = artifacts.load_config(spark, folder, model_id, splits=SplitSpec, scorer=ScorerSpec)
-    windows = settle(assign_splits(labelled, config["splits"])).df
+    windows = assign_splits(settle(labelled).df, config["splits"])
     models = artifacts.load(spark, folder, "model", model_id)
     params = artifacts.load(spark, folder, "scorer", model_id)
     return flows.score_lstm_windows(windows, models, params, config["scorer"], by)
