@@ -81,6 +81,12 @@ class Splitter:
             return (m.group() for m in self.iterate(text))
         return self.find(text)
 
+    def after(self, text: str, at: int) -> Iterator[str]:
+        """Pre-tokens of ``text`` from ``at`` on, as they are needed; one has to begin there."""
+        if self.maybe_odd is not None and self.maybe_odd(text, at):
+            return (text[m.start() : m.end()] for m in self.iterate(text.translate(self.stand_in), at))
+        return (m.group() for m in self.iterate(text, at))
+
 
 class Codec:
     """Encodes pre-tokens by merge replay and decodes ids, for one rank file and one pattern."""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import Sized, settle
 
@@ -77,7 +78,7 @@ def map_texts(
     Other columns pass through as Arrow buffers; a batch is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(text).alias("_text"))
-    names = [part.split()[0] for part in added.split(", ")]
+    names = [f.name for f in T.StructType.fromDDL(added).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, mixing, quality_rules, sharding, simhash, url_filter
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, url_filter
 from tidemark.llm.common import table
 from tidemark.session import pin_utc
 
@@ -48,6 +48,43 @@ def tokenizer(spark: SparkSession, path: str | None = None) -> byte_bpe.Tokenize
     return byte_bpe.Tokenizer(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def found_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, folder, "doc_id", "text"), secret_scan.fit(), columns=["doc_id"])
+
+    def number(kind: str):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    base = F.filter("findings", lambda f: f["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secret_scan.BASE],
+        F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"),
+        shown(F.filter("findings", lambda f: f["kept"])).alias("spans"),
+    )
+
+
+def edited_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts before and after three edits of every document: a deletion, an insertion, a new ending."""
+    coder = tokenizer(spark)
+    n = F.length("text")
+    edit = lambda start, end, text: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("text"))
+    edits = F.array(edit(n / 4, n / 4 + 10, ""), edit(n / 2, n / 2, " it's 42\n\n new"), edit(n - 5, n + 99, "  end."))
+    docs = _documents(spark, folder, "doc_id", "text").withColumn("edits", edits)
+    before = token_counts.build(docs, coder).withColumn("n_tokens", token_counts.total())
+    after = token_counts.apply_edits(before, coder)
+    return after.select(
+        "doc_id",
+        "n_tokens",
+        token_counts.total().alias("n_tokens_edited"),
+        F.length("text").alias("n_chars_edited"),
+        "split_chars",
+        F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"),
+    )
+
+
 def encoded_documents(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encode(_documents(spark, folder, "doc_id", "text"), tokenizer(spark))
     return coded.select(
@@ -96,8 +133,10 @@ QUERIES = {
     "op1_mixed_sources": mixed_sources,
     "op2_judged_urls": judged_urls,
     "op3_sharded_documents": sharded_documents,
+    "op4_found_secrets": found_secrets,
     "op5_near_copies": near_copies,
     "op6_exact_copies": exact_copies,
+    "op7_edited_token_counts": edited_token_counts,
     "op8_encoded_documents": encoded_documents,
     "op9_formatted_conversations": formatted_conversations,
     "op10_judged_documents": judged_documents,
