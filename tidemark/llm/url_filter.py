@@ -84,7 +84,9 @@ class Model:
 
 
 def fit(hosts: list[str], paths: list[str], bad: list[int], rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Regularised logistic regression by full-batch gradient steps with per-weight step sizes."""
+    """Regularised logistic regression by full-batch gradient steps with per-weight step sizes; no rows: all 0.5."""
+    if not bad:
+        return Model(np.zeros(DIMENSIONS), 0.0)
     y = np.asarray(bad, dtype=np.float64)
     rows, features = _features(hosts, paths)
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))
