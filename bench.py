@@ -41,7 +41,6 @@ HEADLINE = [
     "autocorrelation",
     "decoded_messages",
     "lstm_reconstruction",
-    "lstm_fit_per_series",
     "split_sweep",
     "streamed_tumbling_windows",
     "streamed_sliding_windows",

@@ -145,6 +145,14 @@ def test_sweep_drops_trials_with_an_empty_split(spark, tmp_path):
     assert (summary["configs_tested"], summary["completed_runs"], summary["progress_pct"]) == (2, 1, 50.0)
 
 
+def test_sweep_takes_as_many_windows_as_a_trial_asks_for(spark):
+    x = np.random.default_rng(0).normal(5, 1, (30, 12))
+    windows = dense(spark, x, is_anomaly=[False] * 30, is_edge_case=[False] * 30)
+    trials = spark.createDataFrame([(0, 20, 2, 2, 8, 1, 0.0, 1e-3, 95.0), (1, 4, 2, 12, 8, 1, 0.0, 1e-3, 95.0)], sweep.TRIAL)
+    out = {r["trial_id"]: r for r in sweep.run_sweep(windows, trials, GridSpec(length=12), ScorerSpec(mode="window")).collect()}
+    assert [out[i]["fp"] + out[i]["tn"] for i in (0, 1)] == [6, 12]
+
+
 def test_metrics_with_zero_denominators(spark):
     rows = spark.createDataFrame([("a", False, False)], "k string, is_flagged boolean, is_anomaly boolean")
     m = ev.metrics(ev.confusion(rows, ["k"])).first()

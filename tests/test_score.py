@@ -10,7 +10,7 @@ from tidemark.operators import localise as loc
 from tidemark.operators import score as sc
 from tidemark.operators.quantile import exact_percentiles
 from tidemark.plans import flows
-from tidemark.session import attach, salted_join
+from tidemark.session import attach
 
 
 def errors(spark, x, split=None):
@@ -26,14 +26,32 @@ def test_window_distance_equals_direct_inverse(spark, n, length):
     d = new - fit.mean(axis=0)
     want = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
     for params, by in ((sc.window_fit(errors(spark, fit), ["series_id"], 1e-6), ["series_id"]), (sc.pooled_window_fit(errors(spark, fit), length, 1e-6), [])):
-        out = sc.window_scores(attach(errors(spark, new), params, by, ["window_id"]), 1e-6)
+        out = sc.window_scores(attach(errors(spark, new), params, by), 1e-6)
         got = [r["window_score"] for r in out.orderBy("window_id").collect()]
         assert np.allclose(got, want, rtol=1e-5)
 
 
-def test_one_fit_window_raises(spark):
+def test_one_fit_window_leaves_that_model_out_and_raises_for_a_global_one(spark):
+    assert sc.window_fit(errors(spark, [[1.0, 2.0]]), ["series_id"], 1e-6).collect() == []
     with pytest.raises(Exception, match="at least two fit windows"):
-        sc.window_fit(errors(spark, [[1.0, 2.0]]), ["series_id"], 1e-6).collect()
+        sc.pooled_window_fit(errors(spark, [[1.0, 2.0]]), 2, 1e-6).collect()
+
+
+@pytest.mark.parametrize("mode", ["point", "window"])
+def test_short_series_stay_unscored(spark, mode):
+    rng = np.random.default_rng(3)
+    split = ["train"] * 6 + ["val"] * 2 + ["threshold"] * 2 + ["test"] * 2
+    full = dense(spark, rng.normal(size=(12, 6)), split=split, is_edge_case=[False] * 12, is_anomaly=[False] * 12)
+    short = dense(spark, rng.normal(size=(7, 6)), series="short", split=split[:7], is_edge_case=[False] * 7, is_anomaly=[False] * 7)
+    windows = full.unionByName(short)
+    scorer = ScorerSpec(mode=mode)
+    params = flows.fit_profile_model(windows, GridSpec(length=6), scorer, ["series_id"])
+    scored = flows.score_windows(windows, params, scorer, ["series_id"]).cache()
+    assert scored.count() == 19
+    assert {(r["series_id"], r["n_windows"]) for r in flows.unscored(scored).collect()} == {("short", 7)}
+    replies = flows.replies(scored, GridSpec(length=6)).collect()
+    assert len(replies) == 19 and not any(r["is_anomaly"] for r in replies if r["series_id"] == "short")
+    assert flows.evaluate(scored, ["series_id"]).count() == 1
 
 
 def test_constant_series_scales_by_one(spark):
@@ -131,7 +149,7 @@ def test_top_points_take_the_earlier_of_equals(spark):
     x[0][10] = x[0][12] = x[0][14] = x[0][16] = 5.0
     flagged = errors(spark, x).withColumn("values", F.col("err")).withColumn("window_score", F.lit(1.0))
     grid = GridSpec(length=48)
-    top = loc.top_points(flagged, loc.localise(flagged, grid), grid, "err").orderBy("pos").collect()
+    top = loc.top_points(flagged.withColumn("is_flagged", F.lit(True)), grid, "err").orderBy("pos").collect()
     # Only a span with a single peak has a spike, the earliest is 0..11; equal zeros rank by position.
     assert [r["pos"] for r in top] == [0, 1, 10]
 
@@ -194,11 +212,13 @@ def test_injection_shapes(spark):
             assert np.allclose(got, np.roll(base, 12))
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def test_large_parameters_take_a_plain_join(spark):
     rows = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) k", "id")
     params = rows.groupBy("k").agg(F.max("id").alias("m"))
-    a = sorted(attach(rows, params, ["k"], ["id"]).collect())
-    assert a == sorted(attach(rows, params, ["k"], ["id"], limit=0).collect()) == sorted(salted_join(rows, params, ["k"], ["id"], salts=5).collect())
+    a = sorted(attach(rows, params, ["k"]).collect())
+    assert a == sorted(attach(rows, params, ["k"], limit=0).collect())
+    plan = attach(rows, params, ["k"], limit=0)._jdf.queryExecution().logical().toString()
+    assert "hint" not in plan.lower() and "explode" not in plan.lower()
 
 
 def test_global_model_flow(spark):

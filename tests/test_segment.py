@@ -65,6 +65,28 @@ def test_overlap_threshold(spark, samples, expected, limit):
     assert listed["is_anomaly"] is expected
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_null_and_reversed_intervals_count_for_nothing(spark, limit):
+    windows = dense(spark, [range(336)] * 3)
+    rows = [(None, "2024-01-05 00:00:00"), ("2024-01-01 00:00:00", None), ("2024-01-05 00:00:00", "2024-01-01 00:00:00"), ("2024-01-08 00:00:00", "2030-01-01 00:00:00")]
+    table = spark.createDataFrame(rows, "s string, e string").selectExpr("timestamp(s) start", "timestamp(e) end")
+    out = lab.flag_overlap(windows, table, GridSpec(), inline_limit=limit).orderBy("window_id").collect()
+    assert [r["is_anomaly"] for r in out] == [False, True, True]
+
+
+def test_series_have_their_own_origin_and_keep_null_measures(spark):
+    rows = [("a", s, 1.0) for s in range(4)] + [("b", 200, 2.0), ("b", 201, None), ("b", 203, 2.0)]
+    buckets = spark.createDataFrame(rows, "series_id string, slot long, value double")
+    got = {(r["series_id"], r["window_id"]): r["values"] for r in regular_windows(buckets, GridSpec(length=4)).collect()}
+    assert got == {("a", 0): [1.0] * 4, ("b", 0): [2.0, None, 0.0, 2.0]}
+
+
+def test_both_written_forms_of_a_time(spark):
+    texts = ["2015/01/26 05:30:00.000", "2015/01/25 00:00:00.000", "2015-01-25T00:00:00", "never", "2014/08/24 00:00:00.000", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(fn.passes_text_gate(F.col("t"))).collect()] == [False, True, True, True, False, True]
+
+
 def test_overlaps_of_several_intervals_are_not_added(spark):
     windows = dense(spark, [range(336)])
     two = [("2024-01-01 00:00:00", "2024-01-01 12:00:00"), ("2024-01-02 00:00:00", "2024-01-02 12:00:00")]
@@ -92,7 +114,8 @@ def test_dense_index_splits_a_hot_series(spark):
 def test_gap_filling(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 1800 * 9), ("b", 1800 * 4)], "s string, t long").selectExpr("s", "timestamp_seconds(t) ts")
     got = {(r[0], r[1]): r[2] for r in regular_windows(bucket(rows, "s", "ts", 1800), GridSpec(length=5)).select("series_id", "window_id", "values").collect()}
-    assert got == {("a", 0): [1, 0, 0, 0, 0], ("a", 1): [0, 0, 0, 0, 1], ("b", 0): [0, 0, 0, 0, 1], ("b", 1): [0] * 5}
+    # A series has windows of its own span only: "b" has one slot.
+    assert got == {("a", 0): [1, 0, 0, 0, 0], ("a", 1): [0, 0, 0, 0, 1]}
 
 
 def test_splits(spark):

@@ -13,7 +13,7 @@ from tidemark.plans import flows
 from tidemark.sources import messages as msg
 from tidemark.sources import tables
 from tidemark.streaming import jobs
-from tidemark.streaming.windows import count_windows_stream, deduplicated, sunday_gate, window_rows
+from tidemark.streaming.windows import count_windows_stream, deduplicated, rejected_rows, sunday_gate, window_rows
 
 
 def numbered(regular):
@@ -36,7 +36,7 @@ def test_tumbling_equals_batch_over_split_files_and_restart(spark, regular, tmp_
         add_file(rows.filter(f"sequence_id >= {lo} and sequence_id < {hi}"), src)
 
     def run():
-        jobs.run_to_parquet(window_rows(count_windows_stream(stream_of(spark, src, rows.schema), 336)), out, chk)
+        jobs.run_to_parquet(window_rows(count_windows_stream(stream_of(spark, src, rows.schema), 336, drop_late=True)), out, chk)
 
     run()
     add_file(rows.filter("sequence_id >= 2117 and sequence_id < 10320"), src)
@@ -70,6 +70,8 @@ def test_idle_series_ends(spark, tmp_path):
     src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
     add_file(rows, src)
     stream = jobs.observed(count_windows_stream(stream_of(spark, src, rows.schema), 4, idle_seconds=2))
+    totals = jobs.Totals()
+    spark.streams.addListener(totals)
     query = jobs.start(stream.writeStream.format("parquet").option("path", out), chk, every="1 second")
     try:
         deadline = time.time() + 60
@@ -77,12 +79,36 @@ def test_idle_series_ends(spark, tmp_path):
         while time.time() < deadline and not ended:
             time.sleep(2)
             ended = spark.read.schema(stream.schema).parquet(out).filter("kind = 'ended'").count() if (tmp_path / "out").exists() else 0
-        progress = jobs.progress_rows(query)
+        # Rows that come after the pause go on with the rows that wait.
+        add_file(rows.selectExpr("series_id", "sequence_id + 10 sequence_id", "ts", "value"), src)
+        while time.time() < deadline and spark.read.schema(stream.schema).parquet(out).filter("kind = 'window'").count() < 5:
+            time.sleep(1)
+        key = str(query.id)
     finally:
         query.stop()
-    row = spark.read.schema(stream.schema).parquet(out).filter("kind = 'ended'").first()
+        spark.streams.removeListener(totals)
+    windows = spark.read.schema(stream.schema).parquet(out).filter("kind = 'window'").orderBy("window_id").collect()
+    assert [r["window_id"] for r in windows] == [0, 1, 2, 3, 4] and windows[2]["values"] == [8.0, 9.0, 0.0, 1.0]
+    row = spark.read.schema(stream.schema).parquet(out).filter("kind = 'ended'").orderBy("seen").first()
     assert (row["seen"], row["emitted"], row["buffered"]) == (10, 2, 2)
-    assert progress[-1]["total"] == 10
+    assert totals.rows[key] == 20 and totals.last[key]["total"] == 20
+
+
+def test_late_rows_keep_their_place_and_are_counted(spark, tmp_path):
+    src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    rows = spark.range(96).selectExpr("'a' series_id", "id sequence_id", "timestamp_seconds(id * 1800) ts", "cast(id as double) value")
+    nulls = rows.limit(2).selectExpr("series_id", "cast(null as bigint) sequence_id", "ts", "value")
+    add_file(rows.filter("sequence_id >= 48").unionByName(nulls), src)
+    time.sleep(1)
+    add_file(rows.filter("sequence_id < 48"), src)
+    stream = count_windows_stream(stream_of(spark, src, rows.schema), 24, with_status=True)
+    jobs.run_to_parquet(stream, out, chk)
+    done = spark.read.schema(stream.schema).parquet(out)
+    last = done.filter("kind = 'buffering'").orderBy(F.desc("seen")).first()
+    assert (last["seen"], last["late"], last["emitted"]) == (96, 48, 4)
+    firsts = [r["values"][0] for r in done.filter("kind = 'window'").orderBy("window_id").collect()]
+    assert firsts == [48.0, 72.0, 0.0, 24.0]
+    assert rejected_rows(spark.read.parquet(src)).count() == 2
 
 
 def test_csv_folder_to_json_results(spark, regular, tmp_path):
@@ -98,8 +124,7 @@ def test_csv_folder_to_json_results(spark, regular, tmp_path):
     scorer = ScorerSpec(mode="window", percentile=99.99)
     params = flows.fit_profile_model(noisy.withColumn("series_id", F.lit("csv")), spec, scorer, ["series_id"])
     rows = tables.stream_series_csv(spark, src, "*.csv").withColumn("series_id", F.lit("csv"))
-    parsed = rows.withColumn("timestamp", F.regexp_replace(F.trim("timestamp"), "/", "-"))
-    typed = tables.parse_fields(parsed).filter(~F.col("is_bad")).select(
+    typed = tables.parse_fields(rows).filter(~F.col("is_bad")).select(
         "series_id", F.unix_seconds("ts").alias("sequence_id"), "ts", F.col("number").alias("value")
     )
     windows = count_windows_stream(typed, 336, step=1, gate=sunday_gate("2014-08-31"))

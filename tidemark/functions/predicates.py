@@ -22,9 +22,15 @@ def passes_gate(ts: Column, cutoff: str = fv.SCORING_CUTOFF) -> Column:
     return starts_on_sunday_midnight(ts) & not_before(ts, cutoff)
 
 
+def parse_time(text: Column) -> Column:
+    """Time from ISO text or from the slashed form ``yyyy/MM/dd HH:mm:ss.SSS``; null if it is neither."""
+    dashed = F.regexp_replace(F.trim(text), r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    return dashed.try_cast("timestamp")
+
+
 def passes_text_gate(start: Column, cutoff: str = fv.SCORING_CUTOFF) -> Column:
     """The same gate on a start given as text; text that is no time passes."""
-    return passes_gate(start.try_cast("timestamp"), cutoff)
+    return passes_gate(parse_time(start), cutoff)
 
 
 def in_range(ts: Column, first: str, last: str) -> Column:

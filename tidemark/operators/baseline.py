@@ -59,11 +59,21 @@ def moving_stats(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
 
 
 def prefix_sum(rows: DataFrame, value: str = "value", block: int = BLOCK) -> DataFrame:
-    """Running sum along the series: inside blocks, plus the totals of the blocks before."""
+    """Running sum along the series: inside blocks, plus the totals of the blocks before.
+
+    The block totals are summed up in two levels as well: blocks inside groups of ``block`` blocks, then
+    the groups, so that one series of n rows puts n / block^2 rows into one task.
+    """
     cut = rows.withColumn("block", F.floor(F.col("idx") / block).cast("long"))
     totals = cut.groupBy("series_id", "block").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy("series_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("series_id", "block", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_carry"))
+    totals = totals.withColumn("_group", F.floor(F.col("block") / block).cast("long"))
+    groups = totals.groupBy("series_id", "_group").agg(F.sum("_total").alias("_sum"))
+    earlier = Window.partitionBy("series_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("series_id", "_group", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_base"))
+    before = Window.partitionBy("series_id", "_group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.join(groups, ["series_id", "_group"]).select(
+        "series_id", "block", (F.col("_base") + F.coalesce(F.sum("_total").over(before), F.lit(0.0))).alias("_carry")
+    )
     local = cut.withColumn("_local", F.sum(value).over(_in_block()))
     return (
         local.join(carry, ["series_id", "block"])
@@ -131,7 +141,7 @@ def autocorrelation(rows: DataFrame, max_lag: int, block: int | None = None) ->
 
     block = block or max(BLOCK, max_lag)
     stats = rows.groupBy("series_id").agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.count("value").alias("_n"))
-    centred = attach(rows.select("series_id", "idx", "value"), stats, ["series_id"], ["idx"])
+    centred = attach(rows.select("series_id", "idx", "value"), stats, ["series_id"])
     centred = centred.withColumn("value", F.col("value") - F.col("_m"))
     shared = shared_blocks(centred, block, ahead=max_lag - 1)
     packed = shared.groupBy("series_id", "block").agg(

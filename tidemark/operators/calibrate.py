@@ -25,7 +25,7 @@ def candidate_counts(scores: DataFrame, candidates: DataFrame, by: list[str]) ->
     cells (one more than there are candidates) are summed from the top.
     """
     listed = candidates.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cut", "threshold"))).alias("_cands"))
-    met = attach(scores, listed, by, ["score"])
+    met = attach(scores, listed, by)
     cell = F.size(F.filter("_cands", lambda c: c["threshold"] < F.col("score")))
     cells = met.groupBy(*by, cell.alias("_cell")).agg(
         F.count_if("is_anomaly").alias("pos"), F.count_if(~F.col("is_anomaly")).alias("neg")
@@ -33,7 +33,7 @@ def candidate_counts(scores: DataFrame, candidates: DataFrame, by: list[str]) ->
     totals = cells.groupBy(*by).agg(
         F.collect_list(F.struct("_cell", "pos", "neg")).alias("_cells"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
     )
-    both = candidates.join(totals, by) if by else attach(candidates, totals, [], [])
+    both = candidates.join(totals, by) if by else attach(candidates, totals, [])
     hits = F.filter("_cells", lambda x: x["_cell"] > F.col("cut"))
     zero = F.lit(0).cast("long")
     out = both.withColumn("tp", F.aggregate(hits, zero, lambda a, x: a + x["pos"])).withColumn(
@@ -75,7 +75,7 @@ def calibrate(scores: DataFrame, by: list[str], method: str, beta: float = 1.0,
             fallback = normal.groupBy(*by).agg(F.percentile("score", F.lit(0.99)).alias("_p99"))
         else:
             fallback = exact_percentiles(normal, by, "score", [0.99]).select(*by, F.col("threshold").alias("_p99"))
-        both = report.join(fallback, by) if by else attach(report, fallback, [], [])
+        both = report.join(fallback, by) if by else attach(report, fallback, [])
         middle = (F.col("max_normal") + F.col("min_anomaly")) / 2
         return both.select(
             *by,
@@ -99,7 +99,7 @@ def calibrate(scores: DataFrame, by: list[str], method: str, beta: float = 1.0,
         middle = scores.groupBy(*by).agg(F.percentile("score", F.lit(0.5)).alias("_median"))
     else:
         middle = exact_percentiles(scores, by, "score", [0.5]).select(*by, F.col("threshold").alias("_median"))
-    both = best.join(middle, by) if by else attach(best, middle, [], [])
+    both = best.join(middle, by) if by else attach(best, middle, [])
     better = F.col("_b.objective") > floor
     return both.select(
         *by,

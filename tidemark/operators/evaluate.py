@@ -52,7 +52,7 @@ def separability(scores: DataFrame, by: list[str]) -> DataFrame:
 def score_histogram(scores: DataFrame, by: list[str], value: str, bins: int = 29) -> DataFrame:
     """Equal-width counts between the global minimum and maximum; the last bin is closed."""
     span = scores.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = attach(scores, span, [], [])
+    placed = attach(scores, span, [])
     same = F.col("_hi") == F.col("_lo")
     bin_no = F.when(same, 1).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)) + 1, F.lit(bins))
@@ -63,7 +63,7 @@ def score_histogram(scores: DataFrame, by: list[str], value: str, bins: int = 29
 def max_normalised(scores: DataFrame, by: list[str], value: str) -> DataFrame:
     """Scores over the largest score of their group."""
     top = scores.groupBy(*by).agg(F.max(value).alias("_top"))
-    return attach(scores, top, by, ["window_id"]).withColumn("normalised", F.col(value) / F.col("_top")).drop("_top")
+    return attach(scores, top, by).withColumn("normalised", F.col(value) / F.col("_top")).drop("_top")
 
 
 def leaderboard(trials: DataFrame, metric: str, n: int = 20) -> DataFrame:
@@ -93,7 +93,7 @@ def exemplars(windows: DataFrame) -> DataFrame:
 def in_view(found: DataFrame, shown: DataFrame) -> DataFrame:
     """Flagged spans that meet the shown time range (``shown``: one row ``lo, hi``)."""
     return (
-        attach(found, shown, [], [])
+        attach(found, shown, [])
         .filter((F.col("anomaly_end") >= F.col("lo")) & (F.col("anomaly_start") <= F.col("hi")))
         .drop("lo", "hi")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import GridSpec
-from tidemark.session import settle
+from tidemark.session import Sized, attach, settle
 
 
 def bucket(rows: DataFrame, series: str, ts: str, step_seconds: int, value: Column | None = None) -> DataFrame:
@@ -23,63 +23,68 @@ def bucket(rows: DataFrame, series: str, ts: str, step_seconds: int, value: Colu
 
 
 def regular_windows(buckets: DataFrame, spec: GridSpec, fill: float = 0.0, keep_tail: bool = False) -> DataFrame:
-    """Dense windows of all series over their common span, gaps filled.
+    """Dense windows of every series over its own span, gaps filled.
 
-    The bucket table is written once (a small fraction of the raw rows) and its
-    span is observed on the way, so the raw table is scanned exactly once.
+    The bucket table is written once (a small fraction of the raw rows), so the raw
+    table is scanned exactly once; first and last slot per series are one row each.
+    A series starts at its own first slot plus ``offset_days``. A slot that is there with a
+    null value stays null; only absent slots are filled.
     """
-    kept = settle(buckets, lo=F.min("slot"), hi=F.max("slot"))
-    lo, hi = kept.seen["lo"], kept.seen["hi"]
-    if lo is None:
-        lo, hi = 0, -1
-    return windows_over(kept.df, spec, lo + spec.offset_slots, hi, fill, keep_tail)
+    kept = settle(buckets.filter(F.col("series_id").isNotNull() & F.col("slot").isNotNull())).df
+    spans = kept.groupBy("series_id").agg((F.min("slot") + spec.offset_slots).alias("_lo"), F.max("slot").alias("_hi"))
+    return windows_over(kept, settle(spans), spec, fill, keep_tail)
 
 
-def windows_over(
-    buckets: DataFrame, spec: GridSpec, lo: int, hi: int, fill: float = 0.0, keep_tail: bool = False
-) -> DataFrame:
-    """As ``regular_windows`` for a known slot range (both ends inclusive): fully lazy.
+def windows_over(buckets: DataFrame, spans: Sized, spec: GridSpec, fill: float = 0.0, keep_tail: bool = False) -> DataFrame:
+    """As ``regular_windows`` for known spans: ``series_id, _lo, _hi``, both ends inclusive.
 
-    One shuffle on (series, window): the window spine adds empty windows, and
-    missing slots inside a window are filled in the array itself.
+    One shuffle on (series, window): the window spine adds empty windows of a
+    series' own span, and missing slots inside a window are filled in the array itself.
     """
     length = spec.length
-    total = max(0, hi - lo + 1)
-    whole, tail = divmod(total, length)
-    count = whole + (1 if keep_tail and tail else 0)
-    placed = F.col("slot") - F.lit(lo)
-    found = buckets.filter(F.col("slot").between(lo, lo + min(count * length, total) - 1) & F.col("value").isNotNull()).select(
+    total = F.greatest(F.lit(0).cast("long"), F.col("_hi") - F.col("_lo") + 1)
+    whole = F.floor(total / length).cast("long")
+    ends = total if keep_tail else whole * length
+    placed = F.col("slot") - F.col("_lo")
+    found = attach(buckets, spans, ["series_id"]).filter((placed >= 0) & (placed < ends)).select(
         "series_id",
         F.floor(placed / F.lit(length)).cast("long").alias("window_id"),
-        F.pmod(placed, F.lit(length)).cast("int").alias("pos"),
-        "value",
+        F.struct(F.pmod(placed, F.lit(length)).cast("int").alias("pos"), "value").alias("_cell"),
+        F.lit(None).cast("struct<start:bigint,size:int>").alias("_frame"),
     )
-    spine = buckets.select("series_id").distinct().select(
-        "series_id",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(count - 1, 0)).cast("long"))).alias("window_id"),
-        F.lit(None).cast("int").alias("pos"),
-        F.lit(None).cast("double").alias("value"),
+    windows = F.ceil(ends / length).cast("long")
+    window = F.col("window_id")
+    spine = (
+        spans.df.filter(ends > 0)
+        .withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("long"), windows - 1)))
+        .select(
+            "series_id",
+            "window_id",
+            F.lit(None).cast("struct<pos:int,value:double>").alias("_cell"),
+            F.struct(
+                (F.col("_lo") + window * length).alias("start"), F.least(F.lit(length), total - window * length).cast("int").alias("size")
+            ).alias("_frame"),
+        )
     )
-    if count == 0:
-        spine = spine.filter(F.lit(False))
-    # Both lists are collected row by row in step; the spine's nulls are left out of both.
     packed = (
         found.unionByName(spine)
         .groupBy("series_id", "window_id")
-        .agg(F.collect_list("pos").alias("_pos"), F.collect_list("value").alias("_value"))
-    )
-    size = F.when(F.col("window_id") == whole, F.lit(tail)).otherwise(F.lit(length)).cast("int")
-    values = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda p: F.coalesce(F.get("_value", F.array_position("_pos", p).cast("int") - 1), F.lit(float(fill))),
+        .agg(F.collect_list("_cell").alias("_cells"), F.first("_frame", ignorenulls=True).alias("_frame"))
+        .withColumn("_pos", F.transform("_cells", lambda c: c["pos"]))
     )
-    start = (F.lit(lo) + F.col("window_id") * length) * spec.step_seconds
+
+    def value(p):
+        at = F.array_position("_pos", p).cast("int")
+        return F.when(at == 0, F.lit(float(fill))).otherwise(F.get("_cells", at - 1)["value"])
+
+    start = F.col("_frame.start") * spec.step_seconds
+    size = F.col("_frame.size")
     return packed.select(
         "series_id",
         "window_id",
         F.timestamp_seconds(start).alias("start_ts"),
         F.timestamp_seconds(start + (size - 1) * spec.step_seconds).alias("end_ts"),
-        values.alias("values"),
+        F.transform(F.sequence(F.lit(0), size - 1), value).alias("values"),
     )
 
 

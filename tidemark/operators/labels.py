@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark import fixed_values as fv
 from tidemark.config import GridSpec, SplitSpec
-from tidemark.session import SALTS, attach, attach_scalar, settle
+from tidemark.session import attach, attach_scalar, settle
 
 # Up to this many intervals are tested inside each row, without a join.
 INLINE_INTERVALS = 1000
@@ -26,26 +26,28 @@ def flag_overlap(
 ) -> DataFrame:
     """``is_anomaly``: some single interval covers at least ``min_fraction`` of the window.
 
-    ``labels`` is a list of ``(start, end, ...)`` texts or a table ``start, end``.
+    ``labels`` is a list of ``(start, end, ...)`` texts or a table ``start, end``. Intervals
+    with a null end or with ends in the wrong order are left out, whatever the path.
     A list, or a table measured to be short, becomes one array tested in place. A
-    long table is cut into time bins: both sides meet on the bin in a salted
+    long table is cut into time bins: both sides meet on the bin in a
     semi join, which yields a window at most once and never lists pairs.
     """
     ws, we = F.unix_seconds("start_ts"), F.unix_seconds("end_ts")
 
     def covered(ls, le, ws, we):
         samples = F.floor((F.least(le, we) - F.greatest(ls, ws)) / spec.step_seconds) + 1
-        return (ws <= le) & (we >= ls) & (samples / spec.length >= F.lit(min_fraction))
+        return (ls <= le) & (ws <= le) & (we >= ls) & (samples / spec.length >= F.lit(min_fraction))
 
     def flagged(listed):
-        return F.exists(listed, lambda x: covered(x["ls"], x["le"], ws, we))
+        return F.coalesce(F.exists(listed, lambda x: covered(x["ls"], x["le"], ws, we)), F.lit(False))
 
     if isinstance(labels, list):
         ends = [[F.unix_seconds(F.to_timestamp(F.lit(t))) for t in row[:2]] for row in labels]
         if not ends:
             return windows.withColumn("is_anomaly", F.lit(False))
         return windows.withColumn("is_anomaly", flagged(F.array(*[F.struct(a.alias("ls"), b.alias("le")) for a, b in ends])))
-    fixed = settle(labels.select(F.unix_seconds("start").alias("ls"), F.unix_seconds("end").alias("le")).distinct())
+    ends = labels.select(F.unix_seconds("start").alias("ls"), F.unix_seconds("end").alias("le"))
+    fixed = settle(ends.filter(F.col("ls") <= F.col("le")).distinct())
     if fixed.rows <= inline_limit:
         listed = fixed.df.agg(F.collect_list(F.struct("ls", "le")).alias("_labels"))
         return attach_scalar(windows, listed).withColumn("is_anomaly", flagged("_labels")).drop("_labels")
@@ -53,17 +55,27 @@ def flag_overlap(
 
 
 def _flag_by_bins(windows: DataFrame, intervals: DataFrame, spec: GridSpec, covered) -> DataFrame:
+    """Bins come in sizes that double: an interval takes the first size not below its length.
+
+    So it lies in two bins at most, however long it is, and a window asks one or two bins of each
+    size in use (64 at the very most).
+    """
     width = spec.length * spec.step_seconds
+    sized = intervals.withColumn(
+        "level", F.greatest(F.lit(0), F.ceil(F.log2((F.col("le") - F.col("ls") + 1) / width))).cast("int")
+    )
+    levels = sorted(r["level"] for r in sized.select("level").distinct().collect())
+    if not levels:
+        return windows.withColumn("is_anomaly", F.lit(False))
 
     def bins(a, b):
-        return F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+        size = F.pow(F.lit(2.0), F.col("level")) * width
+        return F.explode(F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long")))
 
     left = windows.select("series_id", "window_id", F.unix_seconds("start_ts").alias("ws"), F.unix_seconds("end_ts").alias("we"))
-    left = left.withColumn("bin", bins("ws", "we"))
-    left = left.withColumn("salt", F.pmod(F.xxhash64("series_id", "window_id"), F.lit(SALTS)).cast("int"))
-    right = intervals.withColumn("bin", bins("ls", "le"))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    meets = (left.bin == right.bin) & (left.salt == right.salt) & covered(right.ls, right.le, left.ws, left.we)
+    left = left.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("bin", bins("ws", "we"))
+    right = sized.withColumn("bin", bins("ls", "le"))
+    meets = (left.bin == right.bin) & (left.level == right.level) & covered(right.ls, right.le, left.ws, left.we)
     hits = left.join(right, meets, "left_semi").select("series_id", "window_id").distinct()
     hits = hits.withColumn("_hit", F.lit(True))
     return (
@@ -94,7 +106,7 @@ def assign_splits(windows: DataFrame, spec: SplitSpec) -> DataFrame:
     used = early.groupBy("series_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "window_id"))), lambda x: x["window_id"]).alias("_used")
     )
-    out = attach(windows, used, ["series_id"], ["window_id"], "left")
+    out = attach(windows, used, ["series_id"], "left")
     out = out.withColumn("_used", F.coalesce("_used", F.expr("cast(array() as array<bigint>)")))
     out = out.withColumn("_rank", F.array_position("_used", F.col("window_id")))
     rank = F.col("_rank")

@@ -96,7 +96,7 @@ def reconstruct(windows: DataFrame, models: DataFrame | Sized, by: list[str], mo
     keys = keyed.select(*by, "_chunk").distinct()
     group = [*by, "_chunk"]
     # Renamed keys: both sides of the cogroup descend from the same windows.
-    placed = attach(keys, models, by, ["_chunk"]).select(*[F.col(c).alias(f"_m_{c}") for c in group], *MODEL_COLUMNS)
+    placed = attach(keys, models, by).select(*[F.col(c).alias(f"_m_{c}") for c in group], *MODEL_COLUMNS)
 
     def run_group(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if len(rows) == 0 or len(model) == 0:

@@ -33,7 +33,7 @@ def exact_percentiles(
     sketch = sketch.select(
         *by, F.slice("_edges", 1, k).alias("_lows"), F.slice("_edges", k + 1, k).alias("_highs"), "_n"
     )
-    met = attach(rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), sketch, by, ["_v"])
+    met = attach(rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), sketch, by)
 
     # Brackets rise with the fraction, so two small integers say where a value lies.
     placed = met.withColumn("_over", F.size(F.filter("_lows", lambda x: x <= F.col("_v")))).withColumn(

@@ -134,6 +134,8 @@ def window_fit(errors: DataFrame, by: list[str], ridge: float) -> DataFrame:
         ordered = pdf.sort_values(["series_id", "window_id"])
         x = np.stack(ordered["err"].to_numpy())
         if len(x) < 2:
+            if by:  # this model stays without window parameters; the others go on
+                return pd.DataFrame(columns=names)
             raise ValueError("window scoring needs at least two fit windows per model")
         mu = x.mean(axis=0)
         _, s, vt = np.linalg.svd(x - mu, full_matrices=False)
@@ -143,6 +145,7 @@ def window_fit(errors: DataFrame, by: list[str], ridge: float) -> DataFrame:
         row.update(mu=mu.tolist(), basis=(vt[keep] * shrink[:, None]).tolist(), n_fit=len(x))
         return pd.DataFrame([row])
 
+    names = [*by, "mu", "basis", "n_fit"]
     need = list(dict.fromkeys([*by, "series_id", "window_id", "err"]))
     return errors.select(*need).groupBy(*by).applyInPandas(fit, schema)
 
@@ -158,7 +161,7 @@ def pooled_window_fit(errors: DataFrame, length: int, ridge: float) -> DataFrame
     mean_row = pivot.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("mu"), F.max("n").alias("n_fit")
     )
-    centred = attach(errors.select("err"), mean_row, [], [])
+    centred = attach(errors.select("err"), mean_row, [])
 
     def gram(batches):
         total = np.zeros((length, length))
@@ -172,7 +175,7 @@ def pooled_window_fit(errors: DataFrame, length: int, ridge: float) -> DataFrame
     cells = parts.select("i", F.posexplode("g").alias("j", "_g")).groupBy("i", "j").agg(F.sum("_g").alias("g"))
     rows = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "g"))), lambda x: x["g"]).alias("g"))
     square = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda x: x["g"]).alias("gram"))
-    whole = attach(square, mean_row, [], [])
+    whole = attach(square, mean_row, [])
 
     def factor(batches):
         for pdf in batches:
@@ -191,11 +194,17 @@ def pooled_window_fit(errors: DataFrame, length: int, ridge: float) -> DataFrame
     return whole.select("mu", "n_fit", "gram").mapInPandas(factor, "mu array<double>, basis array<array<double>>, n_fit long")
 
 
+# The explicit covariance has L (L + 1) / 2 aggregates: 528 at this length.
+LONGEST_EXPLICIT = 32
+
+
 def position_covariance(errors: DataFrame, by: list[str], length: int, ridge: float) -> DataFrame:
     """Explicit position covariance for short windows: one pass, no self join.
 
-    ``i, j, cov`` in long form, i <= j. Long windows use the factor form instead.
+    ``i, j, cov`` in long form, i <= j. Windows above ``LONGEST_EXPLICIT`` use the factor form instead.
     """
+    if length > LONGEST_EXPLICIT:
+        raise ValueError(f"windows of more than {LONGEST_EXPLICIT} points take window_fit")
     pairs = [(i, j) for i in range(length) for j in range(i, length)]
     cells = F.array(
         *[

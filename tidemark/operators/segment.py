@@ -19,7 +19,7 @@ def offset_start(rows: DataFrame, offset_days: int) -> DataFrame:
     """
     first = rows.groupBy("series_id").agg(F.min("ts").alias("_first"))
     return (
-        attach(rows, first, ["series_id"], ["ts"])
+        attach(rows, first, ["series_id"])
         .filter(F.col("ts") >= F.col("_first") + F.make_dt_interval(F.lit(offset_days)))
         .drop("_first")
     )
@@ -50,7 +50,7 @@ def dense_index(rows: DataFrame, order: list[str], key: str = "series_id") -> Da
         F.sum("_n").over(Window.partitionBy(key)).alias("total"),
     )
     return (
-        attach(placed, offsets, [key, "_run"], ["_at"])
+        attach(placed, offsets, [key, "_run"])
         .withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_run", "_at", "_first", "_before")
     )

@@ -90,7 +90,7 @@ def rank_normals(windows: DataFrame, max_used: int) -> DataFrame:
     used = early.groupBy("series_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "window_id"))), lambda x: x["window_id"]).alias("_used")
     )
-    found = attach(windows, used, ["series_id"], ["window_id"], "left")
+    found = attach(windows, used, ["series_id"], "left")
     return found.withColumn("rank", F.coalesce(F.array_position("_used", F.col("window_id")), F.lit(0))).drop("_used")
 
 
@@ -101,7 +101,7 @@ def fan_out(ranked: DataFrame, trials: DataFrame) -> DataFrame:
     need a shuffle of their own.
     """
     listed = trials.agg(F.collect_list(F.struct(*trials.columns)).alias("_trials"))
-    out = attach(ranked, listed, [], []).withColumn("_t", F.explode("_trials"))
+    out = attach(ranked, listed, []).withColumn("_t", F.explode("_trials"))
     out = out.select(*ranked.columns, "_t.*")
     rank = F.col("rank")
     split = (
@@ -123,7 +123,7 @@ def array_percentile(ordered: Column, fraction: Column) -> Column:
 
 def run_sweep(
     windows: DataFrame, trials: DataFrame, grid: GridSpec, scorer: ScorerSpec, reconstructor: str = "profile",
-    train: TrainSpec = TrainSpec(), beta: float = 0.1, max_used: int = 14,
+    train: TrainSpec = TrainSpec(), beta: float = 0.1,
 ) -> DataFrame:
     """All trials in one set of jobs: one result row per trial, pooled over the series.
 
@@ -133,8 +133,10 @@ def run_sweep(
     """
     by = ["series_id", "trial_id"]
     names = ["series_id", "window_id", "values", "is_anomaly", "is_edge_case"]
+    # As many development windows as the largest trial asks for.
+    max_used = trials.agg(F.max(F.col("train") + F.col("val") + F.col("threshold"))).first()[0] or 0
     ranked = rank_normals(settle(windows.select(*names)).df, max_used)
-    # Development windows: at most `max_used` per series and trial.
+    # Development windows: what the trial asks for, per series and trial.
     dev = settle(fan_out(ranked.filter(F.col("rank") > 0), trials).filter(F.col("split") != "test")).df
     rest = fan_out(ranked, trials).filter(F.col("split") == "test")
     if reconstructor == "profile":
@@ -142,12 +144,12 @@ def run_sweep(
         models, info = None, None
     else:
         base = settle(sc.scaler_fit(dev, by))
-        scaled = attach(dev, base, by, ["window_id"]).withColumn("z", sc.scaled("values"))
+        scaled = attach(dev, base, by).withColumn("z", sc.scaled("values"))
         models = settle(lstm.fit_grouped(scaled, by, train, ModelSpec(length=grid.length)))
         info = models.df.select(*by, "train_loss", "val_loss", "best_epoch", "total_params")
 
     def errors_of(rows):
-        rows = attach(rows, base, by, ["window_id"])
+        rows = attach(rows, base, by)
         if models is None:
             return sc.profile_errors(rows)
         slim = rows.withColumn("z", sc.scaled("values")).select(*by, "window_id", "split", "is_anomaly", "is_edge_case", "percentile", "z")
@@ -158,19 +160,19 @@ def run_sweep(
     if scorer.mode == "point":
         fitted = settle(sc.point_fit(fit_rows, by, scorer.ridge))
         scores_of = sc.point_scores
-        pool = scores_of(attach(held_out, fitted, by, ["window_id"])).select(*by, "percentile", F.explode_outer("point_scores").alias("s"))
+        pool = scores_of(attach(held_out, fitted, by)).select(*by, "percentile", F.explode_outer("point_scores").alias("s"))
     else:
         fitted = settle(sc.window_fit(fit_rows, by, scorer.ridge))
 
         def scores_of(rows):
             return sc.window_scores(rows, scorer.ridge)
 
-        pool = scores_of(attach(held_out, fitted, by, ["window_id"])).select(*by, "percentile", F.col("window_score").alias("s"))
+        pool = scores_of(attach(held_out, fitted, by)).select(*by, "percentile", F.col("window_score").alias("s"))
     # The pool of one (series, trial) is its threshold split: bounded.
     ordered = pool.groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("_s"), F.first("percentile").alias("_p"))
     limits = settle(ordered.select(*by, array_percentile(F.col("_s"), F.col("_p") / 100.0).alias("limit")))
     final = Sized(fitted.df.join(limits.df, by), limits.rows, fitted.bytes + limits.bytes)
-    test = scores_of(attach(errors_of(rest), final, by, ["window_id"]))
+    test = scores_of(attach(errors_of(rest), final, by))
     if scorer.mode == "point":
         flagged = F.size(F.filter("point_scores", lambda s: s > F.col("limit"))) >= scorer.hard_k
     else:
@@ -186,20 +188,20 @@ def run_sweep(
     return trials.join(results, "trial_id")
 
 
-def sweep_summary(results: DataFrame, trials: DataFrame, metric: str) -> DataFrame:
-    """One row: how many trials were asked and finished, progress, best configuration."""
+def sweep_summary(results: DataFrame, trials: DataFrame, metric: str, beta: float = 0.1) -> DataFrame:
+    """One row: how many trials were asked and finished, progress, metric and its beta, best configuration."""
     total = trials.agg(F.count(F.lit(1)).alias("configs_tested"))
     best = results.agg(
         F.count(F.lit(1)).alias("completed_runs"),
         F.max_by(F.struct(*results.columns), F.struct(metric, -F.col("trial_id"))).alias("best_config"),
     )
-    both = attach(total, best, [], [])
+    both = attach(total, best, [])
     percent = F.when(F.col("configs_tested") > 0, F.round(100 * F.col("completed_runs") / F.col("configs_tested"), 1)).otherwise(0.0)
-    return both.select("configs_tested", "completed_runs", percent.alias("progress_pct"), F.lit(metric).alias("sort_by"), "best_config")
+    return both.select("configs_tested", "completed_runs", percent.alias("progress_pct"), F.lit(metric).alias("sort_by"), F.lit(beta).alias("beta"), "best_config")
 
 
-def write_report(results: DataFrame, trials: DataFrame, metric: str, path: str) -> None:
+def write_report(results: DataFrame, trials: DataFrame, metric: str, path: str, beta: float = 0.1) -> None:
     """Sorted results and the summary as JSON."""
     fixed = settle(results).df
     fixed.orderBy(F.desc(metric), "trial_id").write.mode("overwrite").json(f"{path}/results")
-    sweep_summary(fixed, trials, metric).write.mode("overwrite").json(f"{path}/summary")
+    sweep_summary(fixed, trials, metric, beta).write.mode("overwrite").json(f"{path}/summary")

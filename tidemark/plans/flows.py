@@ -34,102 +34,112 @@ def fit_profile_model(windows: DataFrame, grid: GridSpec, scorer: ScorerSpec, by
     """One parameter row per model: scaler, profile, error distribution, thresholds.
 
     Reads the development splits only, which are written once: a bounded number
-    of windows per series. Point statistics are always fitted, the window factor
-    and the window threshold when ``scorer.mode`` is ``window``.
+    of windows per series.
     """
     dev = settle(windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")).df
     base = settle(sc.profile_fit(dev, by, grid.length))
-    errors = sc.profile_errors(attach(dev, base, by, ["window_id"])).select("series_id", "window_id", "split", "err")
+    errors = sc.profile_errors(attach(dev, base, by)).select("series_id", "window_id", "split", "err")
     return fit_scorer(errors, base, scorer, by, grid.length)
 
 
 def fit_scorer(errors: DataFrame, base: Sized, scorer: ScorerSpec, by: list[str], length: int) -> Sized:
     """Error distribution from the val split, threshold from the threshold split.
 
-    ``errors`` has ``series_id, window_id, split, err`` of the development splits;
-    the columns of ``base`` (one row per model) are carried into the result.
+    ``errors`` has ``series_id, window_id, split, err`` of the development splits; the
+    columns of ``base`` (one row per model) are carried into the result. Point mode fits
+    the window statistics and the window threshold too, so that a reply can report it.
+    A model lacks the parameters whose splits are empty or too short: they are null.
     """
     bounded = "series_id" in by
     fit_rows = errors.filter(F.col("split") == "val")
     held_out = errors.filter(F.col("split") == "threshold")
+    fitted = sc.window_fit(fit_rows, by, scorer.ridge) if by else sc.pooled_window_fit(fit_rows, length, scorer.ridge)
+    fitted = settle(fitted)
+    scored = sc.window_scores(attach(held_out, fitted, by), scorer.ridge)
+    parts = [fitted.df, sc.threshold_fit(scored, by, "window_score", scorer, bounded)]
     if scorer.mode == "point":
-        fitted = settle(sc.point_fit(fit_rows, by, scorer.ridge))
-        scored = sc.point_scores(attach(held_out, fitted, by, ["window_id"]))
-        pool = scored.select(*by, F.explode_outer("point_scores").alias("score"))
+        points = settle(sc.point_fit(fit_rows, by, scorer.ridge))
+        pool = sc.point_scores(attach(held_out, points, by)).select(*by, F.explode_outer("point_scores").alias("score"))
         limit = sc.threshold_fit(pool, by, "score", scorer, bounded).withColumnRenamed("threshold", "point_threshold")
-    else:
-        fitted = sc.window_fit(fit_rows, by, scorer.ridge) if bounded else sc.pooled_window_fit(fit_rows, length, scorer.ridge)
-        fitted = settle(fitted)
-        scored = sc.window_scores(attach(held_out, fitted, by, ["window_id"]), scorer.ridge)
-        limit = sc.threshold_fit(scored, by, "window_score", scorer, bounded)
+        parts += [points.df, limit]
     out = base.df
-    for part in (fitted.df, limit):
-        out = out.join(part, by) if by else attach(out, part, [], [])
-    # The threshold adds one number per model.
+    for part in parts:
+        out = out.join(part, by, "left") if by else attach(out, part, [])
+    # Thresholds and point statistics add a few numbers per model.
     return Sized(out, base.rows, base.bytes + fitted.bytes + 64 * base.rows)
 
 
 def score_windows(windows: DataFrame, params: DataFrame | Sized, scorer: ScorerSpec, by: list[str]) -> DataFrame:
-    """Reconstruct with the profile, score and flag. The one code path of batch and stream."""
-    return flag(sc.profile_errors(attach(windows, params, by, ["window_id"])), scorer)
+    """Reconstruct with the profile, score and flag. The one code path of batch and stream.
+
+    Windows of a series without a complete model stay, with ``is_scored`` false.
+    """
+    return flag(sc.profile_errors(attach(windows, params, by, "left")), scorer)
 
 
 def flag(errors: DataFrame, scorer: ScorerSpec) -> DataFrame:
-    """Point mode when point parameters and a point threshold exist, else window mode."""
-    if {"mu_point", "point_threshold"} <= set(errors.columns):
-        scored = sc.point_scores(errors).withColumn("_tau", required("point_threshold"))
-        over = F.size(F.filter("point_scores", lambda s: s > F.col("_tau")))
-        return scored.withColumn("n_over", over).withColumn("is_flagged", F.col("n_over") >= scorer.hard_k).drop("_tau")
-    if "threshold" not in errors.columns:
-        raise ValueError("threshold not set: fit it first")
-    return sc.window_scores(errors, scorer.ridge).withColumn("is_flagged", F.col("window_score") > required("threshold"))
+    """Flags by the mode of ``scorer``; a missing column is an error, a missing value leaves the window unscored."""
+    name = "point_threshold" if scorer.mode == "point" else "threshold"
+    if name not in errors.columns:
+        raise ValueError(f"{name} not set: fit it first")
+    if scorer.mode == "point":
+        scored = sc.point_scores(errors)
+        over = F.size(F.filter("point_scores", lambda s: s > F.col("point_threshold")))
+        scored = scored.withColumn("n_over", over)
+        hit = F.col("n_over") >= scorer.hard_k
+    else:
+        scored = sc.window_scores(errors, scorer.ridge)
+        hit = F.col("window_score") > F.col("threshold")
+    ready = F.col("window_score").isNotNull() & F.col(name).isNotNull()
+    return scored.withColumn("is_scored", ready).withColumn("is_flagged", F.when(ready, hit).otherwise(F.lit(False)))
 
 
-def required(name: str):
-    return F.coalesce(F.col(name), F.raise_error(F.lit(f"{name} not set: fit it first")).cast("double"))
+def unscored(scored: DataFrame) -> DataFrame:
+    """Windows and series that no complete model covers: ``series_id, n_windows``."""
+    return scored.filter(~F.col("is_scored")).groupBy("series_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
 def evaluate(scored: DataFrame, by: list[str], beta: float = 0.1) -> DataFrame:
-    """Metrics over the test split without the edge cases."""
-    rows = scored.filter((F.col("split") == "test") & ~F.col("is_edge_case"))
+    """Metrics over the scored windows of the test split without the edge cases; ``unscored`` counts the rest."""
+    rows = scored.filter((F.col("split") == "test") & ~F.col("is_edge_case") & F.col("is_scored"))
     return ev.metrics(ev.confusion(rows, by), beta)
 
 
 def detect(
     windows: DataFrame, params: DataFrame | Sized, grid: GridSpec, scorer: ScorerSpec, by: list[str], where: LocaliseSpec = LocaliseSpec()
 ) -> DataFrame:
-    """Score reply per window with a nested localisation for flagged ones.
-
-    Only flagged windows are exploded and shuffled for the localisation.
-    """
-    scored = score_windows(windows, params, scorer, by)
-    needed = ["series_id", "window_id", "start_ts", "end_ts", "err", "window_score", "is_flagged", *reply_limits(scored)]
-    return replies(settle(scored.select(*needed)).df, grid, where)
-
-
-def replies(scored: DataFrame, grid: GridSpec, where: LocaliseSpec = LocaliseSpec()) -> DataFrame:
-    """Score replies of a written table of scored windows."""
-    found = loc.localise(scored.filter("is_flagged"), grid, where)
-    place = found.select(
-        "series_id",
-        "window_id",
-        F.struct("anomaly_start", "anomaly_end", F.col("scale_hours").cast("double").alias("scale_hours"), "contrast_ratio").alias("localization"),
+    """Score reply per window with a nested localisation for flagged ones: row by row, nothing is shuffled."""
+    return replies(score_windows(windows, params, scorer, by), grid, where)
+
+
+def replies(scored: DataFrame, grid: GridSpec, where: LocaliseSpec = LocaliseSpec(), keep: list[str] | None = None) -> DataFrame:
+    """Score replies of scored windows; an unscored window has null score and is no anomaly."""
+    placed = scored if "_place" in scored.columns else loc.located(scored, grid, where)
+    place = F.when(
+        F.col("is_flagged"),
+        F.struct(
+            F.col("_place.anomaly_start").alias("anomaly_start"),
+            F.col("_place.anomaly_end").alias("anomaly_end"),
+            F.col("_place.scale_hours").cast("double").alias("scale_hours"),
+            F.col("_place.contrast_ratio").alias("contrast_ratio"),
+        ),
     )
-    return scored.join(place, ["series_id", "window_id"], "left").select(
+    return placed.select(
         "series_id",
         "window_id",
         F.col("is_flagged").alias("is_anomaly"),
         F.col("window_score").alias("anomaly_score"),
-        F.col(reply_limits(scored)[0]).alias("threshold"),
+        F.col(reply_limit(scored)).alias("threshold"),
         F.col("start_ts").alias("window_start"),
         F.col("end_ts").alias("window_end"),
-        "localization",
+        place.alias("localization"),
+        *(keep or []),
     )
 
 
-def reply_limits(scored: DataFrame) -> list[str]:
+def reply_limit(scored: DataFrame) -> str:
     """The reply reports the window threshold whenever there is one, even in point mode."""
-    return ["threshold"] if "threshold" in scored.columns else ["point_threshold"]
+    return "threshold" if "threshold" in scored.columns else "point_threshold"
 
 
 def calibrate_with_injection(
@@ -141,7 +151,7 @@ def calibrate_with_injection(
     calibrates the largest point score, window mode the window score.
     """
     normal = dev.filter(F.col("split") == "threshold").select("series_id", "window_id", "split", "values")
-    ready = attach(normal, params, by, ["window_id"]).withColumn("z", sc.scaled("values")).withColumn("x_hat", F.col("profile"))
+    ready = attach(normal, params, by).withColumn("z", sc.scaled("values")).withColumn("x_hat", F.col("profile"))
     corrupted = inj.inject(ready, inject, length, values="z")
 
     def scored(rows):
@@ -168,7 +178,7 @@ def fit_lstm_model(
     """
     dev = settle(windows.filter(F.col("split") != "test").select("series_id", "window_id", "split", "values")).df
     base = settle(sc.scaler_fit(dev, by))
-    scaled = settle(attach(dev, base, by, ["window_id"]).withColumn("z", sc.scaled("values")).drop("values", "mean", "scale")).df
+    scaled = settle(attach(dev, base, by).withColumn("z", sc.scaled("values")).drop("values", "mean", "scale")).df
     if by:
         fitted = settle(lstm.fit_grouped(scaled, by, train, model))
         history = fitted.df.select(*by, "train_history", "val_history", "best_epoch")
@@ -192,9 +202,9 @@ def score_lstm_windows(windows: DataFrame, models: DataFrame | Sized, params: Da
     table = fixed.df if isinstance(fixed, Sized) else fixed
     scaler = table.select(*by, "mean", "scale")
     scaler = Sized(scaler, fixed.rows, fixed.bytes) if isinstance(fixed, Sized) else scaler
-    scaled = attach(windows, scaler, by, ["window_id"]).withColumn("z", sc.scaled("values")).drop("mean", "scale")
+    scaled = attach(windows, scaler, by).withColumn("z", sc.scaled("values")).drop("mean", "scale")
     errors = sc.with_errors(lstm.reconstruct(scaled, models, by)).drop("z", "x_hat")
-    return flag(attach(errors, fixed, by, ["window_id"]), scorer)
+    return flag(attach(errors, fixed, by), scorer)
 
 
 def with_injected_threshold(
@@ -208,14 +218,14 @@ def with_injected_threshold(
         return params
     normal = windows.filter(F.col("split") == "threshold").select("series_id", "window_id", "values")
     scaler = Sized(params.df.select(*by, "mean", "scale"), params.rows, params.bytes)
-    ready = settle(attach(normal, scaler, by, ["window_id"]).withColumn("z", sc.scaled("values")).select("series_id", "window_id", "z")).df
+    ready = settle(attach(normal, scaler, by).withColumn("z", sc.scaled("values")).select("series_id", "window_id", "z")).df
     rest = Sized(params.df.drop("mean", "scale"), params.rows, params.bytes)
 
     def scored(rows):
         errors = sc.with_errors(lstm.reconstruct(rows.select("series_id", "window_id", "z"), models, by))
-        return sc.window_scores(attach(errors, rest, by, ["window_id"]), scorer.ridge).select("series_id", "window_id", F.col("window_score").alias("score"))
+        return sc.window_scores(attach(errors, rest, by), scorer.ridge).select("series_id", "window_id", F.col("window_score").alias("score"))
 
     labelled = settle(cal.labelled_union(scored(ready), scored(inj.inject(ready, inject, length, values="z")))).df
     limit = cal.calibrate(labelled, by, method, beta, "series_id" in by).select(*by, "threshold")
     kept = params.df.drop("threshold")
-    return Sized(kept.join(limit, by) if by else attach(kept, limit, [], []), params.rows, params.bytes)
+    return Sized(kept.join(limit, by) if by else attach(kept, limit, []), params.rows, params.bytes)

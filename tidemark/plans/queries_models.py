@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.config import ModelSpec, ScorerSpec, TrainSpec
+from tidemark import fixed_values as fv
+from tidemark.config import ModelSpec, ScorerSpec
 from tidemark.operators import evaluate as ev, labels as lab, lstm, score as sc, sweep
 from tidemark.operators.grid import regular_windows
 from tidemark.operators.quantile import exact_percentiles
@@ -13,7 +14,7 @@ from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_scores import rounded_metrics
 from tidemark.session import attach, fresh_folder, settle
-from tidemark.sources.artifacts import load, model_stats, save, scorer_stats
+from tidemark.sources.artifacts import load, save, scorer_stats
 
 # Hidden size 1: input, recurrent, two biases for the four gates of encoder and decoder, then the output.
 UNIT = ModelSpec(hidden=1, length=48)
@@ -68,7 +69,7 @@ def _decoder(name: str, x_next: str) -> str:
 
 def scaled_windows(spark, folder):
     windows = s.prepared(spark, folder)
-    out = attach(windows, sc.scaler_fit(windows, s.BY), s.BY, ["window_id"]).withColumn("z", sc.scaled("values"))
+    out = attach(windows, sc.scaler_fit(windows, s.BY), s.BY).withColumn("z", sc.scaled("values"))
     return out.select("series_id", "window_id", "split", "is_anomaly", "is_edge_case", "values", "z")
 
 
@@ -93,31 +94,6 @@ def lstm_generation(spark, folder):
     return out.select("series_id", "window_id", F.posexplode("x_hat").alias("pos", "x_hat")).withColumn("x_hat", F.round("x_hat", 6))
 
 
-SMALL = ModelSpec(hidden=8, length=48)
-SHORT = TrainSpec(epochs=5, rate=1e-2, patience=3)
-
-
-@query("M4")
-def lstm_fit_per_series(spark, folder):
-    out = lstm.fit_grouped(scaled_windows(spark, folder), s.BY, SHORT, SMALL)
-    return out.select("series_id", "hidden", "train_loss", "val_loss", "best_epoch", "epochs_run", "total_params")
-
-
-@query("M4 M15")
-def lstm_fit_global(spark, folder):
-    table, train, val = lstm.fit_global(scaled_windows(spark, folder), TrainSpec(epochs=3, rate=1e-2), SMALL)
-    return model_stats(table, []).withColumn("first_loss", F.lit(train[0])).withColumn("last_loss", F.lit(train[-1])).withColumn("val_loss", F.lit(val[-1]))
-
-
-@query("M1 M4 M7 M8 X4 X6")
-def lstm_flagged_windows(spark, folder):
-    """Train per series, reconstruct every window in bounded groups, score by distance."""
-    windows = s.prepared(spark, folder)
-    models, params, _ = flows.fit_lstm_model(windows, s.DAY, s.WINDOW, SMALL, SHORT, s.BY)
-    out = flows.score_lstm_windows(windows.filter(F.col("split") == "test"), models, params, s.WINDOW, s.BY)
-    return out.select("series_id", "window_id", "is_anomaly", "window_score", "threshold", "is_flagged")
-
-
 @query(
     "S10 A5 A7",
     s.POINT_SQL
@@ -157,6 +133,24 @@ def fitted_scorer_stats(spark, folder):
 
 # --- sweeps -----------------------------------------------------------------------
 
+def _eliminations(n: int) -> str:
+    """Scores under the covariance of the fit windows: one rank-one update of the ridge inverse per window.
+
+    ``m0`` has all inner products under the inverse of the ridge alone; step k takes out direction k.
+    """
+    steps = [
+        f"""m{k} AS MATERIALIZED (
+  SELECT a.trial_id, a.series_id, a.x, a.y, a.v - coalesce(b.v * c.v / (1 + d.v), 0) AS v FROM m{k - 1} a
+  LEFT JOIN m{k - 1} b ON b.trial_id = a.trial_id AND b.series_id = a.series_id AND b.x = a.x AND b.y = {k}
+  LEFT JOIN m{k - 1} c ON c.trial_id = a.trial_id AND c.series_id = a.series_id
+    AND c.x = (CASE WHEN a.y < 1000 THEN a.y ELSE a.x END) AND c.y = {k}
+  LEFT JOIN m{k - 1} d ON d.trial_id = a.trial_id AND d.series_id = a.series_id AND d.x = {k} AND d.y = {k}
+),"""
+        for k in range(1, n + 1)
+    ]
+    return "\n".join(steps)
+
+
 SWEEP_SQL = (
     s.SPLIT_SQL
     + """,
@@ -173,18 +167,37 @@ tp AS (SELECT f.*, p.pos, p.value FROM fanned f JOIN points p USING (series_id,
 tsc AS (SELECT trial_id, series_id, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale FROM tp WHERE split = 'train' GROUP BY 1, 2),
 tz AS (SELECT tp.*, (value - mean) / scale AS z FROM tp JOIN tsc USING (trial_id, series_id)),
 tprof AS (SELECT trial_id, series_id, pos, avg(z) AS x_hat FROM tz WHERE split = 'train' GROUP BY 1, 2, 3),
-terr AS (SELECT tz.*, abs(z - x_hat) AS err FROM tz JOIN tprof USING (trial_id, series_id, pos)),
-tfit AS (SELECT trial_id, series_id, avg(err) AS mu, var_pop(err) + 1e-6 AS v FROM terr WHERE split = 'val' GROUP BY 1, 2),
-tps AS (SELECT terr.*, pow(err - mu, 2) / v AS score FROM terr JOIN tfit USING (trial_id, series_id)),
+terr AS MATERIALIZED (SELECT tz.*, abs(z - x_hat) AS err FROM tz JOIN tprof USING (trial_id, series_id, pos)),
+tmu AS (SELECT trial_id, series_id, pos, avg(err) AS mu FROM terr WHERE split = 'val' GROUP BY 1, 2, 3),
+tn AS (SELECT trial_id, series_id, count(DISTINCT window_id) AS n FROM terr WHERE split = 'val' GROUP BY 1, 2),
+td AS MATERIALIZED (
+  SELECT trial_id, series_id, window_id, split, is_anomaly, is_edge_case, list(err - mu ORDER BY pos) AS d
+  FROM terr JOIN tmu USING (trial_id, series_id, pos) WHERE split <> 'train' GROUP BY ALL
+),
+tu AS (
+  SELECT trial_id, series_id, row_number() OVER (PARTITION BY trial_id, series_id ORDER BY window_id) AS k,
+    list_transform(d, lambda x: x / sqrt(n - 1)) AS u
+  FROM td JOIN tn USING (trial_id, series_id) WHERE split = 'val'
+),
+tv AS MATERIALIZED (SELECT trial_id, series_id, k AS x, u AS vec FROM tu UNION ALL
+       SELECT trial_id, series_id, 1000 + window_id, d FROM td WHERE split <> 'val'),
+m0 AS MATERIALIZED (
+  SELECT a.trial_id, a.series_id, a.x, b.x AS y, list_dot_product(a.vec, b.vec) / 1e-6 AS v
+  FROM tv a JOIN tv b ON a.trial_id = b.trial_id AND a.series_id = b.series_id AND (b.x < 1000 OR b.x = a.x)
+),
+"""
+    + _eliminations(9)
+    + """
+tscore AS MATERIALIZED (SELECT trial_id, series_id, x - 1000 AS window_id, v AS score FROM m9 WHERE x >= 1000 AND x = y),
 tthr AS (
   SELECT trial_id, series_id, """
     + s.sql_percentile("0.95")
     + """ AS tau
-  FROM (SELECT trial_id, series_id, list_sort(list(score)) AS s FROM tps WHERE split = 'threshold' GROUP BY 1, 2)
+  FROM (SELECT trial_id, series_id, list_sort(list(score)) AS s FROM tscore JOIN td USING (trial_id, series_id, window_id) WHERE split = 'threshold' GROUP BY 1, 2)
 ),
 tw AS (
-  SELECT trial_id, series_id, window_id, is_anomaly, is_edge_case, count(*) FILTER (WHERE score > tau) >= 5 AS is_flagged
-  FROM tps JOIN tthr USING (trial_id, series_id) WHERE split = 'test' GROUP BY ALL
+  SELECT trial_id, series_id, window_id, is_anomaly, is_edge_case, score > tau AS is_flagged
+  FROM tscore JOIN td USING (trial_id, series_id, window_id) JOIN tthr USING (trial_id, series_id) WHERE split = 'test'
 ),
 tc AS (
   SELECT trial_id, count(*) FILTER (WHERE is_flagged AND is_anomaly) AS tp, count(*) FILTER (WHERE is_flagged AND NOT is_anomaly) AS fp,
@@ -203,7 +216,7 @@ tres AS (
 def split_results(spark, folder):
     windows = lab.flag_edge_cases(lab.flag_overlap(regular_windows(s.value_buckets(spark, folder), s.DAY), s.INTERVALS, s.DAY), s.EDGES)
     trials = sweep.split_trials(spark)
-    return sweep.run_sweep(windows, trials, s.DAY, ScorerSpec()), trials
+    return sweep.run_sweep(windows, trials, s.DAY, ScorerSpec(mode="window")), trials
 
 
 @query(
@@ -229,14 +242,14 @@ def sweep_leaderboard(spark, folder):
 @query(
     "S9 T4 X12",
     SWEEP_SQL
-    + """ SELECT 36 AS configs_tested, count(*) AS completed_runs, round(100.0 * count(*) / 36, 1)::DOUBLE AS progress_pct, 'accuracy' AS sort_by,
+    + """ SELECT 36 AS configs_tested, count(*) AS completed_runs, round(100.0 * count(*) / 36, 1)::DOUBLE AS progress_pct, 'accuracy' AS sort_by, 0.1::DOUBLE AS beta,
   arg_max(trial_id, row(round(accuracy, 9), -trial_id)) AS best_trial FROM tres""",
 )
 def sweep_report(spark, folder):
     out, trials = split_results(spark, folder)
     rounded = settle(out.withColumn("accuracy", F.round("accuracy", 9))).df
     report = sweep.sweep_summary(rounded, trials, "accuracy")
-    return report.select("configs_tested", "completed_runs", "progress_pct", "sort_by", F.col("best_config.trial_id").alias("best_trial"))
+    return report.select("configs_tested", "completed_runs", "progress_pct", "sort_by", "beta", F.col("best_config.trial_id").alias("best_trial"))
 
 
 @query(
@@ -253,16 +266,71 @@ def grid_thresholds(spark, folder):
     trials = sweep.grid_trials(spark)
     windows = s.event_windows(spark, folder)
     levels = exact_percentiles(windows.select("series_id", F.explode("values").alias("v")), s.BY, "v", [0.9, 0.95, 0.99])
-    fanned = attach(levels, trials.agg(F.collect_list(F.struct("hidden", "layers", "percentile")).alias("_t")), [], [])
+    fanned = attach(levels, trials.agg(F.collect_list(F.struct("hidden", "layers", "percentile")).alias("_t")), [])
     fanned = fanned.select("series_id", "fraction", "threshold", F.explode("_t").alias("t")).filter(F.abs(F.col("t.percentile") / 100.0 - F.col("fraction")) < 1e-9)
     return fanned.groupBy("series_id", "t.hidden", "t.layers").agg(
         F.count(F.lit(1)).alias("n_trials"), F.round(F.sum("threshold"), 6).alias("sum_threshold")
     )
 
 
-@query("M14 M13 M4 T5")
-def lstm_sweep(spark, folder):
-    """The focused trial list with the LSTM, trained for a few epochs, ranked by F1."""
+@query(
+    "M13 M14 T2",
+    s.SPLIT_SQL
+    + """, trials AS (SELECT * FROM (VALUES (0, 8, 4, 6), (1, 12, 4, 4), (2, 6, 2, 2)) t(trial_id, tr, va, th)),
+fanned AS (
+  SELECT trial_id, series_id, tr, va, th, count(*) FILTER (NOT is_anomaly AND rn <= tr + va + th) AS n_used,
+    count(*) FILTER (is_anomaly OR rn > tr + va + th) AS n_test
+  FROM ranked CROSS JOIN trials GROUP BY ALL
+)
+SELECT trial_id, series_id, n_used, n_test FROM fanned""",
+)
+def wide_trial_splits(spark, folder):
+    """Trials that use up to 20 development windows of a series: none is cut."""
     windows = lab.flag_edge_cases(lab.flag_overlap(regular_windows(s.value_buckets(spark, folder), s.DAY), s.INTERVALS, s.DAY), s.EDGES)
-    out = sweep.run_sweep(windows, sweep.focused_trials(spark), s.DAY, ScorerSpec(mode="window"), "lstm", TrainSpec(epochs=2))
-    return ev.leaderboard(out, "f1_score").select("trial_id", "hidden", "layers", "percentile", "f1_score", "f_beta_score", "train_loss", "total_params")
+    trials = spark.createDataFrame([(0, 8, 4, 6), (1, 12, 4, 4), (2, 6, 2, 2)], "trial_id int, train int, val int, threshold int")
+    fanned = sweep.fan_out(sweep.rank_normals(windows, 20), trials)
+    used = F.col("split") != "test"
+    return fanned.groupBy("trial_id", "series_id").agg(F.count_if(used).alias("n_used"), F.count_if(~used).alias("n_test"))
+
+
+def _lists(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v) for v in row) + ")" for row in rows)
+
+
+@query(
+    "M13",
+    f"""WITH focused AS (SELECT row_number() OVER () - 1 AS trial_id, 'focused' AS kind, * FROM (VALUES {_lists(fv.FOCUSED_TRIALS)}) t(hidden, layers, dropout, rate, percentile)),
+per AS (SELECT event_type AS series_id, list_sort(list(value::DOUBLE)) AS s FROM events GROUP BY 1)
+SELECT f.trial_id::INTEGER AS trial_id, f.hidden::INTEGER AS hidden, f.layers::INTEGER AS layers, round(f.dropout, 4)::DOUBLE AS dropout,
+  round(f.rate, 8)::DOUBLE AS rate, f.percentile::DOUBLE AS percentile, series_id, round({s.sql_percentile("f.percentile / 100.0")}, 6) AS threshold
+FROM focused f CROSS JOIN per""",
+)
+def focused_trial_thresholds(spark, folder):
+    """The focused trial list, each with the percentile of every series that it asks for."""
+    trials = sweep.focused_trials(spark)
+    wanted = sorted({row[-1] for row in fv.FOCUSED_TRIALS})
+    values = s.events(spark, folder).select(F.col("event_type").alias("series_id"), "value")
+    levels = exact_percentiles(values, s.BY, "value", [p / 100.0 for p in wanted])
+    key = F.round(F.col("fraction") * 100, 6)
+    out = trials.drop("threshold").join(levels.withColumn("percentile", key), "percentile")
+    return out.select(
+        "trial_id", "hidden", "layers", F.round("dropout", 4).alias("dropout"), F.round("rate", 8).alias("rate"), "percentile", "series_id", F.round("threshold", 6).alias("threshold")
+    )
+
+
+@query(
+    "M13",
+    """WITH n AS (SELECT unnest(range(0, 50)) AS id),
+u AS (SELECT id, name, ('0x' || substr(md5('42:' || id || ':' || name), 1, 8))::BIGINT / 4294967296.0 AS u FROM n CROSS JOIN (VALUES ('hidden'), ('layers'), ('dropout'), ('percentile')) a(name))
+SELECT id::INTEGER AS trial_id, floor(%s + max(u) FILTER (name = 'hidden') * (%s + 1 - %s))::INTEGER AS hidden,
+  floor(%s + max(u) FILTER (name = 'layers') * (%s + 1 - %s))::INTEGER AS layers,
+  round(%s + max(u) FILTER (name = 'dropout') * (%s - %s), 2)::DOUBLE AS dropout,
+  round(%s + max(u) FILTER (name = 'percentile') * (%s - %s), 1)::DOUBLE AS percentile, (SELECT count(*) FROM events) AS n_events
+FROM u GROUP BY id"""
+    % tuple(v for lo, hi in (fv.RANDOM_HIDDEN, fv.RANDOM_LAYERS, fv.RANDOM_DROPOUT, fv.RANDOM_PERCENTILE) for v in (lo, hi, lo)),
+)
+def random_trial_table(spark, folder):
+    """The seeded random trials, next to the number of rows they would be run over."""
+    rows = s.events(spark, folder).agg(F.count(F.lit(1)).alias("n_events"))
+    out = attach(sweep.random_trials(spark), rows, [])
+    return out.select("trial_id", "hidden", "layers", "dropout", "percentile", "n_events")

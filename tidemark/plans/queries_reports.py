@@ -134,7 +134,7 @@ def detector_comparison(spark, folder):
     windows = s.prepared(spark, folder)
     ses = settle(baseline.smoothing_scores(windows, 48)).df
     best = cal.best_accuracy(ses, s.BY).select("series_id", "threshold")
-    first = attach(ses, best, s.BY, ["window_id"]).select(F.lit("smoothing").alias("method"), "is_anomaly", (F.col("score") > F.col("threshold")).alias("is_flagged"))
+    first = attach(ses, best, s.BY).select(F.lit("smoothing").alias("method"), "is_anomaly", (F.col("score") > F.col("threshold")).alias("is_flagged"))
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
     second = flows.score_windows(windows.filter(F.col("split") == "test"), params, s.POINT, s.BY)
     both = first.unionByName(second.select(F.lit("profile").alias("method"), "is_anomaly", "is_flagged"))
@@ -144,13 +144,12 @@ def detector_comparison(spark, folder):
 @query(
     "A14 J8",
     s.EVENTS_SQL
-    + """, st AS (SELECT series_id, avg(value) AS m, sum(pow(value, 2)) - count(*) * pow(avg(value), 2) AS ss FROM points GROUP BY 1)
-SELECT a.series_id, l.lag, round(sum((a.value - m) * (b.value - m)) / any_value(ss), 6) AS acf
-FROM points a CROSS JOIN (SELECT unnest(range(0, 96)) AS lag) l JOIN points b ON b.series_id = a.series_id AND b.idx = a.idx + l.lag
-JOIN st ON st.series_id = a.series_id GROUP BY 1, 2""",
+    + """, st AS (SELECT series_id, list(value - m ORDER BY idx) AS v, count(*) AS n FROM points JOIN (SELECT series_id, avg(value) AS m FROM points GROUP BY 1) USING (series_id) GROUP BY 1)
+SELECT series_id, lag, round(list_dot_product(v[1:n - lag], v[lag + 1:n]) / list_dot_product(v, v), 6) AS acf
+FROM st CROSS JOIN (SELECT unnest(range(0, 672)) AS lag)""",
 )
 def autocorrelation(spark, folder):
-    out = baseline.autocorrelation(event_points(spark, folder), 96, block=384)
+    out = baseline.autocorrelation(event_points(spark, folder), 672, block=768)
     return out.select("series_id", "lag", F.round("acf", 6).alias("acf"))
 
 
@@ -270,14 +269,15 @@ def csv_series_scan(spark, folder):
 @query(
     "P8 K10",
     s.POINT_SQL
-    + f""" SELECT is_flagged::VARCHAR AS is_anomaly, round(window_score, 3)::VARCHAR AS anomaly_score, round(tau, 3)::VARCHAR AS threshold,
+    + s.POINT_AND_WINDOW
+    + f""" SELECT is_flagged::VARCHAR AS is_anomaly, round(window_score, 3)::VARCHAR AS anomaly_score, round(t.threshold, 2)::DECIMAL(18, 2)::VARCHAR AS threshold,
   {s.sql_stamp('ws')} AS window_start, {s.sql_stamp('we')} AS window_end
-FROM wpoint JOIN thr USING (series_id) WHERE split = 'test'""",
+FROM wpoint JOIN wthr t USING (series_id) WHERE split = 'test'""",
 )
 def formatted_results(spark, folder):
     """Result rows as text, five named fields."""
     windows = s.prepared(spark, folder)
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
     replies = flows.detect(windows.filter(F.col("split") == "test"), params, s.DAY, s.POINT, s.BY)
-    rounded = replies.withColumn("anomaly_score", F.round("anomaly_score", 3)).withColumn("threshold", F.round("threshold", 3))
+    rounded = replies.withColumn("anomaly_score", F.round("anomaly_score", 3)).withColumn("threshold", F.round("threshold", 2).cast("decimal(18,2)"))
     return msg.format_results(rounded)

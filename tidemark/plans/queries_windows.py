@@ -219,7 +219,7 @@ def label_overlap_windows(spark, folder):
     "J1",
     s.ORDERS_SQL
     + """, spans AS (
-  SELECT epoch_us(o_orderdate) // 1000000 AS ls, epoch_us(o_orderdate) // 1000000 + (o_orderkey % 4) * 86400 AS le FROM orders WHERE o_totalprice > 490000
+  SELECT epoch_us(o_orderdate) // 1000000 AS ls, epoch_us(o_orderdate) // 1000000 + (CASE WHEN o_orderkey % 97 = 0 THEN 3 + o_orderkey % 40 ELSE 0 END) * 86400 AS le FROM orders
 )
 SELECT w.series_id, w.window_id,
   EXISTS (SELECT 1 FROM spans l WHERE w.ws <= l.le AND w.we >= l.ls
@@ -229,10 +229,10 @@ FROM win w""",
 def many_intervals_overlap(spark, folder):
     """Interval set derived from the data, through the binned semi join."""
     start = F.col("o_orderdate")
+    days = F.when(F.col("o_orderkey") % 97 == 0, 3 + F.col("o_orderkey") % 40).otherwise(0)
     spans = (
         read_table(spark, folder, "orders")
-        .filter(F.col("o_totalprice") > 490000)
-        .select(start.alias("start"), F.timestamp_seconds(F.unix_seconds(start) + F.pmod("o_orderkey", F.lit(4)) * 86400).alias("end"))
+        .select(start.alias("start"), F.timestamp_seconds(F.unix_seconds(start) + days * 86400).alias("end"))
     )
     out = lab.flag_overlap(s.order_windows(spark, folder), spans, s.DAILY, 0.3, inline_limit=0)
     return out.select("series_id", "window_id", "is_anomaly")
@@ -255,11 +255,9 @@ def ordered_splits(spark, folder):
   round(avg(value), 6) AS mean_value FROM splits JOIN points USING (series_id, window_id) WHERE split = 'test' GROUP BY ALL""",
 )
 def test_window_metadata(spark, folder):
-    """Metadata joined to the test windows by key."""
-    prepared = s.prepared(spark, folder)
-    info = segment.with_metadata(prepared).select("series_id", "window_id", "name", "start_ts", "end_ts", "is_anomaly", "mean_value")
-    test = prepared.filter(F.col("split") == "test").select("series_id", "window_id")
-    return test.join(info, ["series_id", "window_id"]).select(
+    """Metadata of the test windows: it lies on the window's own row, so no join is needed."""
+    info = segment.with_metadata(s.prepared(spark, folder).filter(F.col("split") == "test"))
+    return info.select(
         "series_id", "window_id", "name", s.stamp("start_ts").alias("start_ts"), s.stamp("end_ts").alias("end_ts"), "is_anomaly",
         F.round("mean_value", 6).alias("mean_value"),
     )
@@ -304,7 +302,7 @@ def scaler_fit(spark, folder):
 def scaler_roundtrip(spark, folder):
     prepared = s.prepared(spark, folder)
     params = sc.scaler_fit(prepared, s.BY)
-    out = attach(prepared, params, s.BY, ["window_id"]).withColumn("z", sc.scaled("values"))
+    out = attach(prepared, params, s.BY).withColumn("z", sc.scaled("values"))
     both = out.withColumn("back", sc.unscaled("z")).select("series_id", "window_id", F.posexplode(F.arrays_zip("z", "back")).alias("pos", "_v"))
     return both.select("series_id", "window_id", "pos", F.round("_v.z", 6).alias("z"), F.round("_v.back", 4).alias("restored"))
 
@@ -318,7 +316,7 @@ SELECT series_id, window_id, pos, round((value - mean) / scale, 6) AS z FROM poi
 def global_scaler(spark, folder):
     """One scaler for all series, applied as a scalar subquery."""
     prepared = s.prepared(spark, folder)
-    out = attach(prepared, sc.scaler_fit(prepared, []), [], []).withColumn("z", sc.scaled("values"))
+    out = attach(prepared, sc.scaler_fit(prepared, []), []).withColumn("z", sc.scaled("values"))
     return out.select("series_id", "window_id", F.posexplode("z").alias("pos", "z")).withColumn("z", F.round("z", 6))
 
 

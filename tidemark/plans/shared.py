@@ -83,12 +83,11 @@ def sql_percentile(p: str, ordered: str = "s") -> str:
 def grid_sql(buckets: str, step: int, length: int, offset: int = 0) -> str:
     return f"""
 WITH RECURSIVE buckets AS ({buckets}),
-span AS (SELECT min(slot) + {offset} AS lo, max(slot) AS hi FROM buckets),
+span AS (SELECT series_id, min(slot) + {offset} AS lo, max(slot) AS hi FROM buckets GROUP BY series_id),
 grid AS (
-  SELECT s.series_id, g.slot, g.slot - g.lo AS idx, g.slot * {step} AS sec, coalesce(b.value, 0.0)::DOUBLE AS value, g.whole
-  FROM (SELECT DISTINCT series_id FROM buckets) s
-  CROSS JOIN (SELECT unnest(generate_series(lo, hi)) AS slot, lo, (hi - lo + 1) // {length} AS whole FROM span) g
-  LEFT JOIN buckets b ON b.series_id = s.series_id AND b.slot = g.slot
+  SELECT g.series_id, g.slot, g.slot - g.lo AS idx, g.slot * {step} AS sec, coalesce(b.value, 0.0)::DOUBLE AS value, g.whole
+  FROM (SELECT series_id, unnest(generate_series(lo, hi)) AS slot, lo, (hi - lo + 1) // {length} AS whole FROM span) g
+  LEFT JOIN buckets b ON b.series_id = g.series_id AND b.slot = g.slot
 ),
 points AS (
   SELECT series_id, idx // {length} AS window_id, (idx % {length})::INTEGER AS pos, idx, sec, value
@@ -165,10 +164,10 @@ wpoint AS (
 )"""
 )
 
+
 # Two fit windows: the covariance is one outer product, so the inverse is closed form.
-WINDOW_SQL = (
-    ERROR_SQL
-    + f""",
+def window_part(percentile: str) -> str:
+    return f""",
 vfit AS (
   SELECT series_id, pos, avg(err) AS mu, (max(err) FILTER (WHERE rn2 = 1) - max(err) FILTER (WHERE rn2 = 2)) / sqrt(2.0) AS u
   FROM (SELECT e.*, dense_rank() OVER (PARTITION BY series_id ORDER BY window_id) AS rn2 FROM errs e WHERE split = 'val')
@@ -181,8 +180,11 @@ wdist AS (
   FROM errs JOIN vfit USING (series_id, pos) JOIN vnorm USING (series_id) GROUP BY ALL
 ),
 wthr AS (
-  SELECT series_id, {sql_percentile("0.9999")} AS threshold
+  SELECT series_id, {sql_percentile(percentile)} AS threshold
   FROM (SELECT series_id, list_sort(list(score)) AS s FROM wdist WHERE split = 'threshold' GROUP BY series_id)
 ),
 wflag AS (SELECT wdist.*, threshold, score > threshold AS is_flagged FROM wdist JOIN wthr USING (series_id))"""
-)
+
+WINDOW_SQL = ERROR_SQL + window_part("0.9999")
+# In point mode a reply reports the window threshold, at the percentile of that mode.
+POINT_AND_WINDOW = window_part("0.95")

@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 # A table may be broadcast when its measured size stays below this bound.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Copies of a parameter row (and slices of a hot key) in the salted join.
-SALTS = 64
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -105,28 +103,19 @@ def attach(
     rows: DataFrame,
     params: DataFrame | Sized,
     on: list[str],
-    spread: list[str],
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join one-row-per-key parameters to rows.
 
     The size of ``params`` is known (a plain table is written first to measure
-    it): below ``limit`` it is broadcast and the rows do not move. Above, rows are
-    salted by ``spread`` (columns that differ inside a key), which splits a hot
-    key over tasks.
+    it): below ``limit`` it is broadcast and the rows do not move. Above, it is a plain
+    shuffle join of a written table, in which adaptive execution splits the
+    partitions of hot keys; no parameter row is copied for keys that are not hot.
     """
     if not on:
         return attach_scalar(rows, params.df if isinstance(params, Sized) else params)
     fixed = params if isinstance(params, Sized) else settle(params)
     if fixed.bytes <= limit:
         return rows.join(F.broadcast(fixed.df), on, how)
-    return salted_join(rows, fixed.df, on, spread, how)
-
-
-def salted_join(
-    rows: DataFrame, params: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return rows.join(fixed.df, on, how)

@@ -57,7 +57,9 @@ def decode(raw: DataFrame, keep: tuple = ()) -> DataFrame:
 def read_messages(spark, format: str = "kafka", **options) -> DataFrame:
     """Streaming message source. Kafka options default to the earliest offsets and 50 per trigger."""
     if format == "kafka":
-        options = {"startingOffsets": "earliest", "maxOffsetsPerTrigger": 50, **options}
+        options = {"startingOffsets": "earliest", **options}
+        if not {"maxOffsetsPerTrigger", "maxBytesPerTrigger"} & options.keys():
+            raise ValueError("say how much a trigger takes: maxOffsetsPerTrigger")
     return spark.readStream.format(format).options(**options).load()
 
 
@@ -80,7 +82,7 @@ def decode_request(body: Column) -> Column:
     return F.from_json(body, REQUEST)
 
 
-def format_results(replies: DataFrame) -> DataFrame:
-    """Five text fields under their published names."""
+def format_results(replies: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Five text fields under their published names, behind ``keys`` where there are many series."""
     names = ["is_anomaly", "anomaly_score", "threshold", "window_start", "window_end"]
-    return replies.select(*[F.col(n).cast("string").alias(n) for n in names])
+    return replies.select(*(keys or []), *[F.col(n).cast("string").alias(n) for n in names])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.predicates import parse_time
 from tidemark.session import pin_utc
 
 SERIES_CSV = T.StructType([T.StructField("timestamp", T.TimestampType()), T.StructField("value", T.DoubleType())])
@@ -33,22 +34,32 @@ def read_series_csv(spark: SparkSession, path: str, series_id: str = "series") -
 
 
 def stream_series_csv(
-    spark: SparkSession, folder: str, pattern: str = "*.csv", files_per_trigger: int | None = None
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "*.csv",
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int | None = None,
+    by_folder: bool = False,
 ) -> DataFrame:
     """Directory source: header CSV files whose name matches ``pattern``, tracked by the checkpoint.
 
-    Fields stay text, as a delimited reader hands them over; ``parse_fields`` types them.
+    Fields stay text, as a delimited reader hands them over; ``parse_fields`` types them. With
+    ``by_folder`` the files lie in folders ``series_id=..`` and carry that name.
     """
     text = T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("value", T.StringType())])
+    if by_folder:
+        text = text.add("series_id", T.StringType())
     reader = pin_utc(spark).readStream.schema(text).option("header", True).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.csv(folder)
 
 
 def parse_fields(rows: DataFrame) -> DataFrame:
     """Trim both text fields and type them; a bad field becomes null (``is_bad``)."""
-    ts = F.trim("timestamp").try_cast("timestamp")
+    ts = parse_time(F.col("timestamp"))
     value = F.trim("value").try_cast("double")
     return rows.withColumn("ts", ts).withColumn("number", value).withColumn(
         "is_bad", F.col("ts").isNull() | F.col("number").isNull()

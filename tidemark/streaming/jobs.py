@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from tidemark.config import GridSpec, LocaliseSpec, ScorerSpec
 from tidemark.operators import localise as loc
@@ -40,29 +40,36 @@ def detection_sink(
 ):
     """A ``foreachBatch`` function over windows: replies, flagged log and formatted JSON rows.
 
-    Each micro-batch is written once, then scored and localised by the batch
-    operators on the executors; nothing is collected. Writes
+    Each micro-batch is scored and localised row by row and written once as
+    ``out/scored``; replies, flagged log and JSON rows are projections of that file. Writes
     ``out/replies``, ``out/flagged`` (nested localisation and top points) and
-    ``out/formatted`` (five text fields as JSON).
+    ``out/formatted`` (five text fields as JSON). One folder per batch, overwritten on replay.
     """
     fixed = params if isinstance(params, Sized) else settle(params)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        windows = settle(window_rows(batch) if "kind" in batch.columns else batch).df
-        scored = settle(flows.score_windows(windows, fixed, scorer, by)).df
-        replies = settle(flows.replies(scored, grid, where))
-        write_batch(replies.df, f"{out}/replies", batch_id)
-        flagged = scored.filter("is_flagged")
-        found = settle(loc.localise(flagged, grid, where)).df
+        spark = batch.sparkSession
+        windows = window_rows(batch) if "kind" in batch.columns else batch
+        scored = loc.located(flows.score_windows(windows, fixed, scorer, by), grid, where)
         rank_by = "point_scores" if "point_scores" in scored.columns else "err"
-        tops = loc.top_points(flagged, found, grid, rank_by, where.top)
-        detail = tops.groupBy("series_id", "window_id").agg(
-            F.array_sort(F.collect_list(F.struct("ts", "value", "point_score"))).alias("points")
+        points = F.transform(
+            loc.top_places(rank_by, where.top),
+            lambda p: F.struct(
+                F.timestamp_seconds(F.unix_seconds("start_ts") + p * grid.step_seconds).alias("ts"),
+                F.get("values", p).alias("value"),
+                F.get(F.col(rank_by), p).alias("point_score"),
+            ),
         )
-        log = replies.df.filter("is_anomaly").join(detail, ["series_id", "window_id"])
+        kept = ["series_id", "window_id", "start_ts", "end_ts", "is_scored", "is_flagged", "window_score", flows.reply_limit(scored), "_place"]
+        slim = scored.select(*kept, F.when(F.col("is_flagged"), F.array_sort(points)).alias("points"))
+        write_batch(slim, f"{out}/scored", batch_id)
+        done = spark.read.schema(slim.schema).parquet(batch_folder(f"{out}/scored", batch_id))
+        replies = flows.replies(done, grid, where)
+        write_batch(replies, f"{out}/replies", batch_id)
+        log = flows.replies(done.filter("is_flagged"), grid, where, keep=["points"])
         write_batch(log, f"{out}/flagged", batch_id)
         if formatted:
-            write_batch(format_results(replies.df), f"{out}/formatted", batch_id, "json")
+            write_batch(format_results(replies, ["series_id", "window_id"]), f"{out}/formatted", batch_id, "json")
 
     return handle
 
@@ -84,11 +91,30 @@ def observed(stream: DataFrame, name: str = "progress") -> DataFrame:
     )
 
 
-def progress_rows(query: StreamingQuery) -> list[dict]:
-    """Received rows, batch size and observed counters per trigger."""
-    out, total = [], 0
-    for p in query.recentProgress:
-        total += p["numInputRows"]
-        seen = {k: v for m in (p["observedMetrics"] or {}).values() for k, v in m.asDict().items()} if p["observedMetrics"] else {}
-        out.append({"batch_id": p["batchId"], "last_batch": p["numInputRows"], "total": total, **seen})
-    return out
+class Totals(StreamingQueryListener):
+    """Rows and triggers of every query since it was added to ``spark.streams``; nothing is forgotten.
+
+    ``query.recentProgress`` keeps the last 100 triggers only.
+    """
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.triggers: dict[str, int] = {}
+        self.last: dict[str, dict] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        progress = event.progress
+        key = str(progress.id)
+        self.rows[key] = self.rows.get(key, 0) + int(progress.numInputRows or 0)
+        self.triggers[key] = self.triggers.get(key, 0) + 1
+        seen = {k: v for row in (progress.observedMetrics or {}).values() for k, v in row.asDict().items()}
+        self.last[key] = {"batch_id": progress.batchId, "last_batch": progress.numInputRows, "total": self.rows[key], **seen}
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
