@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The texts of a block (an Arrow batch, cut at ``BLOCK_CHARS``) are split into pre-tokens, and the
+The texts of a block (a slice of an Arrow batch, cut at ``BLOCK_CHARS``) are split into pre-tokens, and the
 block's distinct pre-tokens are laid out in one array of symbols. An inverted index leads from a
 merge to the positions where its pair stands. Merges are applied to the whole block in rank order;
 each one touches only its own positions, and only their neighbours are looked up again. The
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import common
 
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 22
 # Encoded pre-tokens that a Python worker remembers between blocks.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _STAND_IN = {"L": "ª", "N": "²", "": "§"}
 
 
@@ -49,29 +49,33 @@ def _take(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(total)]
 
 
-class Splitter:
-    """Pre-tokens of a text, with letters and digits as the tokenizer library knows them.
+def odd_characters() -> dict[int, str]:
+    """Characters that the regular expression module and the tokenizer library classify differently.
 
-    The installed regular expression module has a newer Unicode table than the library. Characters
-    that the two classify differently are replaced, for splitting only, by one of the right class.
+    The module has a newer Unicode table. Each such character is mapped to one that both take for
+    what the library takes it for: a letter, a digit or neither. Found once, on the driver.
     """
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([i]): i for i in range(256)}
+    known, seen = {}, {}
+    for kind in "LN":
+        one = tiktoken.Encoding(kind, pat_str=rf"\p{{{kind}}}+", mergeable_ranks=single, special_tokens={})
+        known[kind] = set(bytes(one.encode_ordinary(every)).decode())
+        seen[kind] = set("".join(regex.findall(rf"\p{{{kind}}}+", every)))
+    odd = (known["L"] ^ seen["L"]) | (known["N"] ^ seen["N"])
+    return {ord(c): _STAND_IN["L" if c in known["L"] else "N" if c in known["N"] else ""] for c in odd}
 
-    def __init__(self, pattern: str):
-        import tiktoken
 
+class Splitter:
+    """Pre-tokens of a text; odd characters are replaced, for splitting only, by their stand-ins."""
+
+    def __init__(self, pattern: str, stand_in: dict[int, str]):
         self.find = regex.compile(pattern).findall
         self.iterate = regex.compile(pattern).finditer
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        single = {bytes([i]): i for i in range(256)}
-        known, seen = {}, {}
-        for kind in "LN":
-            one = tiktoken.Encoding(kind, pat_str=rf"\p{{{kind}}}+", mergeable_ranks=single, special_tokens={})
-            known[kind] = set(bytes(one.encode_ordinary(every)).decode())
-            seen[kind] = set("".join(regex.findall(rf"\p{{{kind}}}+", every)))
-        odd = (known["L"] ^ seen["L"]) | (known["N"] ^ seen["N"])
-        self.stand_in = {ord(c): _STAND_IN["L" if c in known["L"] else "N" if c in known["N"] else ""] for c in odd}
-        self.least = chr(min(self.stand_in)) if odd else None
-        self.maybe_odd = regex.compile(f"[{self.least}-\U0010ffff]").search if odd else None
+        self.stand_in = stand_in
+        self.maybe_odd = regex.compile(f"[{chr(min(stand_in))}-\U0010ffff]").search if stand_in else None
 
     def __call__(self, text: str) -> Iterable[str]:
         if self.maybe_odd is not None and self.maybe_odd(text):
@@ -91,9 +95,9 @@ class Splitter:
 class Codec:
     """Encodes pre-tokens by merge replay and decodes ids, for one rank file and one pattern."""
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, stand_in: dict[int, str] | None = None):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-        self.split = Splitter(pattern)
+        self.split = Splitter(pattern, odd_characters() if stand_in is None else stand_in)
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         # Every way to put a token together from two tokens: key (left, right) -> rank.
@@ -265,12 +269,12 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
+def codec(ranks: bytes, pattern: str, stand_in: dict[int, str] | None = None) -> Codec:
     """The codec of a rank file; one is kept per Python worker and file."""
     key = hashlib.md5(ranks + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
+        _CODECS[key] = Codec(ranks, pattern, stand_in)
     return _CODECS[key]
 
 
@@ -278,11 +282,12 @@ class Tokenizer:
     """A rank file (by path) and a pattern, made available to the workers once; its size is that of the file."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.shared = spark.sparkContext.broadcast(read_ranks(path))
+        self.shared = spark.sparkContext.broadcast((read_ranks(path), odd_characters()))
         self.pattern = pattern
 
     def codec(self) -> Codec:
-        return codec(self.shared.value, self.pattern)
+        ranks, stand_in = self.shared.value
+        return codec(ranks, self.pattern, stand_in)
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", columns: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "[\\x20\\x09-\\x0D]+"
 # A table is broadcast only when its measured size stays below this bound.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# Text that a Python worker handles at a time.
+SLICE_BYTES = 4 * 1024 * 1024
 
 
 def word_count(text: Column) -> Column:
@@ -66,6 +70,24 @@ def placed_in_order(rows: DataFrame, order: list[Column | str], group: str) -> t
     return written, settle(runs)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch by the bytes of its last column; a longer text makes a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what goes to a Python worker at a time; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > 2 * SLICE_BYTES:
+        spark.conf.set(name, str(2 * SLICE_BYTES))
+
+
 def map_texts(
     docs: DataFrame,
     text: str,
@@ -73,18 +95,21 @@ def map_texts(
     make: Callable[[list[str | None]], list[pa.Array]],
     added: str,
 ) -> DataFrame:
-    """``columns`` of ``docs`` and what ``make`` returns for the texts of each Arrow batch (``added`` is its schema).
+    """``columns`` of ``docs`` and what ``make`` returns for the texts of a slice (``added`` is its schema).
 
-    Other columns pass through as Arrow buffers; a batch is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    Other columns pass through as Arrow buffers. A batch is bounded by ``small_batches`` and handled
+    in slices of about ``SLICE_BYTES`` of text, so a worker holds the results of one slice.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(text).alias("_text"))
     names = [f.name for f in T.StructType.fromDDL(added).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = make(batch.column(batch.num_columns - 1).to_pylist())
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[f"c{i}" for i in range(len(kept))] + names)
+            for part in slices(batch):
+                made = make(part.column(part.num_columns - 1).to_pylist())
+                kept = [part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[f"c{i}" for i in range(len(kept))] + names)
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     out = rows.mapInArrow(run, kinds + added)
