@@ -70,13 +70,13 @@ def placed_in_order(rows: DataFrame, order: list[Column | str], group: str) -> t
     return written, settle(runs)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch by the bytes of its last column; a longer text makes a slice of its own."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     begin = 0
     while begin < batch.num_rows:
         before = upto[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        end = max(begin + 1, int(np.searchsorted(upto, before + size, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
 
@@ -94,11 +94,12 @@ def map_texts(
     columns: list[str],
     make: Callable[[list[str | None]], list[pa.Array]],
     added: str,
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """``columns`` of ``docs`` and what ``make`` returns for the texts of a slice (``added`` is its schema).
 
     Other columns pass through as Arrow buffers. A batch is bounded by ``small_batches`` and handled
-    in slices of about ``SLICE_BYTES`` of text, so a worker holds the results of one slice.
+    in slices of about ``size`` bytes of text, so a worker holds the results of one slice.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(text).alias("_text"))
@@ -106,7 +107,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 made = make(part.column(part.num_columns - 1).to_pylist())
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[f"c{i}" for i in range(len(kept))] + names)

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 from tidemark.llm.byte_bpe import Codec, Tokenizer, _Ids
 
-LEAF = 64
+LEAF = 16
+# Counts are small, so a worker takes more text at a time than for ids.
+SLICE_BYTES = 2 * common.SLICE_BYTES
 # The end of a pre-token depends on at most so many characters behind it (contractions, white space).
 CONTEXT = 3
 STATE = "leaf_chars array<int>, tree array<int>"
@@ -132,7 +134,7 @@ def build(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", columns: li
     def make(texts: list[str | None]) -> list[pa.Array]:
         return [_lists(x) for x in _grow(tokenizer.codec(), texts)]
 
-    return common.map_texts(docs, text, carried, make, STATE)
+    return common.map_texts(docs, text, carried, make, STATE, SLICE_BYTES)
 
 
 def total(tree: str = "tree"):
@@ -146,33 +148,37 @@ def apply_edits(state: DataFrame, tokenizer: Tokenizer, text: str = "text", edit
     ``edits`` (``EDIT``) are applied one after another: [start, end) of the text as it is then, clipped to
     it, becomes ``text``. Null edits, null positions (0) and null texts (empty) are allowed.
     """
+    common.small_batches(state.sparkSession)
     others = [c for c in state.columns if c not in (text, "leaf_chars", "tree", edits, "split_chars")]
-    work = [text, "leaf_chars", "tree", edits]
+    work = ["leaf_chars", "tree", edits, text]
     rows = state.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*others, *work])])
     base = len(others)
 
+    def edited(part: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        columns = [part.column(base + i).to_pylist() for i in range(4)]
+        numbers, done = _Ids(), []
+        for chars, tree, asked, body in zip(*columns):
+            own = Edited(body or "", list(chars), np.array(tree, dtype=np.int64))
+            for e in asked or []:
+                own.apply(codec, numbers, e["start"] or 0, e["end"] or 0, e["text"] or "")
+            done.append(own)
+        counts = codec.counts_of(list(numbers))
+        for own in done:
+            own.finish(counts)
+        made = [
+            pa.array([own.text for own in done], pa.string()),
+            _lists([np.array(own.chars, dtype=np.int64) for own in done]),
+            _lists([own.tree for own in done]),
+            pa.array([own.split_chars for own in done], pa.int64()),
+        ]
+        names = [f"c{i}" for i in range(base)] + ["_text", "leaf_chars", "tree", "split_chars"]
+        return pa.RecordBatch.from_arrays([*[part.column(i) for i in range(base)], *made], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokenizer.codec()
         for batch in batches:
-            columns = [batch.column(base + i).to_pylist() for i in range(4)]
-            numbers, done = _Ids(), []
-            for body, chars, tree, asked in zip(*columns):
-                own = Edited(body or "", list(chars), np.array(tree, dtype=np.int64))
-                for e in asked or []:
-                    own.apply(codec, numbers, e["start"] or 0, e["end"] or 0, e["text"] or "")
-                done.append(own)
-            counts = codec.counts_of(list(numbers))
-            for own in done:
-                own.finish(counts)
-            made = [
-                pa.array([own.text for own in done], pa.string()),
-                _lists([np.array(own.chars, dtype=np.int64) for own in done]),
-                _lists([own.tree for own in done]),
-                pa.array([own.split_chars for own in done], pa.int64()),
-            ]
-            kept = [batch.column(i) for i in range(base)]
-            names = [f"c{i}" for i in range(base)] + ["_text", "leaf_chars", "tree", "split_chars"]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
+            for part in common.slices(batch, SLICE_BYTES):
+                yield edited(part, codec)
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:base])
     out = rows.mapInArrow(run, f"{kinds}_text string, {STATE}, split_chars long")
