@@ -109,3 +109,60 @@ def test_simhash_awkward_rows(spark):
     kept = simhash.dedup(df)
     assert kept.columns == df.columns
     assert simhash.classes(df.limit(0)).collect() == [] and simhash.dedup(df.limit(0)).collect() == []
+
+
+def edited_texts():
+    """Pairs on both sides of a five-word Jaccard similarity of 0.8, and one class of many edited copies."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for edits in [0, 1, 2, 3, 4, 5, 6, 8, 12] * 30:
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((60, 150, 400)))]
+        texts.append(" ".join(base))
+        for at in rng.sample(range(len(base)), edits):
+            base[at] = rng.choice(vocabulary)
+        texts.append(" ".join(base).upper())
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    for _ in range(80):
+        copy = list(base)
+        copy[rng.randrange(200)] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    return texts + ["", None, "one", "One", "one two", " \n"]
+
+
+def plain_similar(texts):
+    """Links of all pairs with a five-word Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    return {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if near(a, sets[j])}
+
+
+def test_dedup_finds_similar_texts_and_no_others(spark):
+    texts = edited_texts()
+    want = plain_similar(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(helpers.from_texts(spark, texts)).collect()}
+    root = list(range(len(texts)))
+    for i, j in sorted(want):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    found = sum(got[i] == got[j] for i, j in want)
+    assert found >= 0.98 * len(want)
+    pairs = [(i, j) for i, j in want if j < 540]
+    assert len(pairs) > 100 and sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+    assert all(root[i] == root[c] for i, c in got.items())
+    fps = [helpers.plain_fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() <= simhash.BITS for i, j in pairs) < 0.7 * len(pairs)
+    kept = {r["doc_id"] for r in simhash.dedup(helpers.from_texts(spark, texts)).collect()}
+    assert kept == set(got.values())
+
+
+def test_long_runs_are_compared_in_all_pairs(spark, monkeypatch):
+    """Rows of one anchor that are not similar to its first row still find one another."""
+    texts = [" ".join(f"t{i // 2}x{j}" for j in range(60)) + (" more" if i % 2 else "") for i in range(12)]
+    monkeypatch.setattr(simhash, "samples", lambda *_: np.zeros((1, 0), dtype=int))
+    monkeypatch.setattr(simhash, "_within", lambda *_: 256)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(helpers.from_texts(spark, texts)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
