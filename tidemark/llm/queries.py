@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, url_filter
+from tidemark.llm import (
+    byte_bpe,
+    chat_format,
+    exact_dedup,
+    importance,
+    language_id,
+    mixing,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    token_alignment,
+    token_counts,
+    url_filter,
+)
 from tidemark.llm.common import table
 from tidemark.session import pin_utc
 
@@ -129,6 +143,24 @@ def judged_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def resampled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder, "doc_id", "text")
+    drawn = importance.resample(docs, table(spark, folder, "benchmark").select("text"), columns=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def identified_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder, "doc_id", "text", "lang")
+    held_out = language_id.held_out(F.col("doc_id"))
+    net = language_id.fit(docs.filter(~held_out))
+    return language_id.identify(docs, net, columns=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.align(_documents(spark, folder, "doc_id", "text"), token_alignment.Tokenizers(spark, *files), columns=["doc_id"])
+
+
 QUERIES = {
     "op1_mixed_sources": mixed_sources,
     "op2_judged_urls": judged_urls,
@@ -140,6 +172,9 @@ QUERIES = {
     "op8_encoded_documents": encoded_documents,
     "op9_formatted_conversations": formatted_conversations,
     "op10_judged_documents": judged_documents,
+    "op11_resampled_documents": resampled_documents,
+    "op12_identified_languages": identified_languages,
+    "op13_aligned_tokens": aligned_tokens,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -204,4 +239,25 @@ ORACLES = {
                     OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
         FROM b
     """,
+    "op11_resampled_documents": r"""
+        WITH RECURSIVE bits AS (SELECT b, 0 AS i, b::BIGINT AS c FROM range(256) r(b)
+                       UNION ALL SELECT b, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE i < 8),
+        crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE i = 8),
+        texts AS (SELECT 0 AS side, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark),
+        w AS (SELECT side, row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        runs AS (SELECT side, r, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT side, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 4) k(n) WHERE len(w) >= n)),
+        each AS (SELECT side, r, g, count(*) AS n FROM runs GROUP BY ALL),
+        hashed AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(g)), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::BIGINT)),
+                                     lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+                   FROM (SELECT DISTINCT g FROM each), crc),
+        f AS (SELECT side, r, bucket, sum(n) AS n FROM each JOIN hashed USING (g) GROUP BY ALL),
+        b AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM f GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM b),
+        d AS (SELECT w.r, doc_id, len(w) AS n_words, coalesce(sum(n), 0)::BIGINT AS n_features, coalesce(sum(n * gain), 0)::BIGINT AS weight
+              FROM w LEFT JOIN f ON w.r = f.r LEFT JOIN gain USING (bucket) WHERE w.side = 0 GROUP BY w.r, doc_id, len(w)),
+        e AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM o
+    """,
 }
