@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import common
-from tidemark.llm.byte_bpe import _Ids, _take
+from tidemark.llm.byte_bpe import _Ids
 from tidemark.session import settle
 
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -40,6 +41,11 @@ _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 # A piece that reaches over such a cut: one of those signs, or the end of one, and a space.
 _OVER = re.compile(rb"(?:[!-~]|[\xc3-\xc9][\x80-\xbf]|^[\x80-\xbf]) ")
 _SPACE = "▁"
+# The split of byte-level BPE, and the characters for which the quick encoder is asked.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_COMMON = re.compile("[\t\n\r -~À-ɏ]*").fullmatch
+# Distinct units that are encoded and aligned at a time.
+_UNITS = 1 << 14
 _ADDED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
@@ -57,16 +63,40 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(_SPACE, " ").encode("utf-8")
 
 
+def as_ranks(a_json: str) -> dict[bytes, int] | None:
+    """Byte ranks equal to a JSON vocabulary, or None if its merges are not in the order of their ids or it does more than merge."""
+    told = json.loads(a_json)
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not told.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+    plain = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain = plain and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    letters = byte_alphabet()
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    if not plain or not all(t.get("special") for t in told.get("added_tokens", [])):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(x + y, -1) for x, y in merges]
+    single = [model["vocab"].get(c, -1) for c in letters]
+    if not made or min(single) < 0 or made != sorted(set(made)) or max(single) > made[0]:
+        return None
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+    return ranks if len(ranks) == len(made) + len(single) else None
+
+
 class Pair:
     """Both tokenizers in one worker: encoders, the bytes and the printed form of every id."""
 
     def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json)
         # Strings of special tokens inside a text are plain text.
         self.a.encode_special_tokens = True
+        ranks = as_ranks(a_json)
+        # Merging by rank gives the same ids sooner; it is asked only for characters that all Unicode tables class alike.
+        self.quick = ranks and tiktoken.Encoding("a", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         letters = byte_alphabet()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
@@ -76,6 +106,8 @@ class Pair:
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        # The ids in print, looked up and not made again for every token.
+        self.number = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         # Units are exact only if no piece reaches over a space that follows a letter.
         self.cut = None if any(map(_OVER.search, [*self.a_bytes, *self.b_bytes])) else _CUT
 
@@ -84,12 +116,17 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of space+unit by A, of the unit by B; none where the joined bytes differ from space+unit."""
-        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        spaced = [" " + u for u in units]
+        if self.quick:
+            a = [self.quick(u) if _COMMON(u) else self.a.encode(u, add_special_tokens=False).ids for u in spaced]
+        else:
+            a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1)
-        for i, (u, x, y) in enumerate(zip(units, a, b)):
-            want = (" " + u).encode("utf-8")
-            if b"".join(map(self.a_bytes.__getitem__, x)) != want or b"".join(map(self.b_bytes.__getitem__, y)) != want:
-                a[i] = b[i] = []
+        for table, found in ((self.a_bytes, a), (self.b_bytes, b)):
+            pieces = [b"".join(map(table.__getitem__, ids)) for ids in found]
+            for i, (u, piece) in enumerate(zip(spaced, pieces)):
+                if piece != u.encode("utf-8"):
+                    a[i] = b[i] = []
         return a, b
 
 
@@ -141,14 +178,14 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
 
 
-def shown(a: list[int], b: list[int], first_a: list[int], first_b: list[int]) -> list[str]:
+def shown(number: list[str], a: list[int], b: list[int], first_a: list[int], first_b: list[int]) -> list[str]:
     """``a1,a2|b1`` per group."""
-    text_a, text_b = list(map(str, a)), list(map(str, b))
+    text_a, text_b = list(map(number.__getitem__, a)), list(map(number.__getitem__, b))
     out = []
     for i, k, j, m in zip(first_a, [*first_a[1:], len(a)], first_b, [*first_b[1:], len(b)]):
         left = text_a[i] if k == i + 1 else ",".join(text_a[i:k])
         right = text_b[j] if m == j + 1 else ",".join(text_b[j:m])
-        out.append(f"{left}|{right}")
+        out.append(left + "|" + right)
     return out
 
 
@@ -156,21 +193,28 @@ class Units:
     """The distinct units of a block, encoded and aligned: per unit its counts, its printed groups and its links."""
 
     def __init__(self, pair: Pair, words: list[str]):
+        parts = [self._part(pair, words[i : i + _UNITS]) for i in range(0, len(words), _UNITS)] or [self._part(pair, [])]
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.links = (np.concatenate(x) for x in list(zip(*parts))[:5])
+        self.text = [t for part in parts for t in part[5]]
+        self.fits = self.n_a > 0
+
+    @staticmethod
+    def _part(pair: Pair, words: list[str]) -> tuple:
         a, b = pair.encode(words)
-        self.fits = np.array([bool(x) for x in a], dtype=bool)
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(words)) for x in (a, b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((a, self.n_a), (b, self.n_b)))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(words)) for x in (a, b))
+        list_a, list_b = (list(chain.from_iterable(x)) for x in (a, b))
+        flat_a, flat_b = np.array(list_a, dtype=np.int64), np.array(list_b, dtype=np.int64)
         # All units behind one another are one text of the two tokenizers: every unit ends with a group.
         ends_a, ends_b = np.cumsum(pair.a_length[flat_a]), np.cumsum(pair.b_length[flat_b])
         first_a, first_b = groups(ends_a, ends_b)
-        stops = np.cumsum(self.n_a)
+        stops = np.cumsum(n_a)
         upto = np.searchsorted(first_a, stops)
-        self.n_groups = np.diff(upto, prepend=0)
-        text = shown(flat_a.tolist(), flat_b.tolist(), first_a.tolist(), first_b.tolist())
-        self.text = [";".join(text[s : s + n]) for s, n in zip((upto - self.n_groups).tolist(), self.n_groups.tolist())]
+        n_groups = np.diff(upto, prepend=0)
+        text = shown(pair.number, list_a, list_b, first_a.tolist(), first_b.tolist())
+        said = [";".join(text[s : s + n]) for s, n in zip((upto - n_groups).tolist(), n_groups.tolist())]
         link_a, link_b = links(ends_a, ends_b)
-        self.n_links = np.diff(np.searchsorted(link_a, stops), prepend=0)
-        self.links = flat_a[link_a] << 32 | flat_b[link_b]
+        n_links = np.diff(np.searchsorted(link_a, stops), prepend=0)
+        return n_a, n_b, n_groups, n_links, flat_a[link_a] << 32 | flat_b[link_b], said
 
 
 _PAIRS: dict[str, Pair] = {}
