@@ -1,4 +1,5 @@
 import collections
+import re
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ import __spark_entry__
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm import helpers
+from tests.llm.test_dedup import plain_roots
 from tests.llm.test_filters import plain_measures
 from tests.llm.test_sampling_and_shards import plain_targets
 from tidemark.llm import quality_rules
@@ -20,36 +22,45 @@ def keeps(text):
     return not (failed or chars < 2 * n or chars > 20 * n)
 
 
-def plain_survivors(rows):
-    """Ids that the first three stages keep, stage by stage over all pairs."""
-    import re
+def test_stages_match_brute_force(spark):
+    """Every stage on what its predecessor kept: equal, not a subset."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    stage = dict(corpus_pipeline.STAGES)
 
-    left = [(i, t) for i, t in rows if keeps(t)]
+    docs = stage["quality rules"](spark, docs, SF)
+    left = sorted(i for i, r in rows.items() if keeps(r["text"]))
+    assert ids(docs) == left
+
+    docs = stage["exact dedup"](spark, docs, SF)
     first = {}
-    for i, t in sorted(left):
-        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t or ""), i)
-    left = sorted((i, t) for i, t in left if i in set(first.values()))
-    classes = helpers.plain_classes([helpers.plain_fingerprint(t) for _, t in left])
-    return {left[c][0] for c in set(classes)}
-
-
-def test_pipeline_matches_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    want = plain_survivors([(r["doc_id"], r["text"]) for r in docs])
-    text, source = {r["doc_id"]: r["text"] for r in docs}, {r["doc_id"]: r["source"] for r in docs}
-    got = corpus_pipeline.run(spark, SF).collect()
-    copies = collections.Counter(r["doc_id"] for r in got)
-    assert set(copies) <= want
+    for i in left:
+        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", rows[i]["text"] or ""), i)
+    left = sorted(first.values())
+    assert ids(docs) == left
+
+    docs = stage["simhash near-dedup"](spark, docs, SF)
+    left = sorted({left[r] for r in plain_roots([rows[i]["text"] for i in left])})
+    assert ids(docs) == left
+
+    mixed = stage["mixing"](spark, docs, SF)
+    copies = collections.Counter(ids(mixed))
     sizes, taken = collections.Counter(), collections.Counter()
-    for i in want:
-        n = plain_measures(text[i])[0]
-        sizes[source[i]] += n
-        taken[source[i]] += n * copies[i]
+    for i in left:
+        n = plain_measures(rows[i]["text"])[0]
+        sizes[rows[i]["source"]] += n
+        taken[rows[i]["source"]] += n * copies[i]
     targets = plain_targets(dict(sizes))
-    most = max(plain_measures(text[i])[0] for i in want)
-    assert all(abs(taken[s] - targets[s]) <= 2 * most for s in targets)
-    for r in got:
-        assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == PLAIN.encode_ordinary(text[r["doc_id"]])
+    most = max(plain_measures(rows[i]["text"])[0] for i in left)
+    assert set(copies) <= set(left) and all(abs(taken[s] - targets[s]) <= 2 * most for s in targets)
+
+    coded = stage["byte-level BPE"](spark, mixed, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in coded) == copies
+    for r in coded:
+        assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == PLAIN.encode_ordinary(rows[r["doc_id"]]["text"])
+
+    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == copies
 
 
 def test_stages_keep_the_columns(spark):

@@ -10,17 +10,11 @@ An anchor with more than ``HOT`` fingerprints is split exactly: by anchors of a
 bit on the quarters of the other half (one of which differs in at most one bit), and what is still hot
 by pairs of blocks. Equal fingerprints are collapsed first, so copies of a text cost one entry.
 
-``dedup`` asks for more: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more. At 0.8 fingerprints differ in 15 % of their bits, which no covering of 64 bits reaches at a bearable
-cost. It takes fingerprints of 256 bits; anchors are the values of sampled bit positions, in as many samples as
-find a pair at the threshold with probability ``RECALL``. Pairs that meet are compared by all 256 bits, and
-every link is verified on the shingles themselves before components are formed.
+Copies of whole texts beyond three bits are found in ``similar``.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +33,6 @@ SEED = 42
 # Fingerprints that one task compares with one another at a time.
 HOT = 8192
 _CHUNK = 1 << 16
-# What ``dedup`` calls a near copy, and the share of pairs at the threshold that its anchors are to find.
-LONG_WORDS = 5
-SIMILAR = 0.8
-RECALL = 0.99
-_LANES = 4
-# Runs of an anchor up to this length are compared in all pairs at once, longer ones with their first fingerprint first.
-_SHORT = 4
-_SIDE = 2048
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -288,233 +274,3 @@ def classes(docs: DataFrame, text: str = "text", words: int = WORDS, bits: int =
         least = settle(rooted.df.groupBy("_root").agg(F.min("_least").alias("component_id")))
         named = common.join_checked(rooted.df, least, ["_root"]).select("fp", "component_id")
     return common.join_checked(marked, settle(named), ["fp"]).select("doc_id", "fp", "component_id")
-
-
-def shingles(text: str | None, words: int = LONG_WORDS) -> set[bytes]:
-    """Distinct word shingles; a shorter text is one shingle, a text without words has none."""
-    w = (text or "").encode("utf-8").lower().split()
-    return {b" ".join(s) for s in zip(*[w[i:] for i in range(words)])} or ({b" ".join(w)} if w else set())
-
-
-def wide_fingerprint(found: list[bytes]) -> bytes:
-    """Majority bits, 256 of them, of distinct shingles; each XXH64 is spread to four words by SplitMix64."""
-    digest = xxhash.xxh64_intdigest
-    seeds = np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(64 * _LANES, dtype=np.int64)
-    for begin in range(0, len(found), _CHUNK // _LANES):
-        part = found[begin : begin + _CHUNK // _LANES]
-        z = np.fromiter((digest(s, SEED) for s in part), dtype=np.uint64, count=len(part))[:, None] + seeds
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        counts += np.unpackbits(z.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(found)).tobytes()
-
-
-def _marks(texts: list[str | None]) -> list[pa.Array]:
-    """Per text a hash of its shingle set and the wide fingerprint."""
-    sets = [sorted(shingles(t)) for t in texts]
-    return [
-        pa.array([hashlib.md5(b"\n".join(s)).digest() for s in sets], pa.binary()),
-        pa.array([wide_fingerprint(s) for s in sets], pa.binary()),
-    ]
-
-
-def _differing(similarity: float) -> float:
-    """Share of bits in which fingerprints differ at most, in expectation, from a Jaccard similarity on."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def samples(rows: int, similarity: float = SIMILAR, recall: float = RECALL) -> np.ndarray:
-    """Bit positions, one row per sample: wide enough that unrelated fingerprints seldom meet among ``rows``."""
-    width = min(40, max(8, math.ceil(math.log2(max(rows, 2))) + 4))
-    number = math.ceil(math.log(1 - recall) / math.log1p(-((1 - _differing(similarity)) ** width)))
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(64 * _LANES, width, replace=False) for _ in range(number)])
-
-
-def _sampled(nodes: DataFrame, at: np.ndarray) -> DataFrame:
-    """Rows ``k, node``: one per sample of every row of ``nodes`` (node, wide)."""
-    names = np.arange(len(at), dtype=np.int64) << 40
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, _SIDE):
-                part = batch.slice(begin, _SIDE)
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
-                keys = np.repeat(names[None, :], len(node), axis=0)
-                for j in range(at.shape[1]):
-                    keys |= bits[:, at[:, j]].astype(np.int64) << j
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, len(at)))], names=["k", "node"])
-
-    return nodes.select("node", "wide").mapInArrow(run, "k long, node long")
-
-
-def _whole_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames sorted by ``k``, cut so that no run of ``k`` is in two of them."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        k = frame["k"].to_numpy()
-        if not len(k):
-            continue
-        if held and k[-1] == held[0]["k"].iloc[-1]:
-            held.append(frame)
-            continue
-        cut = int(np.searchsorted(k, k[-1]))
-        yield pd.concat([*held, frame[:cut]], ignore_index=True)
-        held = [frame[cut:]]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _meetings(entries: DataFrame) -> Sized:
-    """Pairs ``a < b`` that meet in ``entries`` (k, node); rows of runs above ``_SHORT`` come back as well, with ``k``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_runs(frames):
-            k, node = frame["k"].to_numpy(np.int64), frame["node"].to_numpy(np.int64)
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, dtype=int)
-            lengths = np.diff(np.r_[starts, len(k)])
-            first, long = np.repeat(starts, lengths), np.repeat(lengths > _SHORT, lengths)
-            a, b = [], []
-            for d in range(1, min(_SHORT, len(k))):
-                i = np.flatnonzero((k[d:] == k[:-d]) & ~long[d:])
-                a.append(node[i])
-                b.append(node[i + d])
-            i = np.flatnonzero(long & (first != np.arange(len(k))))
-            a, b = np.concatenate([*a, node[first[i]]]), np.concatenate([*b, node[i]])
-            pairs = pd.DataFrame({"a": a, "b": b}).drop_duplicates().assign(k=None)
-            again = pd.DataFrame({"a": node[long], "b": node[long], "k": k[long]})
-            for out in (pairs, again):
-                if len(out):
-                    yield out.astype({"k": "Int64"})
-
-    return settle(
-        entries.repartition("k").sortWithinPartitions("k", "node").mapInPandas(run, "a long, b long, k long"),
-        again=F.count_if(F.col("k").isNotNull()),
-    )
-
-
-def _within(similarity: float) -> int:
-    """Bits that fingerprints at the threshold may differ in: the expectation and four and a half deviations."""
-    p, n = _differing(similarity), 64 * _LANES
-    return math.floor(n * p + 4.5 * math.sqrt(n * p * (1 - p)))
-
-
-def _rest(entries: DataFrame, within: int) -> DataFrame:
-    """All pairs of a run of ``entries`` (k, node, wide, root) with different roots and fingerprints that are close."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_runs(frames):
-            for _, f in frame.groupby("k", sort=False):
-                root, node = f["root"].to_numpy(np.int64), f["node"].to_numpy(np.int64)
-                if (root == root[0]).all():
-                    continue
-                wide = np.frombuffer(b"".join(f["wide"]), np.uint64).reshape(len(f), -1)
-                for i in range(len(f) - 1):
-                    other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                    other = other[np.bitwise_count(wide[other] ^ wide[i]).sum(axis=1, dtype=np.int64) <= within]
-                    if len(other):
-                        yield pd.DataFrame({"a": node[i], "b": node[other]})
-
-    return entries.repartition("k").sortWithinPartitions("k", "node").mapInPandas(run, "a long, b long").distinct()
-
-
-def _close(pairs: DataFrame, nodes: Sized, within: int) -> DataFrame:
-    """The pairs whose wide fingerprints differ in at most ``within`` bits."""
-    of = lambda c: Sized(nodes.df.select(F.col("node").alias(c), F.col("wide").alias(f"_{c}")), nodes.rows, nodes.bytes)
-    both = common.join_checked(common.join_checked(pairs, of("a"), ["a"]), of("b"), ["b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, _LANES) for i in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= within
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: Sized, docs: DataFrame, nodes: Sized, text: str, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least the similarity, by their texts."""
-    asked = pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct()
-    asked = settle(common.join_checked(nodes.df.select("node", "digest", "_least"), settle(asked), ["node"]))
-    ids = settle(asked.df.select(common.null_safe(F.col("_least")).alias("_id")).distinct())
-    rows = docs.select(common.null_safe(F.col("doc_id")).alias("_id"), F.col(text).alias("_of"))
-    rows = common.join_checked(rows, ids, ["_id"], "left_semi")
-    digest = lambda texts: _marks(texts)[:1]
-    marked = common.map_texts(rows, "_of", ["_of"], digest, "digest binary")
-    once = marked.groupBy("digest").agg(F.first("_of").alias("_of"))
-    texts = settle(common.join_checked(once, asked, ["digest"]).select("node", "_of"))
-    of = lambda c: Sized(texts.df.select(F.col("node").alias(c), F.col("_of").alias(f"_{c}")), texts.rows, texts.bytes)
-    both = common.join_checked(common.join_checked(pairs.df, of("a"), ["a"]), of("b"), ["b"])
-    share = similarity
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: tuple[int, set[bytes]] | None = None
-            near = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if held is None or held[0] != a:
-                    held = (a, shingles(x.as_py()))
-                other = shingles(y.as_py())
-                common_ones = len(held[1] & other)
-                near.append(common_ones >= share * (len(held[1]) + len(other) - common_ones))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
-
-
-def similar_links(docs: DataFrame, nodes: Sized, text: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """Verified links ``a < b`` of ``nodes`` (node, digest, wide, _least), the distinct shingle sets of ``docs``.
-
-    Every pair that meets at an anchor is connected by the result if it is similar: runs of an anchor are
-    first linked to their first row, and of long runs all pairs follow that this has not connected.
-    """
-    common.small_batches(docs.sparkSession)
-    within = _within(similarity)
-    met = _meetings(_sampled(nodes.df, samples(nodes.rows, similarity)))
-    pairs = settle(_close(met.df.filter("k IS NULL").select("a", "b").distinct(), nodes, within))
-    found = settle(_verified(pairs, docs, nodes, text, similarity))
-    if not met.seen["again"]:
-        return found.df
-    roots = components(found.df)
-    again = met.df.filter("k IS NOT NULL").select("k", F.col("a").alias("node"))
-    again = common.join_checked(again, Sized(nodes.df.select("node", "wide"), nodes.rows, nodes.bytes), ["node"])
-    if roots is None:
-        again = again.withColumn("root", F.col("node"))
-    else:
-        again = common.join_checked(again, settle(roots), ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-    rest = settle(_rest(again.select("k", "node", "wide", "root"), within))
-    if not rest.rows:
-        return found.df
-    return settle(found.df.unionByName(_verified(rest, docs, nodes, text, similarity))).df
-
-
-def similar_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """One row per document: ``doc_id, component_id`` (the smallest id reachable over pairs of at least ``similarity``).
-
-    Texts with equal shingle sets, and all texts without words, are one class. Ids behave as in ``classes``.
-    """
-    marked = settle(common.map_texts(docs, text, ["doc_id"], _marks, "digest binary, wide binary")).df
-    least = marked.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.first("wide").alias("wide"))
-    nodes = settle(least.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(similar_links(docs, nodes, text, similarity))
-    if roots is None:
-        named = nodes.df.select("digest", F.col("_least").alias("component_id"))
-    else:
-        rooted = common.join_checked(nodes.df.select("node", "digest", "_least"), settle(roots), ["node"], "left")
-        rooted = settle(rooted.select("digest", F.coalesce("root", "node").alias("root"), "_least")).df
-        first = settle(rooted.groupBy("root").agg(F.min("_least").alias("component_id")))
-        named = common.join_checked(rooted, first, ["root"]).select("digest", "component_id")
-    return common.join_checked(marked.select("doc_id", "digest"), settle(named), ["digest"]).select("doc_id", "component_id")
-
-
-def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: of each class of similar texts the row with the smallest id.
-
-    Classes without any id and rows without id stay whole; of repeated ids every row of the kept id stays.
-    """
-    found = similar_classes(docs, text, similarity)
-    gone = settle(found.filter("doc_id > component_id").select("doc_id").distinct())
-    return common.join_checked(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
