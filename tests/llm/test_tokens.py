@@ -80,7 +80,7 @@ def test_random_edits_match_counting_again(codec):
     for trial in range(120):
         text = "".join(rng.choice(pieces) for _ in range(rng.choice((0, 3, 40, 1500))))
         chars, trees = token_counts._grow(codec, [text])
-        own = token_counts.Edited(text, chars[0].tolist(), trees[0])
+        own = token_counts.Edited(text, chars[0].tolist(), trees[0].tolist())
         numbers, want = byte_bpe._Ids(), text
         for _ in range(rng.randrange(1, 5)):
             a = rng.randrange(len(want) + 1)
@@ -88,22 +88,24 @@ def test_random_edits_match_counting_again(codec):
             new = "".join(rng.choice(pieces) for _ in range(rng.choice((0, 1, 4, 300))))
             own.apply(codec, numbers, a, b, new)
             want = want[:a] + new + want[b:]
-        own.finish(codec.counts_of(list(numbers)))
+        own.finish(codec.counts_of(list(numbers)).tolist())
         assert own.text == want
-        assert int(own.tree[1]) == len(PLAIN.encode_ordinary(want))
-        assert sum(own.chars) == len(want)
-        assert np.array_equal(own.tree, token_counts.tree_of(np.array(own.tokens, dtype=np.int64)))
+        assert own.tree[1] == len(PLAIN.encode_ordinary(want))
+        assert own.chars[1] == len(want)
+        for tree in (own.tree, own.chars):
+            assert tree == token_counts.tree_of(np.array(tree[len(tree) // 2 :], dtype=np.int64)).tolist()
 
 
 def test_small_edit_of_a_long_text_splits_little(codec):
     text = " some words" * 50_000
     chars, trees = token_counts._grow(codec, [text])
-    own = token_counts.Edited(text, chars[0].tolist(), trees[0])
-    numbers = byte_bpe._Ids()
+    own = token_counts.Edited(text, chars[0].tolist(), trees[0].tolist())
+    numbers, size = byte_bpe._Ids(), len(trees[0])
     own.apply(codec, numbers, 300_000, 300_005, "new")
-    own.finish(codec.counts_of(list(numbers)))
-    assert own.split_chars < 2000 and not own.rebuilt
-    assert int(own.tree[1]) == len(PLAIN.encode_ordinary(own.text))
+    assert len(own.fresh) <= 3
+    own.finish(codec.counts_of(list(numbers)).tolist())
+    assert own.split_chars < 2000 and len(own.tree) == size
+    assert own.tree[1] == len(PLAIN.encode_ordinary(own.text))
 
 
 def test_edits_of_awkward_rows(spark):
@@ -122,6 +124,48 @@ def test_edits_of_awkward_rows(spark):
     assert token_counts.apply_edits(built.limit(0), coder).collect() == []
 
 
+def test_leaf_search():
+    tree = token_counts.tree_of(np.array([3, 1, 4, 1, 5])).tolist()
+    assert [token_counts.leaf_at(tree, i) for i in (0, 2, 3, 4, 7, 8, 9, 13, 99)] == [(0, 0), (0, 0), (1, 3), (2, 4), (2, 4), (3, 8), (4, 9), (4, 9), (4, 9)]
+
+
+def test_windows_split_as_a_whole(codec):
+    rng = random.Random(8)
+    for text in hard_texts(200)[:-1] + ["a  " * 400, " " * 700 + "x", "x" * 900 + "\u11de0 b"]:
+        for size in (1, 5, 64):
+            assert list(codec.split.windowed(text, 0, size, token_counts.CONTEXT)) == list(codec.split(text))
+    assert rng
+
+
+def test_one_pass_equals_two(spark):
+    coder = tokenizer(spark)
+    edits = F.expr("array(named_struct('start', 2, 'end', 4, 'text', ' and'), named_struct('start', 0, 'end', 0, 'text', 'x '))")
+    df = helpers.docs(spark, clashes=True).withColumn("edits", edits).withColumn("Tree", F.lit(1))
+    one = token_counts.build_and_edit(df, coder)
+    two = token_counts.apply_edits(token_counts.build(df, coder), coder)
+    assert {c.lower() for c in one.columns} == {c.lower() for c in two.columns} | {"n_tokens"}
+    pick = lambda d: helpers.rows_of(d.select("doc_id", "text", "char_tree", "tree", "split_chars"))
+    assert pick(one) == pick(two)
+    assert token_counts.build_and_edit(df.limit(0), coder).collect() == []
+
+
+def test_registered_edits_match_the_library(spark):
+    from tests.conftest import SF
+    from tidemark.llm import queries
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.QUERIES["op7_edited_token_counts"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        old = want = texts[r["doc_id"]]
+        n = len(old)
+        for a, b, new in ((n // 4, int(n / 4 + 10), ""), (n // 2, n // 2, " it's 42\n\n new"), (n - 5, n + 99, "  end.")):
+            a = min(max(0, a), len(want))
+            want = want[:a] + new + want[max(a, min(b, len(want))) :]
+        assert (r["n_tokens"], r["n_tokens_edited"]) == (len(PLAIN.encode_ordinary(old)), len(PLAIN.encode_ordinary(want)))
+        assert (r["n_chars_edited"], r["edited_sha256"]) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
 def test_registered_query_matches_the_library(spark):
     from tests.conftest import SF
     from tidemark.llm import queries
@@ -131,3 +175,9 @@ def test_registered_query_matches_the_library(spark):
         ids = np.array(PLAIN.encode_ordinary(texts[r["doc_id"]]), dtype="<u4")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_sizes_as_settings_write_them():
+    from tidemark.llm import common
+
+    assert [common.size_in_bytes(t) for t in ("256", "256b", "64m", "64MB", "1g", "2KB", "-1")] == [256, 256, 64 << 20, 64 << 20, 1 << 30, 2048, -1]

@@ -85,11 +85,22 @@ class Splitter:
             return (m.group() for m in self.iterate(text))
         return self.find(text)
 
-    def after(self, text: str, at: int) -> Iterator[str]:
-        """Pre-tokens of ``text`` from ``at`` on, as they are needed; one has to begin there."""
-        if self.maybe_odd is not None and self.maybe_odd(text, at):
-            return (text[m.start() : m.end()] for m in self.iterate(text.translate(self.stand_in), at))
-        return (m.group() for m in self.iterate(text, at))
+    def windowed(self, text: str, at: int, size: int, context: int) -> Iterator[str]:
+        """Pre-tokens of ``text`` from ``at`` on, as they are needed; one has to begin there.
+
+        Windows of the text are split; a pre-token that ends within ``context`` of a window's end is split again in the next, longer one.
+        """
+        while at < len(text):
+            stop = at + size
+            if stop >= len(text):
+                yield from self(text[at:])
+                return
+            for piece in self(text[at:stop]):
+                if at + len(piece) > stop - context:
+                    break
+                yield piece
+                at += len(piece)
+            size *= 2
 
 
 class Codec:
@@ -112,6 +123,7 @@ class Codec:
         self.pair_keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
         self.pair_ranks = np.append(np.array(values, dtype=np.int64)[order], -1)
         self.known: dict[str, np.ndarray] = {}
+        self.pattern, self.single_piece = pattern, None
 
     def _merge_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -246,9 +258,12 @@ class Codec:
 
     def counts_of(self, pretokens: list[str]) -> np.ndarray:
         """Number of tokens of each pre-token."""
-        numbers = _Ids()
-        at = np.fromiter(map(numbers.__getitem__, pretokens), dtype=np.int64, count=len(pretokens))
-        return self._table(list(numbers))[1][at] if len(at) else at
+        if self.single_piece is None:
+            import tiktoken
+
+            own = tiktoken.Encoding("counts", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+            self.single_piece = own._core_bpe.encode_single_piece
+        return np.fromiter((len(self.single_piece(p.encode("utf-8"))) for p in pretokens), dtype=np.int64, count=len(pretokens))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of every text, block by block."""
@@ -266,16 +281,10 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(ranks: bytes, pattern: str, stand_in: dict[int, str] | None = None) -> Codec:
-    """The codec of a rank file; one is kept per Python worker and file."""
+    """The codec of a rank file; one is kept per Python worker."""
     key = hashlib.md5(ranks + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern, stand_in)
-    return _CODECS[key]
+    return common.kept("codec", key, lambda: Codec(ranks, pattern, stand_in))
 
 
 class Tokenizer:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,6 +24,18 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SLICE_BYTES = 4 * 1024 * 1024
 
 
+def kept(kind: str, key: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept in this process for the next tasks until another ``key`` of its kind is asked for.
+
+    Task functions travel by value, and their module's variables with them; a worker keeps nothing in those.
+    """
+    held = sys.__dict__.setdefault("_kept_for_tasks", {})
+    if kind not in held or held[kind][0] != key:
+        held.pop(kind, None)
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -81,10 +95,16 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
         begin = end
 
 
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it: bytes, or with a unit such as ``64m`` or ``64MB``."""
+    number, unit = re.fullmatch("(-?[0-9]+)([a-z]*)", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index((unit.rstrip("b") or " ")[0])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what goes to a Python worker at a time; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > 2 * SLICE_BYTES:
+    if size_in_bytes(spark.conf.get(name)) > 2 * SLICE_BYTES:
         spark.conf.set(name, str(2 * SLICE_BYTES))
 
 

@@ -12,7 +12,7 @@ filters are turned into sums over byte pairs, so a position costs two table rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -213,15 +213,9 @@ def judge(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]
     return labels, scores
 
 
-_HELD: list = []
-
-
 def _tables(net: Network) -> tuple[np.ndarray, np.ndarray]:
     """The pair tables of a network; one worker keeps those of the last."""
-    key = b"".join(x.tobytes() for x in net.parts())
-    if not _HELD or _HELD[0] != key:
-        _HELD[:] = [key, net.tables()]
-    return _HELD[1]
+    return common.kept("byte pairs", hashlib.md5(b"".join(x.tobytes() for x in net.parts())).hexdigest(), net.tables)
 
 
 def identify(docs: DataFrame, net: Network, text: str = "text", columns: list[str] | None = None) -> DataFrame:

@@ -87,8 +87,7 @@ def edited_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     edit = lambda start, end, text: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("text"))
     edits = F.array(edit(n / 4, n / 4 + 10, ""), edit(n / 2, n / 2, " it's 42\n\n new"), edit(n - 5, n + 99, "  end."))
     docs = _documents(spark, folder, "doc_id", "text").withColumn("edits", edits)
-    before = token_counts.build(docs, coder).withColumn("n_tokens", token_counts.total())
-    after = token_counts.apply_edits(before, coder)
+    after = token_counts.build_and_edit(docs, coder, columns=["doc_id"])
     return after.select(
         "doc_id",
         "n_tokens",

@@ -217,9 +217,6 @@ class Units:
         return n_a, n_b, n_groups, n_links, flat_a[link_a] << 32 | flat_b[link_b], said
 
 
-_PAIRS: dict[str, Pair] = {}
-
-
 class Tokenizers:
     """Both files, read on the driver and made available to the workers once; their size is that of the files."""
 
@@ -230,10 +227,7 @@ class Tokenizers:
         self.name = hashlib.md5(a.encode() + b).hexdigest()
 
     def pair(self) -> Pair:
-        if self.name not in _PAIRS:
-            _PAIRS.clear()
-            _PAIRS[self.name] = Pair(*self.shared.value)
-        return _PAIRS[self.name]
+        return common.kept("pair", self.name, lambda: Pair(*self.shared.value))
 
 
 def _nested(values: list[np.ndarray] | list[list], kind: pa.DataType) -> pa.Array:
