@@ -25,7 +25,9 @@ from tidemark.llm import common
 
 BLOCK_CHARS = 1 << 22
 # Encoded pre-tokens that a Python worker remembers between blocks.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
+# Symbols whose pairs are looked up at a time when a replay begins.
+_AT_ONCE = 1 << 17
 _STAND_IN = {"L": "ª", "N": "²", "": "§"}
 
 
@@ -126,7 +128,7 @@ class Codec:
         self.pattern, self.single_piece = pattern, None
 
     def _merge_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
@@ -142,18 +144,19 @@ class Codec:
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``words`` behind one another, and how many each word has."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        sym = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        sym = self.single.astype(np.int32)[np.frombuffer(b"".join(words), dtype=np.uint8)]
         n = len(sym)
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         last = np.cumsum(lengths) - 1
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[last] = -1
         prv[last - lengths + 1] = -1
-        nxt, prv = nxt.astype(np.int32), prv.astype(np.int32)
         alive, merged = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
-        current = np.full(n, -1, dtype=np.int64)
-        inner = np.flatnonzero(nxt >= 0)
-        current[inner] = self._merge_rank(sym[inner], sym[nxt[inner]])
+        current = np.full(n, -1, dtype=np.int32)
+        inner = np.flatnonzero(nxt >= 0).astype(np.int32)
+        for begin in range(0, len(inner), _AT_ONCE):
+            part = inner[begin : begin + _AT_ONCE]
+            current[part] = self._merge_rank(sym[part], sym[nxt[part]])
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
         odd_words: list[np.ndarray] = []

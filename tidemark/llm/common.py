@@ -131,6 +131,8 @@ def map_texts(
                 made = make(part.column(part.num_columns - 1).to_pylist())
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[f"c{i}" for i in range(len(kept))] + names)
+            # A worker serves many stages: it gives back what Arrow holds of a batch.
+            pa.default_memory_pool().release_unused()
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     out = rows.mapInArrow(run, kinds + added)
