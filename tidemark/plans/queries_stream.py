@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as fn
 from tidemark.operators.grid import points
+from tidemark.operators.segment import dense_index
 from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
-from tidemark.session import fresh_folder, pin_utc
+from tidemark.session import fresh_folder, pin_utc, settle
 from tidemark.sources import tables
 from tidemark.streaming import jobs
+from tidemark.streaming.ordered import keyed_state, ordered_windows_stream
 from tidemark.streaming.windows import count_windows_stream, sunday_gate, window_rows
 
 # What one trigger reads at most.
@@ -128,17 +132,16 @@ def late_row_counts(spark, folder):
     return last.select("series_id", "l.seen", "l.late", "l.emitted")
 
 
-@query(
-    "K1 K5 K9 K10 K11 S7 S8 D1 M8",
-    s.POINT_SQL
-    + f""", jt AS (SELECT series_id, window_id, ws, we, is_flagged FROM wpoint)
+MESSAGE_SQL = s.POINT_SQL + f""", jt AS (SELECT series_id, window_id, ws, we, is_flagged FROM wpoint)
 SELECT j.series_id, j.window_id, {s.sql_stamp('j.ws')} AS window_start, {s.sql_stamp('j.we')} AS window_end, CASE WHEN j.is_flagged THEN 'true' ELSE 'false' END AS is_anomaly,
-  CASE WHEN j.is_flagged THEN 3 ELSE 0 END AS n_points FROM jt j""",
-)
-def streamed_messages_to_json(spark, folder):
+  CASE WHEN j.is_flagged THEN 3 ELSE 0 END AS n_points FROM jt j"""
+
+
+def messages_to_json(spark, folder, files_per_trigger: int, every: str | None = None):
     """JSON messages to decoded rows, windows, scores, JSON rows and flagged log; both outputs are read.
 
-    The messages lie in several files in an order of their own; one trigger takes them all.
+    The messages lie in six files, each with rows of the whole time, so with few files a trigger most rows come
+    long before their turn: the windows wait for it in state.
     """
     windows = s.prepared(spark, folder)
     params = flows.fit_profile_model(windows, s.DAY, s.POINT, s.BY)
@@ -146,17 +149,76 @@ def streamed_messages_to_json(spark, folder):
     body = F.to_json(F.struct("series_id", F.col("idx").alias("sequence_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "value"))
     source, out = fresh_folder(spark, "messages"), fresh_folder(spark, "scores")
     grid.select(body.alias("value")).repartition(6, "value").write.text(source)
-    raw = spark.readStream.schema("value string").option("maxBytesPerTrigger", TRIGGER_BYTES).text(source)
+    raw = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(source)
     fields = F.from_json("value", "series_id string, sequence_id long, timestamp string, value double")
     typed = raw.select(fields.alias("m")).select("m.series_id", "m.sequence_id", fn.parse_time(F.col("m.timestamp")).alias("ts"), "m.value")
-    jobs.detect_stream(count_windows_stream(typed, 48), params, s.DAY, s.POINT, s.BY, out, fresh_folder(spark, "checkpoint")).awaitTermination()
+    with keyed_state(spark):
+        job = jobs.detect_stream(ordered_windows_stream(typed, 48), params, s.DAY, s.POINT, s.BY, out, fresh_folder(spark, "checkpoint"), every)
+    jobs.run_down(job) if every else job.awaitTermination()
     shown = spark.read.schema("is_anomaly string, anomaly_score string, threshold string, window_start string, window_end string, series_id string, window_id long").json(f"{out}/formatted")
     log = spark.read.parquet(f"{out}/flagged").select("series_id", "window_id", F.size("points").alias("n"))
     both = shown.join(log, ["series_id", "window_id"], "left")
-    time = lambda c: s.stamp(fn.parse_time(F.col(c)))
+    shown_time = lambda c: s.stamp(fn.parse_time(F.col(c))).alias(c)
     return both.select(
-        "series_id", "window_id", time("window_start").alias("window_start"), time("window_end").alias("window_end"), "is_anomaly", F.coalesce("n", F.lit(0)).alias("n_points")
+        "series_id", "window_id", shown_time("window_start"), shown_time("window_end"), "is_anomaly", F.coalesce("n", F.lit(0)).alias("n_points")
+    )
+
+
+@query("K1 K5 K9 K10 K11 S7 S8 D1 M8", MESSAGE_SQL)
+def streamed_messages_to_json(spark, folder):
+    """All files in one trigger."""
+    return messages_to_json(spark, folder, 6)
+
+
+@query("K1 K2 K11 D1", MESSAGE_SQL)
+def streamed_messages_in_steps(spark, folder):
+    """Two files every second: a processing-time trigger with admission; the rows are those of one trigger."""
+    return messages_to_json(spark, folder, 2, "1 second")
+
+
+@query(
+    "K3 K6 K7",
+    """WITH raw AS (SELECT event_type AS series_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT series_id, any_value(n // 2) AS seen_at_pause, any_value((n // 2) % 336) AS waiting_at_pause, any_value((n // 2) // 336) AS windows_at_pause,
+  any_value(least(n // 2 // 336, 3)) AS kept_at_pause, any_value(n // 336) AS windows, round(sum(value) FILTER (idx < n // 336 * 336), 3) AS total
+FROM raw GROUP BY series_id HAVING any_value(n) >= 672""",
+)
+def idle_and_resumed_series(spark, folder):
+    """Half of every series, a pause until each is marked as ended, then the other half, backwards: windows go on where they stopped."""
+    source, out, checkpoint = (fresh_folder(spark, n) for n in ("source", "resumed", "checkpoint"))
+    rows = dense_index(s.events(spark, folder).select(F.col("event_type").alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value"), ["event_id"])
+    rows = settle(rows.filter("total >= 672").select("series_id", F.col("idx").alias("sequence_id"), "ts", "value", (F.col("idx") < F.floor(F.col("total") / 2)).alias("early"))).df
+    half, whole = rows.filter("early").count(), rows.count()
+    if not whole:
+        return spark.createDataFrame([], "series_id string, seen_at_pause long, waiting_at_pause int, windows_at_pause long, kept_at_pause int, windows long, total double")
+    rows.filter("early").drop("early").write.parquet(source)
+    raw = spark.readStream.schema(rows.drop("early").schema).parquet(source)
+    stream = ordered_windows_stream(raw, 336, idle_seconds=3)
+    with keyed_state(spark):
+        job = jobs.start(stream.writeStream.format("parquet").outputMode("append").option("path", out), checkpoint, "1 second")
+    done = lambda: spark.read.schema(stream.schema).parquet(out)
+
+    def wait_for_pause(seen: int) -> None:
+        """Until the ``ended`` rows of all series add up; timers keep such a query busy, so it never reports that input is used up."""
+        while job.isActive:
+            time.sleep(1)
+            ended = done().filter("kind = 'ended'").groupBy("series_id").agg(F.max("seen").alias("seen")) if job.lastProgress else None
+            if ended is not None and ended.agg(F.sum("seen")).first()[0] == seen:
+                return
+        raise job.exception() or RuntimeError("the stream ended early")
+
+    try:
+        wait_for_pause(half)
+        rows.filter("NOT early").drop("early").orderBy(F.desc("sequence_id")).write.mode("append").parquet(source)
+        wait_for_pause(whole)
+    finally:
+        job.stop()
+    paused = done().filter("kind = 'ended'").groupBy("series_id").agg(F.min_by(F.struct("seen", "buffered", "emitted", F.size("recent").alias("kept")), "seen").alias("p"))
+    full = done().filter("kind = 'window'").groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("windows"), F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)), 3).alias("total")
     )
+    named = [F.col(f"p.{old}").alias(new) for old, new in (("seen", "seen_at_pause"), ("buffered", "waiting_at_pause"), ("emitted", "windows_at_pause"), ("kept", "kept_at_pause"))]
+    return paused.join(full, "series_id").select("series_id", *named, "windows", "total")
 
 
 _ALL_BUCKETS = "SELECT event_type AS series_id, epoch_us(ts) // 1800000000 AS slot, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2"

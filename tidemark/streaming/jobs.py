@@ -30,6 +30,14 @@ def start(writer: DataStreamWriter, checkpoint: str, every: str | None = None) -
     return writer.start()
 
 
+def run_down(query: StreamingQuery) -> None:
+    """Let a query with a processing-time trigger take all input there is, then end it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append a stream to Parquet until its input is used up."""
     start(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint).awaitTermination()
