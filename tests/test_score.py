@@ -9,6 +9,7 @@ from tidemark.operators import inject as inj
 from tidemark.operators import localise as loc
 from tidemark.operators import score as sc
 from tidemark.operators.quantile import exact_percentiles
+from tidemark.operators.running import running_sums
 from tidemark.plans import flows
 from tidemark.session import attach
 
@@ -99,8 +100,39 @@ def test_exact_percentiles(spark, n, accuracy):
     got = {(r["k"], r["cut"]): r["threshold"] for r in exact_percentiles(rows, ["k"], "v", fractions, accuracy).collect()}
     want = np.percentile(x, [100 * f for f in fractions])
     assert np.allclose([got["a", i] for i in range(8)], want) and np.allclose([got["b", i] for i in range(8)], 2 * want)
-    pooled = exact_percentiles(rows.filter("k = 'a'"), [], "v", fractions, accuracy).orderBy("cut").collect()
-    assert np.allclose([r["threshold"] for r in pooled], want)
+    for most in (1 << 20, 5):
+        pooled = exact_percentiles(rows.filter("k = 'a'"), [], "v", fractions, accuracy, most).orderBy("cut").collect()
+        assert np.allclose([r["threshold"] for r in pooled], want)
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_running_sums_of_a_hot_group(spark, bounded):
+    """Nine rows of ten in one group, which lies on several range partitions."""
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 10 else "cold", float(v), int(i), int(i % 4)) for i, v in enumerate(rng.integers(0, 200, 4000))]
+    df = spark.createDataFrame(rows, "k string, v double, i long, n long").repartition(6)
+    got = running_sums(df, ["k"], ["v", "i"], ["n"], bounded).collect()
+    total, want = {}, {}
+    for k, v, i, n in sorted(rows):
+        total[k] = total.get(k, 0) + n
+        want[i] = total[k]
+    assert {r["i"]: r["upto_n"] for r in got} == want
+    assert running_sums(df.limit(0), [], ["v"], ["n"], bounded).collect() == []
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_score_curve_with_ties_and_nulls(spark, bounded):
+    rng = np.random.default_rng(6)
+    scores, truth = rng.integers(0, 9, 500).astype(float), rng.random(500) < 0.3
+    rows = [(float(x), bool(t)) for x, t in zip(scores, truth)] + [(None, True), (float("nan"), False)]
+    pool = spark.createDataFrame(rows, "score double, is_anomaly boolean")
+    points = spark.createDataFrame([(0, -1.0), (1, 0.0), (2, 3.0), (3, 3.5), (4, 8.0), (5, 99.0), (6, 3.0)], "cut int, threshold double")
+    got = {r["cut"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in cal.score_curve(pool, points, [], bounded).collect()}
+    for r in points.collect():
+        p = scores > r["threshold"]
+        # A missing score is never above, one that is not a number always.
+        want = ((p & truth).sum(), (p & ~truth).sum() + 1, (~p & truth).sum() + 1, (~p & ~truth).sum())
+        assert got[r["cut"]] == tuple(int(x) for x in want)
 
 
 def literal_localisation(e, spec, length):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluate import f_score, separability
 from tidemark.functions.predicates import ratio
 from tidemark.operators.quantile import exact_percentiles
+from tidemark.operators.running import running_sums
 from tidemark.session import attach
 
 # Percent ranks 1, 1.5, ... 99.5 of the pooled scores.
@@ -18,29 +19,33 @@ def labelled_union(normal: DataFrame, anomalous: DataFrame) -> DataFrame:
     return normal.withColumn("is_anomaly", F.lit(False)).unionByName(anomalous.withColumn("is_anomaly", F.lit(True)))
 
 
-def candidate_counts(scores: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
-    """tp, fp, fn, tn at every candidate threshold, without scores x candidates rows.
+def score_curve(scores: DataFrame, points: DataFrame, by: list[str], bounded: bool = True) -> DataFrame:
+    """``points`` (by, cut, threshold) with tp, fp, fn, tn of a pool of ``score, is_anomaly``; a flag is a score above the threshold.
 
-    A score is above a prefix of the sorted candidates, so it adds to one cell;
-    cells (one more than there are candidates) are summed from the top.
+    Equal scores collapse first. Scores and thresholds are then merged in one order, and what has passed by at a threshold
+    is what lies at or below it: one running sum, linear in scores and thresholds. Pools that are not ``bounded``
+    spread over range partitions.
     """
-    listed = candidates.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cut", "threshold"))).alias("_cands"))
-    met = attach(scores, listed, by)
-    cell = F.size(F.filter("_cands", lambda c: c["threshold"] < F.col("score")))
-    cells = met.groupBy(*by, cell.alias("_cell")).agg(
+    each = scores.groupBy(*by, F.col("score").cast("double").alias("value")).agg(
         F.count_if("is_anomaly").alias("pos"), F.count_if(~F.col("is_anomaly")).alias("neg")
     )
-    totals = cells.groupBy(*by).agg(
-        F.collect_list(F.struct("_cell", "pos", "neg")).alias("_cells"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
+    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
+    asked = points.select(*by, F.col("threshold").cast("double").alias("value"), F.col("cut").cast("int").alias("cut"), zero.alias("pos"), zero.alias("neg"))
+    # At the same value scores come first: a score equal to the threshold is not above it.
+    merged = each.select(*by, "value", F.lit(-1).alias("_turn"), none.alias("cut"), "pos", "neg").unionByName(
+        asked.select(*by, "value", F.col("cut").alias("_turn"), "cut", "pos", "neg")
     )
-    both = candidates.join(totals, by) if by else attach(candidates, totals, [])
-    hits = F.filter("_cells", lambda x: x["_cell"] > F.col("cut"))
-    zero = F.lit(0).cast("long")
-    out = both.withColumn("tp", F.aggregate(hits, zero, lambda a, x: a + x["pos"])).withColumn(
-        "fp", F.aggregate(hits, zero, lambda a, x: a + x["neg"])
-    )
-    return out.select(
-        *by, "cut", "threshold", "tp", "fp", (F.col("_pos") - F.col("tp")).alias("fn"), (F.col("_neg") - F.col("fp")).alias("tn")
+    passed = running_sums(merged, by, ["value", "_turn"], ["pos", "neg"], bounded).filter(F.col("cut").isNotNull())
+    totals = each.groupBy(*by).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    both = passed.join(totals, by) if by else attach(passed, totals, [])
+    return both.select(
+        *by,
+        "cut",
+        F.col("value").alias("threshold"),
+        (F.col("_pos") - F.col("upto_pos")).alias("tp"),
+        (F.col("_neg") - F.col("upto_neg")).alias("fp"),
+        F.col("upto_pos").alias("fn"),
+        F.col("upto_neg").alias("tn"),
     )
 
 
@@ -85,7 +90,7 @@ def calibrate(scores: DataFrame, by: list[str], method: str, beta: float = 1.0,
         )
     if method not in ("f1_max", "youden"):
         raise ValueError(f"unknown calibration method: {method}")
-    counts = candidate_counts(scores, score_candidates(scores, by, bounded), by)
+    counts = score_curve(scores, score_candidates(scores, by, bounded), by, bounded)
     recall = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     if method == "f1_max":
         objective, floor = f_score(ratio(F.col("tp"), F.col("tp") + F.col("fp")), recall, beta), 0.0
@@ -109,9 +114,9 @@ def calibrate(scores: DataFrame, by: list[str], method: str, beta: float = 1.0,
     )
 
 
-def best_accuracy(scores: DataFrame, by: list[str], n: int = 500) -> DataFrame:
+def best_accuracy(scores: DataFrame, by: list[str], n: int = 500, bounded: bool = True) -> DataFrame:
     """Threshold (out of ``n`` even ones) with the most correct flags, earliest wins; 0 if none is correct."""
-    counts = candidate_counts(scores, even_candidates(scores, by, n), by).withColumn("correct", F.col("tp") + F.col("tn"))
+    counts = score_curve(scores, even_candidates(scores, by, n), by, bounded).withColumn("correct", F.col("tp") + F.col("tn"))
     best = counts.groupBy(*by).agg(
         F.max_by(F.struct("correct", "threshold", "tp", "fp", "fn", "tn"), F.struct("correct", -F.col("cut"))).alias("_b")
     )

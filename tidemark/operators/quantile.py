@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidemark.operators.running import running_sums
 from tidemark.session import attach, settle
 
 SKETCH_ACCURACY = 100_000
+# Distinct values inside all brackets that one task may rank; more are ranked over range partitions.
+INSIDE = 1 << 20
 
 
 def exact_percentiles(
-    rows: DataFrame, by: list[str], value: str, fractions: list[float], accuracy: int = SKETCH_ACCURACY
+    rows: DataFrame, by: list[str], value: str, fractions: list[float], accuracy: int = SKETCH_ACCURACY, most: int = INSIDE
 ) -> DataFrame:
     """``by, cut, fraction, threshold`` with linear interpolation, for any pool size.
 
     Two passes. A mergeable sketch brackets every wanted rank; then rows outside
-    the brackets are only counted and the few distinct values inside are ranked.
+    the brackets are only counted and the distinct values inside are ranked, over range
+    partitions where they are many.
     Both passes reduce map-side, so neither a large pool nor one value that makes
-    up a third of it is shuffled or lands in a single task.
+    up a third of it is shuffled or lands in a single task. ``most`` distinct values are ranked in one task.
     """
     slack = 2.0 / accuracy
     wanted = sorted(set(fractions))
@@ -45,7 +48,8 @@ def exact_percentiles(
         placed.groupBy(*by, "_over", "_past", inner.alias("_v")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.first("_n").alias("n")
         )
-    ).df
+    )
+    few, small = small.rows <= most, small.df
     cells = small.groupBy(*by, "_over", "_past").agg(
         F.sum("_c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"), F.first("n").alias("n")
     )
@@ -66,8 +70,8 @@ def exact_percentiles(
     inside = small.filter(F.col("_v").isNotNull()).select(
         *by, "_v", "_c", F.explode(F.sequence(F.col("_past"), F.col("_over") - 1)).alias("cut")
     )
-    upward = Window.partitionBy(*by, "cut").orderBy("_v")
-    inside = inside.withColumn("_upto", F.sum("_c").over(upward)).join(cuts, [*by, "cut"])
+    ranked = running_sums(inside, [*by, "cut"], ["_v"], ["_c"], bounded=few).withColumnRenamed("upto__c", "_upto")
+    inside = ranked.join(cuts, [*by, "cut"])
 
     def at(rank):
         return F.min(F.when(F.col("below") + F.col("_upto") > rank, F.col("_v")))

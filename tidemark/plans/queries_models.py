@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.config import ModelSpec, ScorerSpec
-from tidemark.operators import evaluate as ev, labels as lab, lstm, score as sc, sweep
+from tidemark.operators import calibrate as cal, evaluate as ev, labels as lab, lstm, score as sc, sweep
 from tidemark.operators.grid import regular_windows
 from tidemark.operators.quantile import exact_percentiles
 from tidemark.plans import flows, shared as s
@@ -321,16 +321,26 @@ def focused_trial_thresholds(spark, folder):
 @query(
     "M13",
     """WITH n AS (SELECT unnest(range(0, 50)) AS id),
-u AS (SELECT id, name, ('0x' || substr(md5('42:' || id || ':' || name), 1, 8))::BIGINT / 4294967296.0 AS u FROM n CROSS JOIN (VALUES ('hidden'), ('layers'), ('dropout'), ('percentile')) a(name))
-SELECT id::INTEGER AS trial_id, floor(%s + max(u) FILTER (name = 'hidden') * (%s + 1 - %s))::INTEGER AS hidden,
+u AS (SELECT id, name, ('0x' || substr(md5('42:' || id || ':' || name), 1, 8))::BIGINT / 4294967296.0 AS u FROM n CROSS JOIN (VALUES ('hidden'), ('layers'), ('dropout'), ('percentile')) a(name)),
+t AS (SELECT id::INTEGER AS trial_id, floor(%s + max(u) FILTER (name = 'hidden') * (%s + 1 - %s))::INTEGER AS hidden,
   floor(%s + max(u) FILTER (name = 'layers') * (%s + 1 - %s))::INTEGER AS layers,
   round(%s + max(u) FILTER (name = 'dropout') * (%s - %s), 2)::DOUBLE AS dropout,
-  round(%s + max(u) FILTER (name = 'percentile') * (%s - %s), 1)::DOUBLE AS percentile, (SELECT count(*) FROM events) AS n_events
-FROM u GROUP BY id"""
-    % tuple(v for lo, hi in (fv.RANDOM_HIDDEN, fv.RANDOM_LAYERS, fv.RANDOM_DROPOUT, fv.RANDOM_PERCENTILE) for v in (lo, hi, lo)),
+  round(%s + max(u) FILTER (name = 'percentile') * (%s - %s), 1)::DOUBLE AS percentile
+  FROM u GROUP BY id),
+per AS (SELECT event_type AS series_id, list_sort(list(value::DOUBLE)) AS s FROM events GROUP BY 1),
+limits AS (SELECT t.*, series_id, s, """
+    % tuple(v for lo, hi in (fv.RANDOM_HIDDEN, fv.RANDOM_LAYERS, fv.RANDOM_DROPOUT, fv.RANDOM_PERCENTILE) for v in (lo, hi, lo))
+    + s.sql_percentile("percentile / 100.0")
+    + """ AS threshold FROM t CROSS JOIN per)
+SELECT trial_id, hidden, layers, dropout, percentile, series_id, round(threshold, 6) AS threshold, len(list_filter(s, lambda x: x > threshold)) AS n_above FROM limits""",
 )
 def random_trial_table(spark, folder):
-    """The seeded random trials, next to the number of rows they would be run over."""
-    rows = s.events(spark, folder).agg(F.count(F.lit(1)).alias("n_events"))
-    out = attach(sweep.random_trials(spark), rows, [])
-    return out.select("trial_id", "hidden", "layers", "dropout", "percentile", "n_events")
+    """The seeded random trials, each with the threshold it asks for in every series and the events above it."""
+    trials = settle(sweep.random_trials(spark)).df
+    values = s.events(spark, folder).select(F.col("event_type").alias("series_id"), F.col("value").cast("double").alias("score"))
+    wanted = sorted({r["percentile"] for r in trials.select("percentile").distinct().collect()})
+    levels = exact_percentiles(values, s.BY, "score", [p / 100.0 for p in wanted]).select("series_id", "cut", "threshold")
+    curve = cal.score_curve(values.withColumn("is_anomaly", F.lit(True)), levels, s.BY, bounded=False)
+    numbers = F.array_position(F.array(*[F.lit(p) for p in wanted]), F.col("percentile")).cast("int") - 1
+    out = trials.drop("threshold").withColumn("cut", numbers).join(curve.select("series_id", "cut", "threshold", F.col("tp").alias("n_above")), "cut")
+    return out.select("trial_id", "hidden", "layers", "dropout", "percentile", "series_id", F.round("threshold", 6).alias("threshold"), "n_above")

@@ -492,6 +492,40 @@ def calibration_pool(spark, folder):
     return windows, params
 
 
+@query(
+    "J7 A19 U1",
+    """WITH pool AS (SELECT l_extendedprice::DOUBLE AS score, l_returnflag = 'R' AS is_anomaly FROM lineitem),
+span AS (SELECT list_sort(list(score)) AS s, min(score) AS lo, max(score) AS hi FROM pool),
+cands AS (
+  SELECT 'percentile' AS kind, c::INTEGER AS cut, """
+    + s.sql_percentile("(1 + 0.5::DOUBLE * c) / 100")
+    + """ AS t FROM span CROSS JOIN (SELECT unnest(range(0, 198)) AS c)
+  UNION ALL SELECT 'even', c::INTEGER, CASE WHEN c = 499 THEN hi ELSE c * ((hi - lo) / 499) + lo END FROM span CROSS JOIN (SELECT unnest(range(0, 500)) AS c)
+)
+SELECT kind, cut, round(t, 6) AS threshold, count(*) FILTER (score > t AND is_anomaly) AS tp, count(*) FILTER (score > t AND NOT is_anomaly) AS fp,
+  count(*) FILTER (NOT score > t AND is_anomaly) AS fn, count(*) FILTER (NOT score > t AND NOT is_anomaly) AS tn
+FROM cands CROSS JOIN pool GROUP BY kind, cut, t""",
+)
+def pooled_score_curve(spark, folder):
+    """Both candidate lists on one pool of all rows, spread over range partitions."""
+    pool = s.read_table(spark, folder, "lineitem").select(F.col("l_extendedprice").cast("double").alias("score"), (F.col("l_returnflag") == "R").alias("is_anomaly"))
+    lists = {"percentile": cal.score_candidates(pool, [], bounded=False), "even": cal.even_candidates(pool, [])}
+    curves = [cal.score_curve(pool, listed, [], bounded=False).select(F.lit(kind).alias("kind"), "*") for kind, listed in lists.items()]
+    return curves[0].unionByName(curves[1]).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(
+    "A7 A19",
+    """SELECT unnest([0, 1, 2, 3])::INTEGER AS cut, unnest([0.05, 0.5, 0.95, 0.999])::DOUBLE AS fraction,
+  round(unnest(quantile_cont(l_extendedprice::DOUBLE * (1 + l_discount::DOUBLE), [0.05, 0.5, 0.95, 0.999])), 4) AS threshold FROM lineitem""",
+)
+def percentiles_in_wide_brackets(spark, folder):
+    """A sketch so coarse that its brackets hold thousands of distinct values: they are ranked over range partitions."""
+    rows = s.read_table(spark, folder, "lineitem").select((F.col("l_extendedprice").cast("double") * (1 + F.col("l_discount").cast("double"))).alias("v"))
+    out = exact_percentiles(rows, [], "v", [0.05, 0.5, 0.95, 0.999], accuracy=40, most=1000)
+    return out.select(F.col("cut").cast("int").alias("cut"), "fraction", F.round("threshold", 4).alias("threshold"))
+
+
 @query("J7 U1", CAL_SQL + " SELECT series_id, cut, round(t, 4) AS threshold, tp, fp, fn, tn FROM counts")
 def candidate_thresholds(spark, folder):
     windows, params = calibration_pool(spark, folder)
@@ -502,7 +536,7 @@ def candidate_thresholds(spark, folder):
         return sc.point_scores(sc.with_errors(rows)).select("series_id", F.col("window_score").alias("score"))
 
     pool = settle(cal.labelled_union(best(normal), best(inj.inject(normal, MILD, 48, values="z")))).df
-    out = cal.candidate_counts(pool, cal.score_candidates(pool, s.BY), s.BY)
+    out = cal.score_curve(pool, cal.score_candidates(pool, s.BY), s.BY)
     return out.withColumn("threshold", F.round("threshold", 4))
 
 
