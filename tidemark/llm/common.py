@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -104,8 +105,16 @@ def size_in_bytes(text: str) -> int:
 def small_batches(spark: SparkSession) -> None:
     """Bound what goes to a Python worker at a time; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if size_in_bytes(spark.conf.get(name)) > 2 * SLICE_BYTES:
-        spark.conf.set(name, str(2 * SLICE_BYTES))
+    if size_in_bytes(spark.conf.get(name)) > SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library hold of finished batches: a worker serves many stages, and its free memory is no one else's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_texts(
@@ -131,8 +140,7 @@ def map_texts(
                 made = make(part.column(part.num_columns - 1).to_pylist())
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[f"c{i}" for i in range(len(kept))] + names)
-            # A worker serves many stages: it gives back what Arrow holds of a batch.
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     out = rows.mapInArrow(run, kinds + added)
