@@ -105,6 +105,23 @@ def test_exact_percentiles(spark, n, accuracy):
         assert np.allclose([r["threshold"] for r in pooled], want)
 
 
+def test_keyed_fit_equals_the_grouped_one(spark, monkeypatch):
+    """A key other than the series, weekly windows, one hot key; fewer keys held than there are."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(sc, "KEYS_HELD", 1)
+    for length, n in ((336, 24), (5, 400)):
+        x = rng.normal(size=(n, length)) * np.linspace(1, 3, length)
+        df = errors(spark, x).withColumn("part", F.when(F.col("window_id") % 3 == 0, "a").when(F.col("window_id") == 1, None).otherwise("b")).filter("part is not null").repartition(5)
+        one = {r["part"]: r for r in sc.window_fit(df, ["part"], 1e-3).collect()}
+        two = {r["part"]: r for r in sc.keyed_window_fit(df, ["part"], length, 1e-3).collect()}
+        assert set(one) == set(two) == {"a", "b"}
+        for k in one:
+            a, b = (np.array(r[k]["basis"]) for r in (one, two))
+            assert one[k]["n_fit"] == two[k]["n_fit"] and np.allclose(one[k]["mu"], two[k]["mu"])
+            assert np.allclose(a.T @ a, b.T @ b, atol=1e-7)
+    assert sc.keyed_window_fit(df.limit(1), ["part"], 5, 1e-3).collect() == []
+
+
 @pytest.mark.parametrize("bounded", [True, False])
 def test_running_sums_of_a_hot_group(spark, bounded):
     """Nine rows of ten in one group, which lies on several range partitions."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ScorerSpec
 from tidemark.functions.predicates import dot
 from tidemark.operators.quantile import exact_percentiles
-from tidemark.session import attach
+from tidemark.session import attach, settle
 
 
 def scaler_fit(windows: DataFrame, by: list[str], values: str = "values") -> DataFrame:
@@ -194,6 +194,70 @@ def pooled_window_fit(errors: DataFrame, length: int, ridge: float) -> DataFrame
     return whole.select("mu", "n_fit", "gram").mapInPandas(factor, "mu array<double>, basis array<array<double>>, n_fit long")
 
 
+# Keys whose Gram sums a task holds, and groups in which the partial sums of a key are added up before the last step.
+KEYS_HELD = 64
+PARTIALS = 64
+
+
+def keyed_gram(errors: DataFrame, by: list[str], length: int) -> DataFrame:
+    """``by, mu, gram, n_fit``: mean, packed upper triangle of the centred Gram matrix, and number of windows per key.
+
+    For keys of any size: every task reduces its windows to one partial triangle per key (at most ``KEYS_HELD`` are held), the
+    partials of a key are added in ``PARTIALS`` groups and then together, so no group holds windows.
+    """
+    kinds = "".join(f"`{c}` {errors.schema[c].dataType.simpleString()}, " for c in by)
+    each = errors.select(*by, F.posexplode("err").alias("pos", "_e")).groupBy(*by, "pos").agg(F.avg("_e").alias("m"), F.count("_e").alias("n"))
+    means = settle(
+        each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("mu"), F.max("n").alias("n_fit"))
+    )
+    rows, cols = np.triu_indices(length)
+
+    def partial(batches):
+        held: dict = {}
+
+        def rows_of(sums):
+            frame = pd.DataFrame(list(sums), columns=by)
+            return frame.assign(gram=[g[rows, cols] for g in sums.values()])
+
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False, sort=False):
+                x = np.stack(part["err"].to_numpy()) - np.asarray(part["mu"].iloc[0])
+                held[key] = held.get(key, 0.0) + x.T @ x
+                if len(held) > KEYS_HELD:
+                    yield rows_of(held)
+                    held = {}
+        if held:
+            yield rows_of(held)
+
+    def added(pdf):
+        return pdf.iloc[:1][by].assign(gram=[np.sum(np.stack(pdf["gram"].to_numpy()), axis=0)])
+
+    parts = attach(errors.select(*by, "err"), means, by).select(*by, "err", "mu").mapInPandas(partial, kinds + "gram array<double>")
+    dealt = parts.withColumn("_salt", F.spark_partition_id() % PARTIALS)
+    once = dealt.groupBy(*by, "_salt").applyInPandas(lambda pdf: added(pdf), kinds + "gram array<double>")
+    whole = once.groupBy(*by).applyInPandas(lambda pdf: added(pdf), kinds + "gram array<double>")
+    return attach(whole, means, by).select(*by, "mu", "gram", "n_fit")
+
+
+def keyed_window_fit(errors: DataFrame, by: list[str], length: int, ridge: float) -> DataFrame:
+    """The parameters of ``window_fit`` for any key list, from Gram sums; a key with a single window has none."""
+    kinds = "".join(f"`{c}` {errors.schema[c].dataType.simpleString()}, " for c in by)
+    rows, cols = np.triu_indices(length)
+
+    def factor(batches):
+        for pdf in batches:
+            basis = []
+            for packed, n in zip(pdf["gram"], pdf["n_fit"]):
+                g = np.zeros((length, length))
+                g[rows, cols] = g[cols, rows] = packed
+                lam, v = np.linalg.eigh(g)
+                keep = lam > lam.max() * 1e-14
+                basis.append((v[:, keep] * np.sqrt(lam[keep] / ((n - 1) * ridge + lam[keep]))).T.tolist())
+            yield pdf[[*by, "mu"]].assign(basis=basis, n_fit=pdf["n_fit"])
+
+    return keyed_gram(errors, by, length).filter("n_fit > 1").mapInPandas(factor, kinds + "mu array<double>, basis array<array<double>>, n_fit long")
+
+
 # The explicit covariance has L (L + 1) / 2 aggregates: 528 at this length.
 LONGEST_EXPLICIT = 32
 

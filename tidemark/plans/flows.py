@@ -53,7 +53,12 @@ def fit_scorer(errors: DataFrame, base: Sized, scorer: ScorerSpec, by: list[str]
     bounded = "series_id" in by
     fit_rows = errors.filter(F.col("split") == "val")
     held_out = errors.filter(F.col("split") == "threshold")
-    fitted = sc.window_fit(fit_rows, by, scorer.ridge) if by else sc.pooled_window_fit(fit_rows, length, scorer.ridge)
+    if bounded:
+        fitted = sc.window_fit(fit_rows, by, scorer.ridge)
+    elif by:
+        fitted = sc.keyed_window_fit(fit_rows, by, length, scorer.ridge)
+    else:
+        fitted = sc.pooled_window_fit(fit_rows, length, scorer.ridge)
     fitted = settle(fitted)
     scored = sc.window_scores(attach(held_out, fitted, by), scorer.ridge)
     parts = [fitted.df, sc.threshold_fit(scored, by, "window_score", scorer, bounded)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import GridSpec, InjectSpec, LocaliseSpec, ScorerSpec, SplitSpec
 from tidemark.operators import baseline, calibrate as cal, evaluate as ev, inject as inj, localise as loc, score as sc
-from tidemark.operators.grid import bucket, points
+from tidemark.operators.grid import bucket, points, regular_windows
 from tidemark.operators.quantile import exact_percentiles
 from tidemark.plans import flows, shared as s
 from tidemark.plans.catalog import query
@@ -85,6 +85,23 @@ def position_covariance(spark, folder):
     return out.withColumn("cov", F.round("cov", 6))
 
 
+@query(
+    "A4 M7",
+    s.VALUES_SQL
+    + """, keyed AS (SELECT *, CASE WHEN window_id % 4 = 0 THEN 'quarter' ELSE 'rest' END AS part FROM points)
+SELECT a.part, a.pos::INTEGER AS i, b.pos::INTEGER AS j, count(*) AS n_fit, round(covar_samp(a.value, b.value), 3) AS cov
+FROM keyed a JOIN keyed b ON a.series_id = b.series_id AND a.window_id = b.window_id AND a.pos <= b.pos GROUP BY ALL""",
+)
+def keyed_covariance(spark, folder):
+    """Covariance of all positions under a key other than the series, one key with three quarters of all windows."""
+    windows = regular_windows(s.value_buckets(spark, folder), s.DAY)
+    part = F.when(F.col("window_id") % 4 == 0, "quarter").otherwise("rest")
+    found = sc.keyed_gram(windows.select(part.alias("part"), F.col("values").alias("err")), ["part"], s.DAY.length)
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(s.DAY.length) for j in range(i, s.DAY.length)])
+    cells = found.select("part", "n_fit", F.explode(F.arrays_zip(places.alias("at"), F.col("gram").alias("g"))).alias("c"))
+    return cells.select("part", "c.at.i", "c.at.j", "n_fit", F.round(F.col("c.g") / (F.col("n_fit") - 1), 3).alias("cov"))
+
+
 @query("A5", s.POINT_SQL + " SELECT series_id, round(mu, 8) AS mu_point, round(v, 8) AS var_point FROM pfit")
 def pooled_point_params(spark, folder):
     out = sc.point_fit(fitted_errors(spark, folder).filter(F.col("split") == "val"), s.BY, 1e-6)
