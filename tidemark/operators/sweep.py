@@ -10,7 +10,7 @@ from tidemark import fixed_values as fv
 from tidemark.config import GridSpec, ModelSpec, ScorerSpec, TrainSpec
 from tidemark.functions.predicates import uniform
 from tidemark.operators import evaluate as ev
-from tidemark.operators import lstm
+from tidemark.operators import lstm, prefix_sweep
 from tidemark.operators import score as sc
 from tidemark.session import Sized, attach, settle
 
@@ -121,6 +121,14 @@ def array_percentile(ordered: Column, fraction: Column) -> Column:
     return low + (high - low) * (rank - F.floor(rank))
 
 
+NAMES = ["series_id", "window_id", "values", "is_anomaly", "is_edge_case"]
+
+
+def _most_used(trials: DataFrame) -> int:
+    """As many development windows as the largest trial asks for."""
+    return trials.agg(F.max(F.col("train") + F.col("val") + F.col("threshold"))).first()[0] or 0
+
+
 def run_sweep(
     windows: DataFrame, trials: DataFrame, grid: GridSpec, scorer: ScorerSpec, reconstructor: str = "profile",
     train: TrainSpec = TrainSpec(), beta: float = 0.1,
@@ -129,30 +137,23 @@ def run_sweep(
 
     ``windows`` are labelled (``is_anomaly``, ``is_edge_case``). A (series, trial)
     with an empty split has no model and drops out; ranking is left to
-    ``evaluate.leaderboard`` and ``evaluate.best_trial``.
+    ``evaluate.leaderboard`` and ``evaluate.best_trial``. With the profile every
+    window is scored once for all trials (``prefix_sweep``); the LSTM is another model per trial.
     """
+    if reconstructor == "profile":
+        return _profile_sweep(windows, trials, scorer, beta)
     by = ["series_id", "trial_id"]
-    names = ["series_id", "window_id", "values", "is_anomaly", "is_edge_case"]
-    # As many development windows as the largest trial asks for.
-    max_used = trials.agg(F.max(F.col("train") + F.col("val") + F.col("threshold"))).first()[0] or 0
-    ranked = rank_normals(settle(windows.select(*names)).df, max_used)
+    ranked = rank_normals(settle(windows.select(*NAMES)).df, _most_used(trials))
     # Development windows: what the trial asks for, per series and trial.
     dev = settle(fan_out(ranked.filter(F.col("rank") > 0), trials).filter(F.col("split") != "test")).df
     rest = fan_out(ranked, trials).filter(F.col("split") == "test")
-    if reconstructor == "profile":
-        base = settle(sc.profile_fit(dev, by, grid.length))
-        models, info = None, None
-    else:
-        base = settle(sc.scaler_fit(dev, by))
-        scaled = attach(dev, base, by).withColumn("z", sc.scaled("values"))
-        models = settle(lstm.fit_grouped(scaled, by, train, ModelSpec(length=grid.length)))
-        info = models.df.select(*by, "train_loss", "val_loss", "best_epoch", "total_params")
+    base = settle(sc.scaler_fit(dev, by))
+    scaled = attach(dev, base, by).withColumn("z", sc.scaled("values"))
+    models = settle(lstm.fit_grouped(scaled, by, train, ModelSpec(length=grid.length)))
+    info = models.df.select(*by, "train_loss", "val_loss", "best_epoch", "total_params")
 
     def errors_of(rows):
-        rows = attach(rows, base, by)
-        if models is None:
-            return sc.profile_errors(rows)
-        slim = rows.withColumn("z", sc.scaled("values")).select(*by, "window_id", "split", "is_anomaly", "is_edge_case", "percentile", "z")
+        slim = attach(rows, base, by).withColumn("z", sc.scaled("values")).select(*by, "window_id", "split", "is_anomaly", "is_edge_case", "percentile", "z")
         return sc.with_errors(lstm.reconstruct(slim, models, by))
 
     errors = settle(errors_of(dev).filter(F.col("split") != "train").select(*by, "window_id", "split", "percentile", "err")).df
@@ -179,13 +180,20 @@ def run_sweep(
         flagged = F.col("window_score") > F.col("limit")
     results = ev.metrics(ev.confusion(test.withColumn("is_flagged", flagged).filter(~F.col("is_edge_case")), ["trial_id"]), beta)
     summary = limits.df.groupBy("trial_id").agg(F.avg("limit").alias("mean_threshold"), F.count(F.lit(1)).alias("n_models"))
-    results = results.join(summary, "trial_id")
-    if info is not None:
-        losses = info.groupBy("trial_id").agg(
-            F.avg("train_loss").alias("train_loss"), F.avg("val_loss").alias("val_loss"), F.max("best_epoch").alias("best_epoch"), F.max("total_params").alias("total_params")
-        )
-        results = results.join(losses, "trial_id")
-    return trials.join(results, "trial_id")
+    losses = info.groupBy("trial_id").agg(
+        F.avg("train_loss").alias("train_loss"), F.avg("val_loss").alias("val_loss"), F.max("best_epoch").alias("best_epoch"), F.max("total_params").alias("total_params")
+    )
+    return trials.join(results.join(summary, "trial_id").join(losses, "trial_id"), "trial_id")
+
+
+def _profile_sweep(windows: DataFrame, trials: DataFrame, scorer: ScorerSpec, beta: float) -> DataFrame:
+    listed = prefix_sweep.trial_list(trials)
+    ranked = settle(rank_normals(settle(windows.select(*NAMES)).df, _most_used(trials))).df
+    fits = settle(prefix_sweep.prefix_fits(ranked, listed, scorer))
+    flags = prefix_sweep.trial_flags(prefix_sweep.score_trials(ranked, fits, listed, scorer), listed)
+    results = ev.metrics(ev.confusion(flags.filter(~F.col("is_edge_case")), ["trial_id"]), beta)
+    summary = prefix_sweep.trial_limits(fits.df).groupBy("trial_id").agg(F.avg("limit").alias("mean_threshold"), F.count(F.lit(1)).alias("n_models"))
+    return trials.join(results.join(summary, "trial_id"), "trial_id")
 
 
 def sweep_summary(results: DataFrame, trials: DataFrame, metric: str, beta: float = 0.1) -> DataFrame:
