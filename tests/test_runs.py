@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import dense
@@ -6,6 +7,7 @@ from tidemark.config import GridSpec, InjectSpec, ModelSpec, ScorerSpec, SplitSp
 from tidemark.operators import sweep
 from tidemark.plans import detectors, flows, runs
 from tidemark.session import settle
+from tidemark.sources import versions
 
 
 def labelled(spark, n=16, length=12):
@@ -34,8 +36,8 @@ def test_injected_threshold(spark, tmp_path):
     out = runs.train_and_save(windows, str(tmp_path), "m", grid, SplitSpec(6, 3, 2), scorer, model, train, ["series_id"], inject).collect()
     plain = runs.train_and_save(windows, str(tmp_path), "p", grid, SplitSpec(6, 3, 2), scorer, model, train, ["series_id"]).collect()
     assert len(out) == len(plain) == 2
-    a = {r["series_id"]: r["threshold"] for r in spark.read.parquet(str(tmp_path / "scorer" / "model_id=m")).collect()}
-    b = {r["series_id"]: r["threshold"] for r in spark.read.parquet(str(tmp_path / "scorer" / "model_id=p")).collect()}
+    a = {r["series_id"]: r["threshold"] for r in versions.load(spark, str(tmp_path), "m")["scorer"].collect()}
+    b = {r["series_id"]: r["threshold"] for r in versions.load(spark, str(tmp_path), "p")["scorer"].collect()}
     assert all(a[k] > b[k] for k in a)
 
 
@@ -66,3 +68,41 @@ def test_detector_contract(spark):
     assert len(stats) == 2 and all(r["rank"] == 2 and r["condition_number"] > 1 for r in stats)
     flagged = found.detect(split.filter("window_id = 12")).select("is_flagged").collect()
     assert [r[0] for r in flagged] == [True, True]
+
+
+def test_versions_are_whole_and_stay(spark, tmp_path):
+    folder, one = str(tmp_path), spark.range(3)
+    with pytest.raises(ValueError, match="no version"):
+        versions.load(spark, folder, "m")
+    assert versions.publish(spark, folder, "m", {"model": one, "history": spark.range(0)}) == 1
+    assert versions.publish(spark, folder, "m", {"model": spark.range(5)}) == 2
+    assert versions.load(spark, folder, "m", 1)["model"].count() == 3 and versions.load(spark, folder, "m")["model"].count() == 5
+    assert versions.load(spark, folder, "m", 1)["history"].count() == 0
+    # A number is published once, and a save that fails on its way publishes nothing.
+    with pytest.raises(Exception, match="(?i)exist"):
+        versions.publish(spark, folder, "m", {"model": spark.range(9)}, version=2)
+    broken = spark.range(4).selectExpr("assert_true(id < 3) AS bad", "id")
+    with pytest.raises(Exception, match="not true"):
+        versions.publish(spark, folder, "m", {"model": spark.range(9), "scorer": broken})
+    assert versions.newest(spark, folder, "m") == 2 and versions.load(spark, folder, "m", 2)["model"].count() == 5
+    with pytest.raises(ValueError, match="not published"):
+        versions.load(spark, folder, "m", 7)
+    listed = {(r["version"], r["kind"]): r["rows"] for r in versions.manifest(spark, folder, "m").collect()}
+    assert listed == {(1, "model"): 3, (1, "history"): 0, (2, "model"): 5}
+
+
+def test_profile_run_keeps_five_kinds_and_older_versions(spark, tmp_path):
+    windows, grid = labelled(spark), GridSpec(length=12)
+    folder, by = str(tmp_path), ["series_id"]
+    strict, loose = ScorerSpec(mode="window", percentile=99.99), ScorerSpec(mode="window", percentile=1.0)
+    first = settle(runs.train_profile_and_save(windows, folder, "p", grid, SplitSpec(6, 3, 2), strict, by)).df
+    runs.train_profile_and_save(windows, folder, "p", grid, SplitSpec(6, 3, 2), loose, by)
+    assert set(versions.load(spark, folder, "p")) == {"model", "scorer", "history", "splits", "config"}
+    key = lambda df: sorted(df.select("series_id", "window_id", "split", "is_flagged").collect())
+    again = settle(runs.load_and_score(windows, folder, "p", by, version=1)).df
+    newer = settle(runs.load_and_score(windows, folder, "p", by)).df
+    assert key(again) == key(first) and newer.filter("is_flagged").count() > again.filter("is_flagged").count()
+    history = versions.load(spark, folder, "p", 1)["history"].collect()
+    assert len(history) == 2 and all(0 < r["train_loss"] < 1 and 0 < r["val_loss"] < 2 for r in history)
+    whole = runs.load_and_evaluate(windows, folder, "p", by, 1).collect()
+    assert len(whole) == 2 and all(r["recall"] == 1.0 for r in whole)

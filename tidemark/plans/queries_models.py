@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
-from tidemark.config import ModelSpec, ScorerSpec
-from tidemark.operators import calibrate as cal, evaluate as ev, labels as lab, lstm, score as sc, sweep
-from tidemark.operators.grid import regular_windows
+from tidemark.config import ModelSpec, ScorerSpec, TrainSpec
+from tidemark.operators import calibrate as cal, evaluate as ev, lstm, score as sc, sweep
 from tidemark.operators.quantile import exact_percentiles
-from tidemark.plans import flows, shared as s
+from tidemark.plans import flows, runs, shared as s
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_scores import rounded_metrics
 from tidemark.session import attach, fresh_folder, settle
+from tidemark.sources import versions
 from tidemark.sources.artifacts import load, save, scorer_stats
 
 # Hidden size 1: input, recurrent, two biases for the four gates of encoder and decoder, then the output.
@@ -113,6 +113,26 @@ def saved_parameters(spark, folder):
     )
 
 
+@query(
+    "S10 M8",
+    s.POINT_SQL
+    + f""",
+thr90 AS (SELECT series_id, {s.sql_percentile("0.9")} AS tau FROM (SELECT series_id, list_sort(list(score)) AS s FROM ps WHERE split = 'threshold' GROUP BY series_id)),
+w90 AS (SELECT series_id, window_id, count(*) FILTER (WHERE score > tau) AS n FROM ps JOIN thr90 USING (series_id) GROUP BY 1, 2)
+SELECT series_id, window_id, split, is_flagged, n_over, n AS newest_n_over, 2::INTEGER AS newest FROM wpoint JOIN w90 USING (series_id, window_id)""",
+)
+def older_version_scores(spark, folder):
+    """Two versions of one model set are published; windows are scored with the older one, next to the newest."""
+    labelled = s.labelled(spark, folder)
+    store = fresh_folder(spark, "versions")
+    for percentile in (95.0, 90.0):
+        runs.train_profile_and_save(labelled, store, "values", s.DAY, s.SPLITS, ScorerSpec(percentile=percentile), s.BY)
+    keys = ["series_id", "window_id"]
+    older = runs.load_and_score(labelled, store, "values", s.BY, version=1).select(*keys, "split", "is_flagged", "n_over")
+    newer = runs.load_and_score(labelled, store, "values", s.BY).select(*keys, F.col("n_over").alias("newest_n_over"))
+    return older.join(newer, keys).withColumn("newest", F.lit(versions.newest(spark, store, "values")))
+
+
 @query(
     "M15",
     s.WINDOW_SQL
@@ -214,7 +234,7 @@ tres AS (
 
 
 def split_results(spark, folder):
-    windows = lab.flag_edge_cases(lab.flag_overlap(regular_windows(s.value_buckets(spark, folder), s.DAY), s.INTERVALS, s.DAY), s.EDGES)
+    windows = s.labelled(spark, folder)
     trials = sweep.split_trials(spark)
     return sweep.run_sweep(windows, trials, s.DAY, ScorerSpec(mode="window")), trials
 
@@ -239,6 +259,22 @@ def sweep_leaderboard(spark, folder):
     return top.select("trial_id", "train", "val", "threshold", F.round("f1_score", 6).alias("f1_score"))
 
 
+@query(
+    "M14 S9 S10 T4",
+    SWEEP_SQL
+    + """ SELECT tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(accuracy, 6) AS accuracy, round(f1_score, 6) AS f1_score
+FROM tres ORDER BY round(f1_score, 9) DESC, trial_id LIMIT 1""",
+)
+def best_trial_refit(spark, folder):
+    """The best split of the sweep, trained again on its own, saved as a version and evaluated from the saved state."""
+    windows = settle(s.labelled(spark, folder)).df
+    results = sweep.run_sweep(windows, sweep.split_trials(spark), s.DAY, ScorerSpec(mode="window"))
+    store = fresh_folder(spark, "versions")
+    runs.refit_best(results.withColumn("rounded", F.round("f1_score", 9)), "rounded", windows, store, "best", s.DAY, TrainSpec(), s.BY, "window", "profile")
+    out = flows.evaluate(runs.load_and_score(windows, store, "best", s.BY), [])
+    return rounded_metrics(out.select("tp", "fp", "fn", "tn", "precision", "recall", "accuracy", "f1_score"))
+
+
 @query(
     "S9 T4 X12",
     SWEEP_SQL
@@ -286,7 +322,7 @@ SELECT trial_id, series_id, n_used, n_test FROM fanned""",
 )
 def wide_trial_splits(spark, folder):
     """Trials that use up to 20 development windows of a series: none is cut."""
-    windows = lab.flag_edge_cases(lab.flag_overlap(regular_windows(s.value_buckets(spark, folder), s.DAY), s.INTERVALS, s.DAY), s.EDGES)
+    windows = s.labelled(spark, folder)
     trials = spark.createDataFrame([(0, 8, 4, 6), (1, 12, 4, 4), (2, 6, 2, 2)], "trial_id int, train int, val int, threshold int")
     fanned = sweep.fan_out(sweep.rank_normals(windows, 20), trials)
     used = F.col("split") != "test"

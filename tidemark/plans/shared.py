@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import GridSpec, ScorerSpec, SplitSpec
 from tidemark.operators.grid import bucket, regular_windows
+from tidemark.operators.labels import flag_edge_cases, flag_overlap
 from tidemark.plans import flows
 from tidemark.sources.tables import read_table
 
@@ -60,6 +61,12 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return flows.prepare(value_buckets(spark, folder), INTERVALS, DAY, SPLITS, EDGES)
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same windows without splits."""
+    windows = regular_windows(value_buckets(spark, folder), DAY)
+    return flag_edge_cases(flag_overlap(windows, INTERVALS, DAY), EDGES)
+
+
 def stamp(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +20,26 @@ def load(spark: SparkSession, folder: str, kind: str, model_id: str) -> DataFram
     return spark.read.parquet(f"{folder}/{kind}/model_id={model_id}")
 
 
-def save_config(spark: SparkSession, folder: str, model_id: str, **records) -> None:
+def config_table(spark: SparkSession, **records) -> DataFrame:
     """Frozen parameter records as ``record, name, value`` rows."""
     rows = [(kind, name, repr(value)) for kind, rec in records.items() for name, value in vars(rec).items()]
-    save(spark.createDataFrame(rows, "record string, name string, value string"), folder, "config", model_id)
+    return spark.createDataFrame(rows, "record string, name string, value string")
 
 
-def load_config(spark: SparkSession, folder: str, model_id: str, **kinds):
+def config_records(table: DataFrame, **kinds):
     """Back to records; ``kinds`` maps a record name to its class."""
-    import ast
-
-    rows = load(spark, folder, "config", model_id).collect()
+    rows = table.collect()
     return {k: cls(**{r["name"]: ast.literal_eval(r["value"]) for r in rows if r["record"] == k}) for k, cls in kinds.items()}
 
 
+def save_config(spark: SparkSession, folder: str, model_id: str, **records) -> None:
+    save(config_table(spark, **records), folder, "config", model_id)
+
+
+def load_config(spark: SparkSession, folder: str, model_id: str, **kinds):
+    return config_records(load(spark, folder, "config", model_id), **kinds)
+
+
 def scorer_stats(params: DataFrame | Sized, by: list[str], ridge: float) -> DataFrame:
     """Ranges, shape, condition number and thresholds of fitted scorers.
 
