@@ -68,6 +68,12 @@ def test_detector_contract(spark):
     assert len(stats) == 2 and all(r["rank"] == 2 and r["condition_number"] > 1 for r in stats)
     flagged = found.detect(split.filter("window_id = 12")).select("is_flagged").collect()
     assert [r[0] for r in flagged] == [True, True]
+    assert detectors.run(found, split).filter("is_flagged").count() == found.detect(split).filter("is_flagged").count() >= 2
+    short = split.withColumn("values", F.slice("values", 1, 5))
+    assert detectors.run(found, short).count() == 0
+    unfitted = detectors.ProfileDetector(found.params.df.drop("threshold"), scorer, ("series_id",), 12)
+    with pytest.raises(ValueError, match="fit it first"):
+        detectors.run(unfitted, split)
 
 
 def test_versions_are_whole_and_stay(spark, tmp_path):

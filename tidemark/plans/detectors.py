@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.config import ScorerSpec
 from tidemark.plans import flows
@@ -25,6 +26,13 @@ class Detector(Protocol):
     def is_ready(self) -> bool: ...
 
 
+def run(detector: Detector, windows: DataFrame) -> DataFrame:
+    """Flags of the windows that are long enough for ``detector``; an unfitted one is an error."""
+    if not detector.is_ready():
+        raise ValueError("the detector has no threshold: fit it first")
+    return detector.detect(windows.filter(F.size("values") >= detector.min_rows))
+
+
 @dataclass(frozen=True)
 class ProfileDetector:
     """Seasonal profile as reconstruction."""

@@ -302,10 +302,10 @@ def grid_thresholds(spark, folder):
     trials = sweep.grid_trials(spark)
     windows = s.event_windows(spark, folder)
     levels = exact_percentiles(windows.select("series_id", F.explode("values").alias("v")), s.BY, "v", [0.9, 0.95, 0.99])
-    fanned = attach(levels, trials.agg(F.collect_list(F.struct("hidden", "layers", "percentile")).alias("_t")), [])
-    fanned = fanned.select("series_id", "fraction", "threshold", F.explode("_t").alias("t")).filter(F.abs(F.col("t.percentile") / 100.0 - F.col("fraction")) < 1e-9)
-    return fanned.groupBy("series_id", "t.hidden", "t.layers").agg(
-        F.count(F.lit(1)).alias("n_trials"), F.round(F.sum("threshold"), 6).alias("sum_threshold")
+    asked = trials.groupBy("hidden", "layers", "percentile").agg(F.count(F.lit(1)).alias("n"))
+    met = levels.withColumn("percentile", F.round(F.col("fraction") * 100, 6)).join(F.broadcast(asked), "percentile")
+    return met.groupBy("series_id", "hidden", "layers").agg(
+        F.sum("n").alias("n_trials"), F.round(F.sum(F.col("n") * F.col("threshold")), 6).alias("sum_threshold")
     )
 
 

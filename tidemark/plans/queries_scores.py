@@ -436,14 +436,17 @@ def _hash(*parts: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
 
-INJECT_SQL = f""",
+def inject_sql(kinds, noise: float = 0.0) -> str:
+    """Injected copies of magnitude 1 of the threshold windows, two a window."""
+    wave = f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_hash('p.k', "'u'", 'p.pos::VARCHAR')} / 4294967296.0::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * ({_hash('p.k', "'v'", 'p.pos::VARCHAR')} / 4294967296.0::DOUBLE))"
+    return f""",
 copied AS (
   SELECT z.series_id, z.window_id, z.pos, z.z, z.x_hat, c.copy, '42:' || z.series_id || ':' || z.window_id || ':' || c.copy AS k
   FROM errs z CROSS JOIN (VALUES (0), (1)) c(copy) WHERE z.split = 'threshold'
 ),
 wstat AS (
   SELECT series_id, window_id, copy, any_value(k) AS k, stddev_pop(z) AS sd,
-    ['point', 'level_shift', 'temporal'][({_hash("any_value(k)", "'kind'")} % 3) + 1] AS kind,
+    {list(kinds)}[({_hash("any_value(k)", "'kind'")} % {len(kinds)}) + 1] AS kind,
     {_hash("any_value(k)", "'start'")} % (49 - 14) AS beg,
     CASE WHEN {_hash("any_value(k)", "'sign'")} % 2 = 0 THEN -1 ELSE 1 END AS sgn
   FROM copied GROUP BY 1, 2, 3
@@ -458,11 +461,15 @@ injected AS (
   SELECT p.series_id, p.window_id, p.copy, p.pos, p.kind, p.x_hat,
     CASE p.kind WHEN 'point' THEN p.z + CASE WHEN p.pr <= 5 THEN p.psgn * 1.0 * p.sd ELSE 0 END
       WHEN 'level_shift' THEN p.z + CASE WHEN p.pos >= p.beg AND p.pos < p.beg + 14 THEN p.sgn * 1.0 * p.sd ELSE 0 END
+      WHEN 'noise' THEN p.z + CASE WHEN p.pos >= p.beg AND p.pos < p.beg + 14 THEN {wave} * {noise}::DOUBLE * p.sd ELSE 0 END
       ELSE r.z END AS z
   FROM placed p JOIN copied r ON r.series_id = p.series_id AND r.window_id = p.window_id AND r.copy = p.copy AND r.pos = (p.pos + 48 - 12) % 48
 )"""
 
 
+INJECT_SQL = inject_sql(MILD.kinds)
+
+
 @query(
     "M11 J9 F7 A17",
     s.ERROR_SQL + INJECT_SQL + " SELECT series_id, window_id, copy, kind, pos, round(z, 6) AS z FROM injected",
@@ -578,19 +585,19 @@ def calibrated_midpoint(spark, folder):
     return _calibrated("midpoint")(spark, folder)
 
 
-_BEST = """ SELECT series_id, round(CASE WHEN max(o) > {floor} THEN arg_max(t, row(round(o, 12), -cut)) ELSE any_value(med) END, 4) AS threshold,
+BEST_SQL = """ SELECT series_id, round(CASE WHEN max(o) > {floor} THEN arg_max(t, row(round(o, 12), -cut)) ELSE any_value(med) END, {digits}) AS threshold,
   CASE WHEN max(o) > {floor} THEN '{name}' ELSE 'fallback_median' END AS threshold_source
 FROM (SELECT series_id, cut, t, {expr} AS o FROM counts) JOIN (SELECT series_id, quantile_cont(score, 0.5) AS med FROM pool GROUP BY 1) USING (series_id) GROUP BY 1"""
 
 
-@query("M10 M12 A10 A19 T4", CAL_SQL + _BEST.format(floor="0", name="f1_max", expr="coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)"))
+@query("M10 M12 A10 A19 T4", CAL_SQL + BEST_SQL.format(digits=4, floor="0", name="f1_max", expr="coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)"))
 def calibrated_f_score(spark, folder):
     return _calibrated("f1_max")(spark, folder)
 
 
 @query(
     "M10 M12 A19 T4",
-    CAL_SQL + _BEST.format(floor="-1", name="youden", expr="coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0) - 1"),
+    CAL_SQL + BEST_SQL.format(digits=4, floor="-1", name="youden", expr="coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0) - 1"),
 )
 def calibrated_youden(spark, folder):
     return _calibrated("youden")(spark, folder)
