@@ -15,6 +15,7 @@ from tidemark.session import fresh_folder, pin_utc, settle
 from tidemark.sources import tables
 from tidemark.streaming import jobs
 from tidemark.streaming.ordered import keyed_state, ordered_windows_stream
+from tidemark.streaming.progress import ProgressLog, totals
 from tidemark.streaming.windows import count_windows_stream, sunday_gate, window_rows
 
 # What one trigger reads at most.
@@ -132,6 +133,33 @@ def late_row_counts(spark, folder):
     return last.select("series_id", "l.seen", "l.late", "l.emitted")
 
 
+@query(
+    "K8 K2",
+    """WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
+SELECT sum(n)::BIGINT AS input_rows, sum(n // 336)::BIGINT AS windows, 2::BIGINT AS runs, 0::BIGINT AS missing, true AS many_triggers FROM n""",
+)
+def durable_progress(spark, folder):
+    """Counters of a query over many triggers and a restart, read back from their log."""
+    rows = s.events(spark, folder)
+    half = rows.count() // 2
+    source, out, log_folder = fresh_folder(spark, "source"), fresh_folder(spark, "windows"), fresh_folder(spark, "log")
+    checkpoint = fresh_folder(spark, "checkpoint")
+    for part in (F.col("event_id") < half, F.col("event_id") >= half):
+        rows.filter(part).repartition(4, "event_id").write.mode("append").parquet(source)
+        raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        typed = raw.select(F.col("event_type").alias("series_id"), F.col("event_id").alias("sequence_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+        stream = jobs.observed(count_windows_stream(typed, 336, with_status=True))
+        log = ProgressLog(spark, log_folder)
+        spark.streams.addListener(log)
+        try:
+            query = jobs.start(stream.writeStream.format("parquet").option("path", out), checkpoint)
+            query.awaitTermination()
+            log.wait(query)
+        finally:
+            spark.streams.removeListener(log)
+    return totals(spark, log_folder).select("input_rows", "windows", "runs", "missing", (F.col("triggers") >= 4).alias("many_triggers"))
+
+
 MESSAGE_SQL = s.POINT_SQL + f""", jt AS (SELECT series_id, window_id, ws, we, is_flagged FROM wpoint)
 SELECT j.series_id, j.window_id, {s.sql_stamp('j.ws')} AS window_start, {s.sql_stamp('j.we')} AS window_end, CASE WHEN j.is_flagged THEN 'true' ELSE 'false' END AS is_anomaly,
   CASE WHEN j.is_flagged THEN 3 ELSE 0 END AS n_points FROM jt j"""
