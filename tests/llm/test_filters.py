@@ -58,6 +58,30 @@ def test_url_model_on_held_out_hosts(spark, url_model):
     assert np.mean([r["score"] < 0.5 for r in pages if "-" not in r["host"]]) > 0.99
 
 
+def rates(spark, model, unwanted, ordinary, seed):
+    """Share of unwanted hosts that are blocked, and of ordinary hosts with a hyphen that are."""
+    held = url_filter.labelled_urls(spark, 2000, seed, unwanted, ordinary)
+    rows = url_filter.judge(held, model, rules=()).collect()
+    block = lambda keep: float(np.mean([r["verdict"] == "block" for r in rows if keep(r)]))
+    return block(lambda r: r["bad"]), block(lambda r: not r["bad"] and "-" in r["host"])
+
+
+def test_url_model_on_words_it_never_saw(spark, url_model):
+    """Words are held out whole, in five folds. Letters tell little of a word that no labelled url has: the test holds the
+    model to leaving such hosts alone and prints the recall, which the README states."""
+    found = []
+    for fold in range(5):
+        cut = lambda words, own: tuple(w for i, w in enumerate(words) if (i % 5 == fold) == own)
+        known, new = (tuple(cut(words, own) for words in (url_filter.UNWANTED, url_filter.ORDINARY)) for own in (False, True))
+        model = url_filter.fit_labelled(url_filter.labelled_urls(spark, 4000, 7, *known))
+        found.append(rates(spark, model, *new, seed=50 + fold))
+    recall, wrong = np.mean(found, axis=0)
+    seen = rates(spark, url_model, url_filter.UNWANTED, url_filter.ORDINARY, 99)
+    print(f"unseen words: recall {recall:.3f}, clean hyphenated blocked {wrong:.3f}; seen words: {seen[0]:.3f}, {seen[1]:.3f}")
+    assert wrong <= 0.1 and recall > wrong
+    assert seen[0] >= 0.97 and seen[1] <= 0.03
+
+
 def test_url_fit_without_rows(spark):
     model = url_filter.fit_labelled(spark.createDataFrame([], "url string, bad int"))
     assert 0 <= model.scores(["a"], ["/b"])[0] <= 1

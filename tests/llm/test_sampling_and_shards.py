@@ -1,10 +1,12 @@
 import collections
 import math
+import zlib
 
 import pytest
 
+from tests.conftest import SF
 from tests.llm import helpers
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, queries, sharding
 
 
 def plain_targets(sizes, weights=(5, 2, 1), cap=3):
@@ -89,3 +91,26 @@ def test_sharding_awkward_rows(spark):
 @pytest.mark.parametrize("groups", [0, 1, 5])
 def test_longest_first_with_few_groups(groups):
     assert len(sharding.longest_first([(1, i) for i in range(groups)], 24)) == groups
+
+
+def test_bundles_on_the_driver_are_bounded():
+    for partitions in (1, 8, 200, 8_333, 8_334, 100_000, 10_000_000):
+        for shards in (1, 24, 1000):
+            parts, bundles = sharding._sizes(partitions, shards)
+            assert 1 <= parts <= partitions and bundles >= shards and parts * bundles <= sharding.MOST_BUNDLES
+
+
+def test_sharding_query_against_plain_rows(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.QUERIES["op3_sharded_documents"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    place, loads, slots, groups = {}, collections.Counter(), collections.defaultdict(list), collections.Counter()
+    for r in got:
+        data = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 8, zlib.crc32(data), "bytes", None)
+        assert place.setdefault(data, r["shard"]) == r["shard"] and 0 <= r["shard"] < 24
+        loads[r["shard"]] += r["size"]
+        groups[data] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(loads.values()) - min(loads.values()) <= max(groups.values())

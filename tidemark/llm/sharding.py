@@ -56,12 +56,19 @@ def _bundles(groups: DataFrame, partitions: int, bundles: int) -> DataFrame:
     return ranged.mapInPandas(pack, "_group string, _total long, _part int, _bundle int")
 
 
+def _sizes(partitions: int, shards: int) -> tuple[int, int]:
+    """Range partitions and bundles a partition: at most ``MOST_BUNDLES`` bundles, or one partition, meet on the driver."""
+    partitions = max(1, min(partitions, MOST_BUNDLES // shards))
+    return partitions, max(shards, min(64 * shards, MOST_BUNDLES // partitions))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot`` (0.. without gaps inside a shard, by id).
 
     Size is the UTF-8 length of the text plus 8. Rows with equal texts form one group and share a
     shard; null and empty text are one group of size 8 a row. Repeated ids are separate rows. A group
-    larger than its even share makes its shard large: groups are never divided. An empty table
+    larger than its even share makes its shard large: groups are never divided. Ranges of sizes come from a sample,
+    so another session or partition count may shard otherwise, just as evenly. An empty table
     gives an empty result. ``columns`` names what is carried along (default: all); columns of the
     names above are replaced.
     """
@@ -76,7 +83,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", columns: li
     )
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_total"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bundles = max(shards, min(64 * shards, MOST_BUNDLES // max(1, partitions)))
+    partitions, bundles = _sizes(partitions, shards)
     packed = settle(_bundles(groups, partitions, bundles)).df
     loads = packed.groupBy("_part", "_bundle").agg(F.sum("_total").alias("_total")).collect()
     chosen = longest_first([(r["_total"], (r["_part"], r["_bundle"])) for r in loads], shards)

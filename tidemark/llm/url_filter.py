@@ -140,24 +140,27 @@ ORDINARY = (
 ).split()
 
 
-def labelled_urls(spark: SparkSession, rows: int = 4000, seed: int = 7) -> DataFrame:
-    """A small labelled table (``url``, ``bad``) made from the word lists above by a seeded rule.
+def labelled_urls(spark: SparkSession, rows: int = 4000, seed: int = 7, unwanted=UNWANTED, ordinary=ORDINARY) -> DataFrame:
+    """A small labelled table (``url``, ``bad``) made from the word lists above, or parts of them, by a seeded rule.
 
-    Unwanted hosts join one or two unwanted words by a hyphen, ordinary ones are pronounceable
-    names or ordinary words; paths, prefixes and endings are drawn alike for both.
+    Unwanted hosts join two unwanted words; ordinary ones are one or two ordinary words or pronounceable
+    names. Hyphens, paths, prefixes and endings are drawn alike for both, so that words decide and not the hyphen.
     """
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
+    ends = ("er", "on", "th", "en", "at", "ing", "tion", "ly", "re", "st")
+    made_up = lambda: "".join(
+        pick("bcdfghklmnprstvwz") + pick("aeiou") if rng.random() < 0.5 else pick(ends) for _ in range(2 + int(rng.integers(3)))
+    )
     made = []
     for i in range(rows):
         bad = i % 2
+        joined = pick(("-", "", "-"))
         if bad:
-            name = pick(("-", "", "-")).join(pick(UNWANTED) for _ in range(2))
-        elif rng.random() < 0.3:
-            name = pick(("-", "")).join(pick(ORDINARY) for _ in range(1 + int(rng.integers(2))))
+            name = joined.join(pick(unwanted) for _ in range(2))
         else:
-            ends = ("er", "on", "th", "en", "at", "ing", "tion", "ly", "re", "st")
-            name = "".join(pick("bcdfghklmnprstvwz") + pick("aeiou") if rng.random() < 0.5 else pick(ends) for _ in range(2 + int(rng.integers(3))))
+            word = lambda: pick(ordinary) if rng.random() < 0.4 else made_up()
+            name = joined.join(word() for _ in range(1 + int(rng.integers(2))))
         top = pick(("example.com", "example.org", "example.net", "com", "org", "net", "de", "fr"))
         page = f"/{pick(('en', 'de', 'fr', 'es'))}/{int(rng.integers(1000))}" + pick(("", "/", ".html"))
         made.append((pick(("http://", "https://")) + pick(("", "www.", "blog.", "m.")) + name + "." + top + page, bad))
