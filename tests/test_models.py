@@ -195,3 +195,28 @@ def test_block_functions_do_not_see_borders(spark):
     acf = baseline.autocorrelation(rows, 50, block=64).orderBy("lag").toPandas()["acf"]
     d = x - x.mean()
     assert np.allclose(acf, [(d[: len(d) - k] * d[k:]).sum() / (d**2).sum() for k in range(50)])
+
+
+def test_broadcast_models_equal_grouped_models(spark):
+    """Few and many windows of a model, models of two shapes, a series without a model: both ways give the same rows."""
+    rng = np.random.default_rng(5)
+    counts = {"hot": 600, "warm": 17, "a": 3, "b": 1, "none": 2}
+    rows = [(k, i, rng.normal(size=6).tolist()) for k, n in counts.items() for i in range(n)]
+    windows = spark.createDataFrame(rows, "series_id string, window_id long, z array<double>")
+    made = []
+    for key, hidden, layers in (("hot", 3, 2), ("warm", 2, 1), ("a", 3, 2), ("b", 2, 1)):
+        spec = ModelSpec(hidden=hidden, layers=layers, length=6)
+        made.append((key, 1, hidden, layers, 0.0, net.initial(spec, len(made)).tolist()))
+    models = spark.createDataFrame(made, "series_id string, input_dim int, hidden int, layers int, dropout double, theta array<double>")
+    added = {"reconstruct": ["x_hat"], "generate": ["x_hat"], "encode": ["h", "c"]}
+    for mode, names in added.items():
+        out = []
+        for limit in (1 << 20, 0):
+            got = lstm.reconstruct(windows, models, ["series_id"], mode, limit).collect()
+            out.append({(r["series_id"], r["window_id"]): np.concatenate([r[n] for n in names]) for r in got})
+        assert out[0].keys() == out[1].keys() and len(out[0]) == sum(counts.values()) - counts["none"]
+        assert all(np.allclose(v, out[1][k], atol=1e-12) for k, v in out[0].items())
+    plan = lstm.reconstruct(windows, models, ["series_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert lstm.reconstruct(windows.limit(0), models, ["series_id"]).count() == 0
+    assert lstm.reconstruct(windows, models.limit(0), ["series_id"]).count() == 0

@@ -28,14 +28,14 @@ def layout(spec: ModelSpec) -> list[tuple[str, tuple]]:
 
 
 def unflatten(theta: np.ndarray, spec: ModelSpec) -> dict[str, np.ndarray]:
-    """Named views into the flat vector."""
+    """Named views into the flat vector, or into one vector per window, whose weights then have a leading axis."""
     out, at = {}, 0
     for name, shape in layout(spec):
         n = int(np.prod(shape))
-        out[name] = theta[at : at + n].reshape(shape)
+        out[name] = theta[..., at : at + n].reshape(*theta.shape[:-1], *shape)
         at += n
-    if at != len(theta):
-        raise ValueError(f"expected {at} weights, got {len(theta)}")
+    if at != theta.shape[-1]:
+        raise ValueError(f"expected {at} weights, got {theta.shape[-1]}")
     return out
 
 
@@ -48,13 +48,25 @@ def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
+def _times(x, weight):
+    """``x`` (batch, width) or (batch, time, width) times a matrix, or times the matrix of each window."""
+    if weight.ndim == 2:
+        return x @ weight.T
+    turned = weight.transpose(0, 2, 1)
+    return x @ turned if x.ndim == 3 else (x[:, None, :] @ turned)[:, 0]
+
+
+def _plus(x, bias):
+    return x + (bias if bias.ndim == 1 else bias[:, None, :])
+
+
 def _layer(w, name, x, h, c, tape=None):
     """One layer over time: ``x`` (batch, time, width) to all hidden states."""
     wx, wh = w[f"{name}.input"], w[f"{name}.recurrent"]
-    drive = x @ wx.T + (w[f"{name}.input_bias"] + w[f"{name}.recurrent_bias"])
+    drive = _plus(_times(x, wx), w[f"{name}.input_bias"] + w[f"{name}.recurrent_bias"])
     n, out = h.shape[1], np.empty((x.shape[0], x.shape[1], h.shape[1]))
     for t in range(x.shape[1]):
-        a = drive[:, t] + h @ wh.T
+        a = drive[:, t] + _times(h, wh)
         i, f, o = _sigmoid(a[:, :n]), _sigmoid(a[:, n : 2 * n]), _sigmoid(a[:, 3 * n :])
         g = np.tanh(a[:, 2 * n : 3 * n])
         before = (h, c)
@@ -96,7 +108,7 @@ def reconstruct(theta, spec, x):
     """Teacher-forced: the decoder reads the reversed input, its output is reversed back."""
     w = unflatten(theta, spec)
     top, _ = _stack(w, "decoder", spec, x[:, ::-1], encode(theta, spec, x))
-    return (top @ w["output.weight"].T + w["output.bias"])[:, ::-1]
+    return _plus(_times(top, w["output.weight"]), w["output.bias"])[:, ::-1]
 
 
 def generate(theta, spec, x):
@@ -105,7 +117,7 @@ def generate(theta, spec, x):
     state, step, out = encode(theta, spec, x), x[:, -1:], []
     for _ in range(x.shape[1]):
         top, state = _stack(w, "decoder", spec, step, state)
-        step = top @ w["output.weight"].T + w["output.bias"]
+        step = _plus(_times(top, w["output.weight"]), w["output.bias"])
         out.append(step)
     return np.concatenate(out, axis=1)[:, ::-1]
 

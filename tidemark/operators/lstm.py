@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from tidemark.config import ModelSpec, TrainSpec
 from tidemark.functions import lstm as net
-from tidemark.session import Sized, attach, settle
+from tidemark.session import BROADCAST_BYTES, Sized, attach, settle
 
 # Windows of one model that share a task call: bounds the size of a group.
 CHUNK = 256
+# Below that many windows of a model in a call, the weights of all its models are stacked, one set per window.
+FEW = 16
 MODEL_COLUMNS = ["input_dim", "hidden", "layers", "dropout", "theta"]
 
 
@@ -57,6 +59,7 @@ def _apply(mode: str, pdf: pd.DataFrame, model) -> pd.DataFrame:
 
 
 def _apply_chunk(mode: str, pdf: pd.DataFrame, model) -> pd.DataFrame:
+    """``theta`` of the model is one vector, or one row of weights per window of ``pdf``."""
     theta = np.asarray(model["theta"], dtype=float)
     spec = _spec(model, 0)
     x = _stacked(pdf["z"], spec.input_dim)
@@ -70,12 +73,54 @@ def _apply_chunk(mode: str, pdf: pd.DataFrame, model) -> pd.DataFrame:
     return out
 
 
-def reconstruct(windows: DataFrame, models: DataFrame | Sized, by: list[str], mode: str = "reconstruct") -> DataFrame:
+def _apply_many(mode: str, pdf: pd.DataFrame, models: list) -> pd.DataFrame:
+    """Windows of many models (column ``_model``) in one call.
+
+    Models of one shape share arrays. A model with many windows is one matrix product a step; of the others
+    ``CHUNK`` windows at a time meet their weights stacked, bounded like the weights of ``CHUNK`` models.
+    """
+    number = pdf["_model"].to_numpy()
+    rows = pdf.drop(columns="_model").reset_index(drop=True)
+    parts, few = [], {}
+    for m in np.unique(number):
+        at = np.flatnonzero(number == m)
+        if len(at) >= FEW:
+            parts.append(_apply(mode, rows.iloc[at], models[m]))
+        else:
+            few.setdefault(tuple(models[m][c] for c in ("input_dim", "hidden", "layers")), []).append(at)
+    for at in (np.concatenate(x) for x in few.values()):
+        for i in range(0, len(at), CHUNK):
+            some = at[i : i + CHUNK]
+            stacked = {**models[number[some[0]]], "theta": np.stack([models[m]["theta"] for m in number[some]])}
+            parts.append(_apply_chunk(mode, rows.iloc[some], stacked))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _with_broadcast(windows: DataFrame, models: DataFrame, by: list[str], mode: str, schema: T.StructType) -> DataFrame:
+    spark = windows.sparkSession
+    rows = models.select(*by, *MODEL_COLUMNS).collect()  # below the limit of the caller
+    shared = spark.sparkContext.broadcast([{**r.asDict(), "theta": np.asarray(r["theta"], dtype=float)} for r in rows])
+    key_schema = T.StructType([*[models.schema[c] for c in by], T.StructField("_model", T.IntegerType())])
+    numbers = spark.createDataFrame([(*[r[c] for c in by], i) for i, r in enumerate(rows)], key_schema)
+    placed = windows.join(F.broadcast(numbers), by).select(*windows.columns, "_model")
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield _apply_many(mode, pdf, shared.value)
+
+    return placed.mapInPandas(run, schema)
+
+
+def reconstruct(windows: DataFrame, models: DataFrame | Sized, by: list[str], mode: str = "reconstruct", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``x_hat`` (modes ``reconstruct``, ``generate``) or ``h, c`` (mode ``encode``).
 
     One global model goes to the tasks with the function (its size is fixed by
-    the model spec) and no row moves. With a model per key, windows meet their
-    model in groups of at most ``CHUNK`` windows, so a hot series is split.
+    the model spec) and no row moves. Models per key, one row each, are broadcast when their
+    measured size is below ``limit``: no window moves, and windows of many models are
+    computed together (``_apply_many``). Above, windows meet their
+    model in groups of at most ``CHUNK`` windows. Either way a hot series is split, and windows without a
+    model are left out.
     """
     added = ["h", "c"] if mode == "encode" else ["x_hat"]
     schema = T.StructType([*windows.schema.fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in added]])
@@ -92,11 +137,14 @@ def reconstruct(windows: DataFrame, models: DataFrame | Sized, by: list[str], mo
                     yield _apply(mode, pdf, model)
 
         return windows.mapInPandas(run, schema)
+    fixed = models if isinstance(models, Sized) else settle(models)
+    if fixed.bytes <= limit:
+        return _with_broadcast(windows, fixed.df, by, mode, schema)
     keyed = windows.withColumn("_chunk", F.floor(F.col("window_id") / CHUNK))
     keys = keyed.select(*by, "_chunk").distinct()
     group = [*by, "_chunk"]
     # Renamed keys: both sides of the cogroup descend from the same windows.
-    placed = attach(keys, models, by).select(*[F.col(c).alias(f"_m_{c}") for c in group], *MODEL_COLUMNS)
+    placed = attach(keys, fixed, by, limit=limit).select(*[F.col(c).alias(f"_m_{c}") for c in group], *MODEL_COLUMNS)
 
     def run_group(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if len(rows) == 0 or len(model) == 0:

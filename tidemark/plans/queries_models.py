@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.config import ModelSpec, ScorerSpec, TrainSpec
 from tidemark.operators import calibrate as cal, evaluate as ev, lstm, score as sc, sweep
+from tidemark.operators.grid import regular_windows
 from tidemark.operators.quantile import exact_percentiles
 from tidemark.plans import flows, runs, shared as s
 from tidemark.plans.catalog import query
@@ -94,6 +95,62 @@ def lstm_generation(spark, folder):
     return out.select("series_id", "window_id", F.posexplode("x_hat").alias("pos", "x_hat")).withColumn("x_hat", F.round("x_hat", 6))
 
 
+# One model per series, two layers of hidden size 4, on weeks of 336 half hours. Weight i of a series is
+# 0.6 sin(k i), where k comes from its name.
+DEEP = ModelSpec(hidden=4, layers=2)
+_HALF = (DEEP.parameter_count - 5) // 2
+
+
+def _sql_layer(at: str, width: int, x: str, h: str) -> str:
+    """Gate sums of a layer whose weights begin at ``at`` (0-based)."""
+    recurrent, bias = f"{at} + {16 * width}", f"{at} + {16 * (width + 4)}"
+    return f"""list_transform(range(0, 16), lambda r: list_dot_product(th[{at} + {width} * r + 1:{at} + {width} * r + {width}], {x})
+    + list_dot_product(th[{recurrent} + 4 * r + 1:{recurrent} + 4 * r + 4], {h}) + (th[{bias} + r + 1] + th[{bias} + 16 + r + 1]))"""
+
+
+def _sql_cell(a: str, c: str) -> str:
+    return f"list_transform(range(1, 5), lambda i: {c}[i] / (1.0 + exp(-{a}[4 + i])) + tanh({a}[8 + i]) / (1.0 + exp(-{a}[i])))"
+
+
+def _sql_hidden(a: str, c: str) -> str:
+    return f"list_transform(range(1, 5), lambda i: tanh({c}[i]) / (1.0 + exp(-{a}[12 + i])))"
+
+
+_DEEP_SQL = s.grid_sql(s.VALUE_BUCKETS, 1800, 336, 288) + f""",
+scaler AS (SELECT series_id, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale FROM points GROUP BY 1),
+zw AS (SELECT series_id, window_id, list((value - mean) / scale ORDER BY pos) AS z FROM points JOIN scaler USING (series_id) GROUP BY 1, 2),
+model AS (SELECT DISTINCT series_id, list_transform(range(1, {DEEP.parameter_count + 1}), lambda i: 0.6 * sin((i * (ascii(series_id) + length(series_id)))::DOUBLE)) AS th FROM zw),
+st AS (
+  SELECT series_id, window_id, -1 AS t, [0.0, 0, 0, 0]::DOUBLE[] AS h0, [0.0, 0, 0, 0]::DOUBLE[] AS c0, [0.0, 0, 0, 0]::DOUBLE[] AS h1, [0.0, 0, 0, 0]::DOUBLE[] AS c1 FROM zw
+  UNION ALL
+  SELECT series_id, window_id, t, h0, c0, {_sql_hidden('a', 'c1')} AS h1, c1 FROM (
+    SELECT * EXCLUDE (c1), {_sql_cell('a', 'c1')} AS c1 FROM (
+      SELECT * EXCLUDE (a), {_sql_layer('b + 112', 4, 'h0', 'h1')} AS a FROM (
+        SELECT * EXCLUDE (h0), {_sql_hidden('a', 'c0')} AS h0 FROM (
+          SELECT * EXCLUDE (c0), {_sql_cell('a', 'c0')} AS c0 FROM (
+            SELECT *, {_sql_layer('b', 1, 'x', 'h0')} AS a FROM (
+              SELECT st.* EXCLUDE (t), st.t + 1 AS t, CASE WHEN st.t + 1 < 336 THEN 0 ELSE {_HALF} END AS b, th,
+                [CASE WHEN st.t + 1 < 336 THEN z[st.t + 2] ELSE z[671 - st.t] END] AS x
+              FROM st JOIN zw USING (series_id, window_id) JOIN model USING (series_id) WHERE st.t < 671))))))
+)
+SELECT series_id, window_id, (671 - t)::INTEGER AS pos, round(list_dot_product(th[{2 * _HALF + 1}:{2 * _HALF + 4}], h1) + th[{2 * _HALF + 5}], 6) AS x_hat
+FROM st JOIN model USING (series_id) WHERE t >= 336"""
+
+
+@query("M1 X13 D3", _DEEP_SQL)
+def weekly_reconstruction_per_series(spark, folder):
+    """A model of its own for every series; models travel, windows stay."""
+    windows = regular_windows(s.value_buckets(spark, folder), s.WEEK).withColumn("split", F.lit("train"))
+    scaled = attach(windows, sc.scaler_fit(windows, s.BY), s.BY).withColumn("z", sc.scaled("values"))
+    k = (F.ascii("series_id") + F.length("series_id")).cast("long")
+    theta = F.transform(F.sequence(F.lit(1), F.lit(DEEP.parameter_count)), lambda i: 0.6 * F.sin((i * k).cast("double")))
+    models = windows.select("series_id").distinct().select(
+        "series_id", F.lit(1).alias("input_dim"), F.lit(DEEP.hidden).alias("hidden"), F.lit(DEEP.layers).alias("layers"), F.lit(0.0).alias("dropout"), theta.alias("theta")
+    )
+    out = lstm.reconstruct(scaled.select("series_id", "window_id", "z"), models, s.BY)
+    return out.select("series_id", "window_id", F.posexplode("x_hat").alias("pos", "x_hat")).withColumn("x_hat", F.round("x_hat", 6))
+
+
 @query(
     "S10 A5 A7",
     s.POINT_SQL
