@@ -187,3 +187,35 @@ def test_gate_vector_equals_column_gate(spark):
 def test_points_of_windows(spark):
     out = points(dense(spark, [[1.0, 2.0], [3.0, 4.0]]), GridSpec(length=2)).orderBy("idx").collect()
     assert [(r["idx"], r["value"], str(r["ts"])[11:16]) for r in out] == [(0, 1, "00:00"), (1, 2, "00:30"), (2, 3, "01:00"), (3, 4, "01:30")]
+
+
+def test_chained_queries_survive_stops_and_stray_files(spark, regular, tmp_path):
+    """The first query is stopped between triggers and restarted; a file that its log does not name is not read by the second."""
+    rows = numbered(regular).filter("sequence_id < 3360").cache()
+    src, mid, out, one, two = (str(tmp_path / n) for n in ("src", "mid", "out", "one", "two"))
+    for lo in range(0, 3360, 560):
+        add_file(rows.filter(f"sequence_id >= {lo} and sequence_id < {lo + 560}"), src)
+    schema = "series_id string, window_id long, total double"
+
+    def first(every=None):
+        windows = window_rows(count_windows_stream(stream_of(spark, src, rows.schema), 336, drop_late=True))
+        total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")
+        return jobs.run_to_json(windows.select("series_id", "window_id", total), mid, one, every)
+
+    def second():
+        jobs.run_to_parquet(jobs.follow_json(spark, mid, schema, 1), out, two)
+
+    with pytest.raises(ValueError, match="no log"):
+        jobs.follow_json(spark, mid, schema)
+    job = first("100 milliseconds")
+    while not job.lastProgress or job.lastProgress.batchId < 1:
+        time.sleep(0.1)
+    job.stop()
+    (tmp_path / "mid" / "part-stray.json").write_text('{"series_id": "a", "window_id": 99, "total": 1.0}\n')
+    second()
+    some = spark.read.schema(schema).parquet(out).count()
+    first().awaitTermination()
+    second()
+    second()
+    got = sorted(map(tuple, spark.read.schema(schema).parquet(out).collect()))
+    assert got == [("a", w, float(7 * sum(range(48)))) for w in range(10)] and some <= 10

@@ -183,7 +183,7 @@ def messages_to_json(spark, folder, files_per_trigger: int, every: str | None =
     with keyed_state(spark):
         job = jobs.detect_stream(ordered_windows_stream(typed, 48), params, s.DAY, s.POINT, s.BY, out, fresh_folder(spark, "checkpoint"), every)
     jobs.run_down(job) if every else job.awaitTermination()
-    shown = spark.read.schema("is_anomaly string, anomaly_score string, threshold string, window_start string, window_end string, series_id string, window_id long").json(f"{out}/formatted")
+    shown = spark.read.schema(REPLY_TEXT).json(f"{out}/formatted")
     log = spark.read.parquet(f"{out}/flagged").select("series_id", "window_id", F.size("points").alias("n"))
     both = shown.join(log, ["series_id", "window_id"], "left")
     shown_time = lambda c: s.stamp(fn.parse_time(F.col(c))).alias(c)
@@ -192,6 +192,38 @@ def messages_to_json(spark, folder, files_per_trigger: int, every: str | None =
     )
 
 
+REPLY_TEXT = "is_anomaly string, anomaly_score string, threshold string, window_start string, window_end string, series_id string, window_id long"
+
+
+@query(
+    "S7 K10 K11 K5 M8",
+    s.POINT_SQL
+    + f""" SELECT series_id, window_id, {s.sql_stamp('ws')} AS window_start, {s.sql_stamp('we')} AS window_end, is_flagged AS is_anomaly, round(window_score, 4) AS anomaly_score FROM wpoint""",
+)
+def chained_streams(spark, folder):
+    """Rows to replies in one query with a JSON sink, replies to a typed table in a second that follows it; both are restarted half-way."""
+    params = flows.fit_profile_model(s.prepared(spark, folder), s.DAY, s.POINT, s.BY)
+    grid = points(s.regular_windows(s.value_buckets(spark, folder), s.DAY, keep_tail=True), s.DAY)
+    rows = settle(grid.select("series_id", F.col("idx").alias("sequence_id"), "ts", "value")).df
+    middle = (rows.agg(F.max("sequence_id")).first()[0] or 0) // 2
+    source, between, out, first, second = (fresh_folder(spark, n) for n in ("rows", "replies", "typed", "checkpoint", "checkpoint"))
+    for part in (F.col("sequence_id") < middle, F.col("sequence_id") >= middle):
+        rows.filter(part).write.mode("append").parquet(source)
+        raw = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(source)
+        with keyed_state(spark):
+            job = jobs.run_to_json(jobs.reply_rows(ordered_windows_stream(raw, 48), params, s.DAY, s.POINT, s.BY), between, first)
+        job.awaitTermination()
+        text = jobs.follow_json(spark, between, REPLY_TEXT)
+        typed = text.select(
+            "series_id", "window_id", fn.parse_time(F.col("window_start")).alias("window_start"), fn.parse_time(F.col("window_end")).alias("window_end"),
+            (F.col("is_anomaly") == "true").alias("is_anomaly"), F.col("anomaly_score").cast("double").alias("anomaly_score"),
+        )
+        jobs.run_to_parquet(typed, out, second)
+    done = spark.read.schema(typed.schema).parquet(out)
+    shown = [s.stamp(c).alias(c) for c in ("window_start", "window_end")]
+    return done.select("series_id", "window_id", *shown, "is_anomaly", F.round("anomaly_score", 4).alias("anomaly_score"))
+
+
 @query("K1 K5 K9 K10 K11 S7 S8 D1 M8", MESSAGE_SQL)
 def streamed_messages_to_json(spark, folder):
     """All files in one trigger."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as fn
-from tidemark.operators import baseline, evaluate, labels as lab, score as sc, segment
+from tidemark.operators import baseline, evaluate, labels as lab, score as sc, segment, table_functions
 from tidemark.operators.grid import points, regular_windows
 from tidemark.plans import shared as s
 from tidemark.plans.catalog import query
@@ -349,3 +349,22 @@ def newest_rows(spark, folder):
 )
 def exemplar_windows(spark, folder):
     return evaluate.exemplars(lab.flag_overlap(s.event_windows(spark, folder), s.INTERVALS, s.DAY))
+
+
+@query(
+    "D2 W1 T1",
+    """WITH raw AS (SELECT event_type AS series_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx FROM events)
+SELECT series_id, idx // 96 AS window_id, strftime(arg_min(ts, idx), '%Y-%m-%d %H:%M:%S') AS start_ts, strftime(arg_max(ts, idx), '%Y-%m-%d %H:%M:%S') AS end_ts,
+  round(sum(value), 3) AS total FROM raw GROUP BY 1, 2 HAVING count(*) = 96""",
+)
+def windows_by_table_function(spark, folder):
+    """Count windows by a table function called from SQL, with blocks of a series as partitions."""
+    table_functions.register(spark)
+    events = s.events(spark, folder).select(F.col("event_type").alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rows = table_functions.numbered(events, ["event_id"], 96)
+    return spark.sql(
+        """SELECT series_id, window_id, date_format(start_ts, 'yyyy-MM-dd HH:mm:ss') AS start_ts, date_format(end_ts, 'yyyy-MM-dd HH:mm:ss') AS end_ts,
+  round(aggregate(values, 0D, (a, x) -> a + x), 3) AS total
+FROM count_windows(TABLE({rows}) PARTITION BY (series_id, block) ORDER BY (idx), 96)""",
+        rows=rows,
+    )

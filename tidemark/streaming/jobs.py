@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
@@ -43,6 +43,28 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     start(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint).awaitTermination()
 
 
+def run_to_json(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream to a folder of JSON lines. The sink's log names the files of finished batches, once each."""
+    return start(stream.writeStream.format("json").outputMode("append").option("path", path), checkpoint, every)
+
+
+def follow_json(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
+    """What ``run_to_json`` has committed, as a stream: files of a batch that failed are not in the log and not read.
+
+    A folder that no query has written to is an error: the log is what makes the rows appear once.
+    """
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_spark_metadata")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        raise ValueError(f"{path} has no log of a streaming sink")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+def reply_rows(windows: DataFrame, params: Sized, grid: GridSpec, scorer: ScorerSpec, by: list[str], where: LocaliseSpec = LocaliseSpec()) -> DataFrame:
+    """Windows of a stream to replies as text fields, row by row behind the stateful operator: fit for any streaming sink."""
+    rows = window_rows(windows) if "kind" in windows.columns else windows
+    return format_results(flows.detect(rows, params, grid, scorer, by, where), ["series_id", "window_id"])
+
+
 def detection_sink(
     params: DataFrame | Sized, grid: GridSpec, scorer: ScorerSpec, by: list[str], out: str, where: LocaliseSpec = LocaliseSpec(), formatted: bool = True
 ):
