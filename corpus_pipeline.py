@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
-    return similar.dedup(docs)
+    """Of each class of near copies the document with the smallest id stays: SimHash by anchor-point covering, links checked on whole sets."""
+    return similar.dedup(docs, method=similar.COVERED)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import helpers
-from tidemark.llm import exact_dedup, similar, simhash
+from tidemark.llm import exact_dedup, similar, simhash, wide_simhash
 
 
 def test_exact_groups_awkward_rows(spark):
@@ -237,3 +238,68 @@ def test_shingle_hashes_are_the_shingles():
     assert len(similar.shingle_hashes("a b")) == 1 and len(similar.shingle_hashes(" \n")) == 0
     assert similar.shingle_hashes("A B") == similar.shingle_hashes("a  b") and similar.shingle_hashes("a b") != similar.shingle_hashes("b a")
     assert np.array_equal(similar.shingle_hashes("É b c d e"), similar.shingle_hashes("É B c d e"))
+
+
+def test_covered_blocks_within_one_bit_share_an_anchor():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 23, 64)
+    rows, found = wide_simhash.anchors(x)
+    assert 15 < len(rows) / len(x) < 20
+    for bit in range(23):
+        other, near = wide_simhash.anchors(x ^ (1 << bit))
+        for i in range(len(x)):
+            shared = set(found[rows == i]) & set(near[other == i])
+            assert shared and all((int(x[i]) ^ int(a)).bit_count() <= 2 for a in shared)
+
+
+def test_chance_to_meet_in_a_covered_block():
+    """Pairs of sets at the threshold: nearly all share an anchor, and no limit on differing bits parts them."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(600):
+        pool = rng.integers(0, 1 << 63, 99, dtype=np.uint64)
+        marks = [wide_simhash.words([wide_simhash.fingerprint(np.sort(pool[x]))]) for x in (np.arange(90), np.arange(10, 99))]
+        a, b = (wide_simhash.blocks(m)[0] for m in marks)
+        shared = any(len(np.intersect1d(wide_simhash.anchors(a[[i]])[1], wide_simhash.anchors(b[[i]])[1])) for i in range(wide_simhash.BLOCKS))
+        met += bool(shared and wide_simhash.close(*marks, similar.SIMILAR)[0])
+    assert met / 600 > 0.99
+
+
+def test_near_stage_meets_at_simhash_anchors(spark, monkeypatch):
+    """The stage of the pipeline equals brute force with its candidates from the covering alone: bands of minima are not asked."""
+    monkeypatch.setattr(similar, "runs", None)
+    texts = edited_texts()
+    kept = corpus_pipeline.near(spark, helpers.from_texts(spark, texts), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(plain_roots(texts))
+
+
+def test_large_and_small_anchors_see_the_same_nodes():
+    """No near pair is lost: both ends leave the comparison under one key, whichever way the anchor is compared."""
+    rng = np.random.default_rng(8)
+    bases = rng.integers(0, 1 << 63, (30, 2), dtype=np.uint64)
+    tags = np.repeat(bases, 4, axis=0)
+    tags[:, 0] ^= rng.integers(0, 1 << 20, len(tags), dtype=np.uint64)
+    tags[:, 1] ^= rng.integers(0, 1 << 20, len(tags), dtype=np.uint64)
+    n, node = len(tags), np.arange(len(tags)) + 1000
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if wide_simhash.close(tags[i], tags[j], similar.SIMILAR)}
+    assert n < len(near) < 4 * n
+    key = np.zeros(n, dtype=np.int32)
+    for got in (wide_simhash._starred(key, node, tags, 0.8), wide_simhash._paired(key, node, tags, np.array([0]), np.array([n]), 0.8)):
+        keys = dict(zip(got[1].tolist(), got[0].tolist()))
+        assert set(keys) == {int(node[i]) for pair in near for i in pair}
+        assert all(keys[1000 + i] == keys[1000 + j] for i, j in near)
+        assert all(p <= i and (p == i or (p - 1000, i - 1000) in near) for i, p in zip(got[1].tolist(), got[2].tolist()))
+
+
+def test_rows_that_meet_grow_with_the_group(spark):
+    """Copies of one text with small edits: rows per anchor, not pairs."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    for n in (200,):
+        texts = []
+        for i in range(n):
+            copy = list(base)
+            copy[rng.randrange(300)] = f"x{i}"
+            texts.append(" ".join(copy))
+        nodes = similar.settle(similar.marked(helpers.from_texts(spark, texts), method=similar.COVERED).selectExpr("doc_id as node", "sketch"))
+        assert wide_simhash.met(nodes.df, similar.SIMILAR).rows <= 37 * wide_simhash.BLOCKS * n

@@ -1,9 +1,8 @@
 """Near copies of whole texts: five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
-Fingerprints of majority bits do not decide this: at 0.8 they differ in 15 % of their bits, which no covering
-of 64 bits reaches, and wide ones lost one pair in fifteen (README). Here a text's anchors are the bands of a
-minima sketch: ``BANDS`` groups of ``ROWS`` minima of its shingle hashes, so two texts at the threshold share an anchor
-with probability 0.998, whatever their length and however many texts there are.
+Where texts meet is a ``Method``. ``COVERED``, which the pipeline uses, is SimHash by anchor-point covering: wide fingerprints
+in covered blocks (``wide_simhash``). ``MINIMA`` takes the bands of a minima sketch as anchors: ``BANDS`` groups of ``ROWS``
+minima of the shingle hashes, so two texts at the threshold share an anchor with probability 0.998.
 
 Equal shingle sets are one node. Texts of one anchor form a run, and every pair of a run ends up compared, in two steps:
 
@@ -19,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, wide_simhash
 from tidemark.llm.simhash import components
 from tidemark.session import Sized, settle
 
@@ -86,11 +86,6 @@ def digest(hashes: np.ndarray) -> bytes:
     return hashlib.md5(hashes.tobytes()).digest()
 
 
-def _marks(texts: list[str | None]) -> list[pa.Array]:
-    sets = [shingle_hashes(t) for t in texts]
-    return [pa.array(list(map(digest, sets)), pa.binary()), pa.array(list(map(sketch, sets)), pa.binary())]
-
-
 def anchors() -> Column:
     """One key per band of ``sketch``."""
     width = 2 * ROWS
@@ -126,17 +121,21 @@ def _sketches(values) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype="<u2").reshape(len(values), BANDS * ROWS)
 
 
-def compared(rows: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+def _agree(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    return (x == y).sum(axis=-1) >= _close(similarity)
+
+
+def compared(rows: DataFrame, similarity: float = SIMILAR, method: Method | None = None) -> DataFrame:
     """Links ``a, b`` per (group, chunk) of ``rows`` (group, chunk, node, label, sketch, hashes).
 
     Nodes of one label count as linked. Each pair of different labels is compared unless links found before already
     connect it, so the links are a spanning forest of the similar pairs.
     """
-    near, share = _close(similarity), similarity
+    share, (unpack, close) = similarity, (method or MINIMA)[1:3]
 
     def forest(f: pd.DataFrame) -> tuple[list[int], list[int]]:
         node, sets = f["node"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in f["hashes"]]
-        marks, sizes = _sketches(f["sketch"].tolist()), np.array([len(s) for s in sets])
+        marks, sizes = unpack(f["sketch"].tolist()), np.array([len(s) for s in sets])
         root = np.unique(f["label"].to_numpy(np.int64), return_inverse=True)[1]
         a, b = [], []
         for i in range(len(node) - 1):
@@ -145,7 +144,7 @@ def compared(rows: DataFrame, similarity: float = SIMILAR) -> DataFrame:
                 continue
             fits = np.minimum(sizes[other], sizes[i]) >= share * np.maximum(sizes[other], sizes[i])
             other = other[fits]
-            other = other[(marks[other] == marks[i]).sum(axis=1) >= near]
+            other = other[close(marks[other], marks[i], share)]
             for j in other.tolist():
                 if root[j] == root[i]:
                     continue
@@ -176,39 +175,53 @@ def runs(nodes: DataFrame) -> Sized:
     return settle(common.join_checked(entries, heads, ["key"]))
 
 
+class Method(NamedTuple):
+    """How similar sets meet: the mark of a set, marks as an array, which marks may belong to similar sets, and
+    from nodes (node, sketch) the rows ``key, node, pivot`` of those that meet."""
+
+    mark: Callable[[np.ndarray], bytes | None]
+    unpack: Callable[[list[bytes]], np.ndarray]
+    close: Callable[[np.ndarray, np.ndarray, float], np.ndarray]
+    meet: Callable[[DataFrame, float], Sized]
+
+
+MINIMA = Method(sketch, _sketches, _agree, lambda nodes, similarity: runs(nodes))
+COVERED = Method(wide_simhash.fingerprint, wide_simhash.words, wide_simhash.close, wide_simhash.met)
+
+
 def _with(rows: DataFrame, nodes: Sized, names: dict[str, str], on: str = "node") -> DataFrame:
     """``rows`` with columns of ``nodes`` under new names, found by node number in column ``on``."""
     side = nodes.df.select(F.col("node").alias(on), *[F.col(old).alias(new) for old, new in names.items()])
     return common.join_checked(rows, Sized(side, nodes.rows, nodes.bytes), [on])
 
 
-def stars(met: Sized, nodes: Sized, similarity: float, hot: int) -> DataFrame:
+def stars(met: Sized, nodes: Sized, similarity: float, hot: int, method: Method = MINIMA) -> DataFrame:
     """Rows ``group, chunk, node, label``: every node with the first pivot that is close to it, and the pivots themselves."""
-    near = _close(similarity)
+    unpack, close = method[1:3]
     pairs = met.df.filter("node <> pivot").select("node", "pivot").distinct()
     pairs = _with(_with(pairs, nodes, {"sketch": "_x", "size": "_n"}), nodes, {"sketch": "_y", "size": "_m"}, "pivot")
     pairs = pairs.filter(F.least("_n", "_m") >= similarity * F.greatest("_n", "_m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (_sketches(batch.column(i).to_pylist()) for i in (2, 3))
-            yield batch.select(["node", "pivot"]).filter(pa.array((x == y).sum(axis=1) >= near))
+            x, y = (unpack(batch.column(i).to_pylist()) for i in (2, 3))
+            yield batch.select(["node", "pivot"]).filter(pa.array(close(x, y, similarity)))
 
-    close = pairs.select("node", "pivot", "_x", "_y").mapInArrow(run, "node long, pivot long")
-    chosen = settle(close.groupBy("node").agg(F.min("pivot").alias("group"))).df
+    found = pairs.select("node", "pivot", "_x", "_y").mapInArrow(run, "node long, pivot long")
+    chosen = settle(found.groupBy("node").agg(F.min("pivot").alias("group"))).df
     sizes = settle(chosen.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("chunks")))
     members = common.join_checked(chosen, sizes, ["group"]).select("group", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node")
     heads = sizes.df.select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("group").alias("node"))
     return members.unionByName(heads).withColumn("label", F.col("node"))
 
 
-def mixed_runs(met: Sized, nodes: Sized, roots: Sized | None, similarity: float, hot: int) -> Sized:
+def mixed_runs(met: Sized, nodes: Sized, roots: Sized | None, similarity: float, hot: int, method: Method = MINIMA) -> Sized:
     """Rows ``group, chunk, node, label`` of runs with several components: the nodes close to one of another component.
 
     Nodes outside a run's largest component ask, in blocks of ``hot``; all nodes of the run answer, in blocks as well.
     """
-    near = _close(similarity)
-    labelled = met.df.select("key", "node", "n")
+    unpack, close = method[1:3]
+    labelled = met.df.select("key", "node")
     if roots is None:
         labelled = labelled.withColumn("label", F.col("node"))
     else:
@@ -229,12 +242,12 @@ def mixed_runs(met: Sized, nodes: Sized, roots: Sized | None, similarity: float,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _whole_groups(frames, ["group", "chunk"]):
-            marks, label, size = _sketches(f["sketch"].tolist()), f["label"].to_numpy(np.int64), f["size"].to_numpy()
+            marks, label, size = unpack(f["sketch"].tolist()), f["label"].to_numpy(np.int64), f["size"].to_numpy()
             wanted = np.zeros(len(f), dtype=bool)
             for i in range(len(f) - 1):
                 other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
                 other = other[np.minimum(size[other], size[i]) >= share * np.maximum(size[other], size[i])]
-                other = other[(marks[other] == marks[i]).sum(axis=1) >= near]
+                other = other[close(marks[other], marks[i], share)]
                 if len(other):
                     wanted[i] = wanted[other] = True
             if wanted.any():
@@ -244,16 +257,18 @@ def mixed_runs(met: Sized, nodes: Sized, roots: Sized | None, similarity: float,
     return settle(placed.mapInPandas(run, "group long, chunk int, node long, label long"))
 
 
-def _sets(docs: DataFrame, asked: DataFrame, nodes: Sized, text: str) -> Sized:
+def _sets(docs: DataFrame, asked: DataFrame, nodes: Sized, text: str, method: Method) -> Sized:
     """``node, hashes, sketch`` of the ``asked`` nodes, made again from the texts with their least ids."""
     wanted = settle(common.join_checked(nodes.df.select("node", "digest", "_least"), settle(asked.select("node").distinct()), ["node"]))
     ids = settle(wanted.df.select(common.null_safe(F.col("_least")).alias("_id")).distinct())
     rows = docs.select(common.null_safe(F.col("doc_id")).alias("_id"), F.col(text).alias("_of"))
     rows = common.join_checked(rows, ids, ["_id"], "left_semi")
 
+    mark = method.mark
+
     def make(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_hashes(t) for t in texts]
-        packed = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(map(sketch, sets)), pa.binary())]
+        packed = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(map(mark, sets)), pa.binary())]
         return [pa.array(list(map(digest, sets)), pa.binary()), *packed]
 
     made = common.map_texts(rows, "_of", [], make, "digest binary, hashes binary, sketch binary")
@@ -261,39 +276,40 @@ def _sets(docs: DataFrame, asked: DataFrame, nodes: Sized, text: str) -> Sized:
     return settle(found.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")))
 
 
-def _verified(groups: DataFrame, docs: DataFrame, nodes: Sized, text: str, similarity: float) -> Sized:
-    sets = _sets(docs, groups, nodes, text)
-    return settle(compared(_with(groups, sets, {"hashes": "hashes", "sketch": "sketch"}), similarity).distinct())
+def _verified(groups: DataFrame, docs: DataFrame, nodes: Sized, text: str, similarity: float, method: Method) -> Sized:
+    sets = _sets(docs, groups, nodes, text, method)
+    return settle(compared(_with(groups, sets, {"hashes": "hashes", "sketch": "sketch"}), similarity, method).distinct())
 
 
-def links(docs: DataFrame, nodes: Sized, text: str = "text", similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
+def links(docs: DataFrame, nodes: Sized, text: str = "text", similarity: float = SIMILAR, hot: int = HOT, method: Method = MINIMA) -> DataFrame:
     """Links ``a, b`` of ``nodes`` (node, digest, sketch, size, _least) that connect all similar pairs which share an anchor."""
-    met = runs(nodes.df)
-    first = _verified(settle(stars(met, nodes, similarity, hot)).df, docs, nodes, text, similarity)
+    met = method.meet(nodes.df, similarity)
+    first = _verified(settle(stars(met, nodes, similarity, hot, method)).df, docs, nodes, text, similarity, method)
     found = components(first.df)
-    left = mixed_runs(met, nodes, None if found is None else settle(found), similarity, hot)
+    left = mixed_runs(met, nodes, None if found is None else settle(found), similarity, hot, method)
     if not left.rows:
         return first.df
-    return first.df.unionByName(_verified(left.df, docs, nodes, text, similarity).df)
+    return first.df.unionByName(_verified(left.df, docs, nodes, text, similarity, method).df)
 
 
-def marked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, digest, sketch, size`` of every row: the hash of its shingle set, its minima, its number of shingles; written once."""
+def marked(docs: DataFrame, text: str = "text", method: Method = MINIMA) -> DataFrame:
+    """``doc_id, digest, sketch, size`` of every row: the hash of its shingle set, its mark, its number of shingles; written once."""
+    mark = method.mark
 
     def make(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_hashes(t) for t in texts]
-        marks = [pa.array(list(map(digest, sets)), pa.binary()), pa.array(list(map(sketch, sets)), pa.binary())]
+        marks = [pa.array(list(map(digest, sets)), pa.binary()), pa.array(list(map(mark, sets)), pa.binary())]
         return [*marks, pa.array(list(map(len, sets)), pa.int64())]
 
     return settle(common.map_texts(docs, text, ["doc_id"], make, "digest binary, sketch binary, size long")).df
 
 
-def _classes(docs: DataFrame, text: str, similarity: float, hot: int) -> DataFrame:
+def _classes(docs: DataFrame, text: str, similarity: float, hot: int, method: Method) -> DataFrame:
     """One row per document: ``doc_id, digest, component_id``."""
-    rows = marked(docs, text)
+    rows = marked(docs, text, method)
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     nodes = settle(least.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(docs, nodes, text, similarity, hot))
+    roots = components(links(docs, nodes, text, similarity, hot, method))
     if roots is None:
         named = nodes.df.select("digest", F.col("_least").alias("component_id"))
     else:
@@ -304,22 +320,22 @@ def _classes(docs: DataFrame, text: str, similarity: float, hot: int) -> DataFra
     return common.join_checked(rows.select("doc_id", "digest"), settle(named), ["digest"])
 
 
-def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILAR, hot: int = HOT, method: Method = MINIMA) -> DataFrame:
     """One row per document: ``doc_id, component_id`` (the smallest id reachable over pairs of at least ``similarity``).
 
     Texts with equal shingle sets, and all texts without words, are one class. Null ids are passed over for
     ``component_id``, which is null where a class has no id. Repeated rows give repeated rows; an empty table gives an empty result.
     """
-    return _classes(docs, text, similarity, hot).select("doc_id", "component_id")
+    return _classes(docs, text, similarity, hot, method).select("doc_id", "component_id")
 
 
-def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILAR, hot: int = HOT, method: Method = MINIMA) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of each class of similar texts the row with the smallest id.
 
     Rows are removed by id and text: a row whose id also belongs to a text of another class goes only with its own
     class. Rows without id and classes without any id stay whole; of a repeated id every row in the kept class stays.
     """
-    found = settle(_classes(docs, text, similarity, hot).groupBy("doc_id", "digest").agg(F.first("component_id").alias("component_id"))).df
+    found = settle(_classes(docs, text, similarity, hot, method).groupBy("doc_id", "digest").agg(F.first("component_id").alias("component_id"))).df
     gone = found.filter("doc_id > component_id")
     both = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("doc_id") > F.col("component_id")).alias("_gone")).filter("_gone > 0")
     plain = settle(both.filter("_gone = _all").select("doc_id"))
@@ -330,6 +346,6 @@ def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILAR, hot:
     # Some ids carry texts of several classes: their rows are told apart by the hash of the shingle set.
     clear = common.join_checked(stays, shared, ["doc_id"], "left_anti").select(*docs.columns)
     asked = common.join_checked(stays.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(f"`{text}`").alias("_of")), shared, ["doc_id"], "left_semi")
-    told = common.map_texts(asked, "_of", ["doc_id", "_all"], lambda texts: _marks(texts)[:1], "digest binary")
+    told = common.map_texts(asked, "_of", ["doc_id", "_all"], lambda texts: [pa.array([digest(shingle_hashes(t)) for t in texts], pa.binary())], "digest binary")
     kept = common.join_checked(told, settle(gone.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
     return clear.unionByName(kept.select("_all.*"))
