@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import dense
-from tidemark.config import GridSpec, InjectSpec, LocaliseSpec, ScorerSpec
+from tidemark.config import GridSpec, InjectSpec, LocaliseSpec, ScorerSpec, SplitSpec
 from tidemark.operators import calibrate as cal
 from tidemark.operators import inject as inj
 from tidemark.operators import localise as loc
@@ -55,6 +55,21 @@ def test_short_series_stay_unscored(spark, mode):
     assert flows.evaluate(scored, ["series_id"]).count() == 1
 
 
+def test_only_series_that_may_lack_a_model_are_fitted(spark, monkeypatch):
+    """Spans of all lengths around the 4 windows that a model needs: as the whole way reports, with the long series left out of the fit."""
+    cells = [(f"s{n}", slot, float(slot % 5 + n)) for n in range(4, 31) for slot in (0, n // 2, n - 1)]
+    cells += [("gap", i, None if i == 24 else 1.0) for i in range(30)]
+    buckets = spark.createDataFrame(cells, "series_id string, slot long, value double").distinct()
+    grid, split, scorer = GridSpec(step_seconds=60, length=5), SplitSpec(train=1, val=2, threshold=1), ScorerSpec(mode="point")
+    windows = flows.prepare(buckets, [], grid, split)
+    want = flows.unscored(flows.score_windows(windows, flows.fit_profile_model(windows, grid, scorer, ["series_id"]), scorer, ["series_id"])).collect()
+    fitted, fit = [], flows.fit_profile_model
+    monkeypatch.setattr(flows, "fit_profile_model", lambda w, *a: fitted.extend(w.select("series_id").distinct().collect()) or fit(w, *a))
+    got = flows.unscored_of(buckets, grid, split, scorer).collect()
+    assert sorted(got) == sorted(want) and {r["series_id"] for r in got} >= {f"s{n}" for n in range(5, 20)}
+    assert {r["series_id"] for r in fitted} == {f"s{n}" for n in range(5, 20)} | {"gap"}
+
+
 def test_constant_series_scales_by_one(spark):
     windows = dense(spark, [[5.0] * 4] * 2, split=["train", "train"])
     assert sc.scaler_fit(windows, ["series_id"]).first()["scale"] == 1.0

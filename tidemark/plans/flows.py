@@ -104,6 +104,24 @@ def unscored(scored: DataFrame) -> DataFrame:
     return scored.filter(~F.col("is_scored")).groupBy("series_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
+def unscored_of(buckets: DataFrame, grid: GridSpec, splits: SplitSpec, scorer: ScorerSpec) -> DataFrame:
+    """``unscored`` of unlabelled slot counts with one model per series: only series that may lack a parameter are made
+    dense, fitted and scored.
+
+    Without labels every window is a normal one: a series whose span holds all windows of the development splits, and
+    which has no null slot, has every parameter, and all its windows are scored. The others take the whole way.
+    """
+    by = ["series_id"]
+    if splits.train < 1 or splits.val < 2 or splits.threshold < 1:
+        raise ValueError("a complete model needs 1 train, 2 val and 1 threshold windows")
+    kept = settle(buckets.filter(F.col("series_id").isNotNull() & F.col("slot").isNotNull())).df
+    span = F.max("slot") - F.min("slot") - grid.offset_slots + 1
+    doubtful = kept.groupBy("series_id").agg((F.floor(span / grid.length) < splits.used).alias("_short"), F.count_if(F.col("value").isNull()).alias("_null"))
+    doubtful = settle(doubtful.filter("_short OR _null > 0").select("series_id"))
+    windows = prepare(attach(kept, doubtful, by), [], grid, splits)
+    return unscored(score_windows(windows, fit_profile_model(windows, grid, scorer, by), scorer, by))
+
+
 def evaluate(scored: DataFrame, by: list[str], beta: float = 0.1) -> DataFrame:
     """Metrics over the scored windows of the test split without the edge cases; ``unscored`` counts the rest."""
     rows = scored.filter((F.col("split") == "test") & ~F.col("is_edge_case") & F.col("is_scored"))

@@ -421,9 +421,7 @@ def unscored_series(spark, folder):
     grid, split = GridSpec(step_seconds=86400, length=180), SplitSpec(train=9, val=2, threshold=1)
     key = F.col("o_custkey").cast("string").alias("customer")
     buckets = bucket(read_table(spark, folder, "orders").select(key, "o_orderdate"), "customer", "o_orderdate", 86400)
-    windows = flows.prepare(buckets, [], grid, split)
-    params = flows.fit_profile_model(windows, grid, s.POINT, s.BY)
-    return flows.unscored(flows.score_windows(windows, params, s.POINT, s.BY))
+    return flows.unscored_of(buckets, grid, split, s.POINT)
 
 
 # --- calibration and injection ----------------------------------------------------
