@@ -109,17 +109,20 @@ def unscored_of(buckets: DataFrame, grid: GridSpec, splits: SplitSpec, scorer: S
     dense, fitted and scored.
 
     Without labels every window is a normal one: a series whose span holds all windows of the development splits, and
-    which has no null slot, has every parameter, and all its windows are scored. The others take the whole way.
+    which has no null slot, has every parameter, and all its windows are scored. A series without a window for the
+    threshold split has no threshold, and none is scored. The others take the whole way.
     """
     by = ["series_id"]
     if splits.train < 1 or splits.val < 2 or splits.threshold < 1:
         raise ValueError("a complete model needs 1 train, 2 val and 1 threshold windows")
     kept = settle(buckets.filter(F.col("series_id").isNotNull() & F.col("slot").isNotNull())).df
     span = F.max("slot") - F.min("slot") - grid.offset_slots + 1
-    doubtful = kept.groupBy("series_id").agg((F.floor(span / grid.length) < splits.used).alias("_short"), F.count_if(F.col("value").isNull()).alias("_null"))
-    doubtful = settle(doubtful.filter("_short OR _null > 0").select("series_id"))
+    spans = settle(kept.groupBy("series_id").agg(F.floor(span / grid.length).cast("long").alias("n_windows"), F.count_if(F.col("value").isNull()).alias("_null"))).df
+    n, held = F.col("n_windows"), splits.train + splits.val
+    doubtful = settle(spans.filter((n > held) & ((n < splits.used) | (F.col("_null") > 0))).select("series_id"))
     windows = prepare(attach(kept, doubtful, by), [], grid, splits)
-    return unscored(score_windows(windows, fit_profile_model(windows, grid, scorer, by), scorer, by))
+    found = unscored(score_windows(windows, fit_profile_model(windows, grid, scorer, by), scorer, by))
+    return spans.filter((n > 0) & (n <= held)).select("series_id", "n_windows").unionByName(found)
 
 
 def evaluate(scored: DataFrame, by: list[str], beta: float = 0.1) -> DataFrame:
