@@ -303,3 +303,36 @@ def test_rows_that_meet_grow_with_the_group(spark):
             texts.append(" ".join(copy))
         nodes = similar.settle(similar.marked(helpers.from_texts(spark, texts), method=similar.COVERED).selectExpr("doc_id as node", "sketch"))
         assert wide_simhash.met(nodes.df, similar.SIMILAR).rows <= 37 * wide_simhash.BLOCKS * n
+
+
+def test_components_that_meet_are_compared_once(spark):
+    """Copies just below the threshold share many anchors: a node is one row of the comparison, not one per anchor."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    n, texts = 150, []
+    for i in range(n):
+        copy = list(base)
+        for k, at in enumerate(rng.sample(range(300), 4)):
+            copy[at] = f"x{i}y{k}"
+        texts.append(" ".join(copy))
+    df = helpers.from_texts(spark, texts)
+    nodes = similar.settle(similar.marked(df, method=similar.COVERED).selectExpr("doc_id as node", "doc_id as _least", "digest", "sketch", "size"))
+    met = wide_simhash.met(nodes.df, similar.SIMILAR)
+    assert met.rows > 5 * n
+    left = similar.mixed_runs(met, nodes, None, similar.SIMILAR, similar.HOT, similar.COVERED)
+    assert left.rows <= n and len({r["group"] for r in left.df.select("group").distinct().collect()}) == 1
+    for hot in (similar.HOT, 6):
+        got = {r["doc_id"]: r["component_id"] for r in similar.classes(df, hot=hot, method=similar.COVERED).collect()}
+        assert [got[i] for i in range(n)] == plain_roots(texts)
+
+
+def test_large_chains_are_left_to_their_runs(spark):
+    """A cluster above ``hot`` whose runs are small keeps its runs; its pairs are still all together in one of them."""
+    rows = [(100 + i, node, i, i) for i in range(40) for node in (i, i + 1)]
+    met = similar.settle(spark.createDataFrame(rows, "key long, node long, pivot long, head long"))
+    nodes = similar.settle(spark.range(50).withColumnRenamed("id", "node"))
+    for hot, groups in ((41, 1), (40, 40)):
+        got = {}
+        for r in similar.clusters(met, nodes, None, hot).collect():
+            got.setdefault(r["key"], set()).add(r["node"])
+        assert len(got) == groups and all(any({i, i + 1} <= g for g in got.values()) for i in range(40))

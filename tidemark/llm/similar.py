@@ -7,11 +7,12 @@ minima of the shingle hashes, so two texts at the threshold share an anchor with
 Equal shingle sets are one node. Texts of one anchor form a run, and every pair of a run ends up compared, in two steps:
 
 1. every node goes to the first node (pivot) of its runs whose sketch is close, and each such star is compared;
-2. in runs that still hold several components, nodes with a close node of another component are compared.
+2. components that still meet in a run are put into clusters, and nodes with a close node of another component of their
+   cluster are compared: a node is one row, however many runs it is in.
 
 A comparison takes whole sets of 64-bit shingle hashes, inside a task, and emits a spanning forest: at most one row
-a node. Stars and runs above ``HOT`` nodes are dealt over chunks; only their pivot, or the nodes outside their
-largest component, are copied.
+a node. Stars and clusters above ``HOT`` nodes are dealt over chunks; only their pivot, or the nodes outside their
+largest component, are copied. Such a cluster is compared run by run where its runs hold fewer pairs than it does as a whole.
 """
 
 from __future__ import annotations
@@ -169,15 +170,15 @@ def compared(rows: DataFrame, similarity: float = SIMILAR, method: Method | None
 
 
 def runs(nodes: DataFrame) -> Sized:
-    """Rows ``key, node, pivot, n`` of all anchors with two nodes or more; the pivot is the first node."""
+    """Rows ``key, node, pivot, head, n`` of all anchors with two nodes or more; the pivot is the first node, and the head as well."""
     entries = nodes.filter("sketch IS NOT NULL").select("node", F.explode(anchors()).alias("key"))
-    heads = settle(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    heads = settle(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     return settle(common.join_checked(entries, heads, ["key"]))
 
 
 class Method(NamedTuple):
     """How similar sets meet: the mark of a set, marks as an array, which marks may belong to similar sets, and
-    from nodes (node, sketch) the rows ``key, node, pivot`` of those that meet."""
+    from nodes (node, sketch) the rows ``key, node, pivot, head`` of those that meet."""
 
     mark: Callable[[np.ndarray], bytes | None]
     unpack: Callable[[list[bytes]], np.ndarray]
@@ -215,19 +216,57 @@ def stars(met: Sized, nodes: Sized, similarity: float, hot: int, method: Method
     return members.unionByName(heads).withColumn("label", F.col("node"))
 
 
-def mixed_runs(met: Sized, nodes: Sized, roots: Sized | None, similarity: float, hot: int, method: Method = MINIMA) -> Sized:
-    """Rows ``group, chunk, node, label`` of runs with several components: the nodes close to one of another component.
+def _shares(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of ``rows`` (by, label) the largest component ``major``, its nodes ``_m``, all nodes ``_n``, all components ``_k``."""
+    parts = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_c"))
+    return parts.groupBy(*by).agg(F.max_by("label", F.struct("_c", "label")).alias("major"), F.max("_c").alias("_m"), F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
 
-    Nodes outside a run's largest component ask, in blocks of ``hot``; all nodes of the run answer, in blocks as well.
+
+def clusters(met: Sized, nodes: Sized, roots: Sized | None, hot: int) -> DataFrame | None:
+    """Rows ``key, node, label`` of the components that meet others in a run: those connected over runs share a key.
+
+    Two nodes of one run are in one cluster, so no pair of a run is lost. A cluster above ``hot`` nodes may be a long
+    chain of small runs: it is left to its runs where these hold fewer pairs than the whole. None if no run is mixed.
+    """
+
+    def labelled(rows: DataFrame, on: str = "node", to: str = "label") -> DataFrame:
+        if roots is None:
+            return rows.withColumn(to, F.col(on))
+        side = Sized(roots.df.select(F.col("node").alias(on), F.col("root").alias("_root")), roots.rows, roots.bytes)
+        return common.join_checked(rows, side, [on], "left").withColumn(to, F.coalesce("_root", on)).drop("_root")
+
+    pairs = met.df.filter("node <> head").select("node", "head").distinct()
+    pairs = labelled(labelled(pairs, "node", "a"), "head", "b").filter("a <> b")
+    found = components(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).df)
+    if found is None:
+        return None
+    found = settle(found.select(F.col("node").alias("label"), F.col("root").alias("key")))
+    whole = settle(common.join_checked(labelled(nodes.df.select("node")), found, ["label"]).select("key", "node", "label"))
+    sizes = settle(_shares(whole.df, ["key"]), large=F.count_if(F.col("_n") > hot))
+    if not sizes.seen["large"]:
+        return whole.df
+    held = F.col("_n") * (F.col("_n") - F.col("_m"))
+    large = settle(sizes.df.filter(F.col("_n") > hot).select("key", held.alias("_pairs")))
+    own = settle(common.join_checked(whole.df, large, ["key"]).withColumnRenamed("key", "cluster"))
+    by_run = settle(common.join_checked(met.df.select("key", "node"), own, ["node"]))
+    cheaper = _shares(by_run.df, ["cluster", "key"]).groupBy("cluster").agg(F.sum(held).alias("_runs"))
+    cheaper = common.join_checked(cheaper, Sized(large.df.withColumnRenamed("key", "cluster"), large.rows, large.bytes), ["cluster"])
+    apart = settle(cheaper.filter("_runs < _pairs").select("cluster"))
+    kept = common.join_checked(whole.df, Sized(apart.df.withColumnRenamed("cluster", "key"), apart.rows, apart.bytes), ["key"], "left_anti")
+    return kept.unionByName(common.join_checked(by_run.df, apart, ["cluster"], "left_semi").select("key", "node", "label"))
+
+
+def mixed_runs(met: Sized, nodes: Sized, roots: Sized | None, similarity: float, hot: int, method: Method = MINIMA) -> Sized | None:
+    """Rows ``group, chunk, node, label`` of clusters of several components: the nodes close to one of another component.
+
+    Nodes outside a cluster's largest component ask, in blocks of ``hot``; all its nodes answer, in blocks as well.
+    None if no run holds several components.
     """
     unpack, close = method[1:3]
-    labelled = met.df.select("key", "node")
-    if roots is None:
-        labelled = labelled.withColumn("label", F.col("node"))
-    else:
-        labelled = common.join_checked(labelled, roots, ["node"], "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"))
-    largest = parts.groupBy("key").agg(F.max_by("label", F.struct("_c", "label")).alias("major"), F.max("_c").alias("_m"), F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    labelled = clusters(met, nodes, roots, hot)
+    if labelled is None:
+        return None
+    largest = _shares(labelled, ["key"])
     blocks = lambda c: F.ceil(c / hot).cast("int")
     mixed = settle(largest.filter("_k > 1").select("key", "major", blocks(F.col("_n")).alias("all"), blocks(F.col("_n") - F.col("_m")).alias("asking")))
     rows = common.join_checked(labelled, mixed, ["key"])
@@ -287,7 +326,7 @@ def links(docs: DataFrame, nodes: Sized, text: str = "text", similarity: float =
     first = _verified(settle(stars(met, nodes, similarity, hot, method)).df, docs, nodes, text, similarity, method)
     found = components(first.df)
     left = mixed_runs(met, nodes, None if found is None else settle(found), similarity, hot, method)
-    if not left.rows:
+    if left is None or not left.rows:
         return first.df
     return first.df.unionByName(_verified(left.df, docs, nodes, text, similarity, method).df)
 

@@ -140,7 +140,7 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _paired(key, node, tags, starts, sizes, similarity):
-    """Near nodes of small anchors: pairs at every distance in the order, then the connected ones share a key."""
+    """Near nodes of small anchors: pairs at every distance in the order, then the connected ones share a key and a head."""
     pos, size = np.arange(len(key)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
     a, b = [], []
     at = np.arange(len(key))
@@ -160,7 +160,8 @@ def _paired(key, node, tags, starts, sizes, similarity):
         np.minimum.at(root, b, least)
         root = root[root]
     met = np.union1d(a, b)
-    return _mixed(key[met], node[root[met]]), node[met], node[first[met]]
+    head = node[root[met]]
+    return _mixed(key[met], head), node[met], node[first[met]], head
 
 
 def _starred(key, node, tags, similarity):
@@ -177,11 +178,12 @@ def _starred(key, node, tags, similarity):
             met |= near
             near[:i] = False
             first[near & (first == np.arange(len(key)))] = i
-    return _mixed(key[met], np.zeros(int(met.sum()), np.int64)), node[met], node[first[met]]
+    n = int(met.sum())
+    return _mixed(key[met], np.zeros(n, np.int64)), node[met], node[first[met]], np.repeat(node[met][:1], n)
 
 
 def met(nodes: DataFrame, similarity: float) -> Sized:
-    """Rows ``key, node, pivot``: per anchor the nodes with a near one, and the first node near to each."""
+    """Rows ``key, node, pivot, head``: per anchor the nodes with a near one, the first node near to each, and the first of its key."""
 
     def near(key, node, tags):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -194,7 +196,7 @@ def met(nodes: DataFrame, similarity: float) -> Sized:
         for s, n in zip(starts[sizes > PAIRED], sizes[sizes > PAIRED]):
             found.append(_starred(key[s : s + n], node[s : s + n], tags[s : s + n], similarity))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "node", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "node", "pivot", "head"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -215,4 +217,4 @@ def met(nodes: DataFrame, similarity: float) -> Sized:
 
     common.small_batches(nodes.sparkSession)
     placed = entries(nodes).repartition("key").sortWithinPartitions("key", "node")
-    return settle(placed.mapInArrow(run, "key long, node long, pivot long"))
+    return settle(placed.mapInArrow(run, "key long, node long, pivot long, head long"))
