@@ -8,7 +8,7 @@ from tidemark.operators import calibrate as cal
 from tidemark.operators import inject as inj
 from tidemark.operators import localise as loc
 from tidemark.operators import score as sc
-from tidemark.operators.quantile import exact_percentiles
+from tidemark.operators.quantile import exact_percentiles, ranked_percentiles
 from tidemark.operators.running import running_sums
 from tidemark.plans import flows
 from tidemark.session import attach
@@ -300,3 +300,33 @@ def test_global_model_flow(spark):
     tau = np.percentile(ps[7:10], 90)
     assert np.allclose([r["window_score"] for r in got], ps.max(axis=1))
     assert [r["is_flagged"] for r in got] == list((ps > tau).sum(axis=1) >= 1)
+
+
+def test_ranked_percentiles_equal_the_sorted_list(spark):
+    """Distinct values with counts: ties, one value, a null and far more fractions than values give NumPy's interpolation."""
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.integers(0, 40, 1000) / 8, "b": np.array([2.5]), "c": rng.normal(size=301), "d": np.repeat([1.0, 3.0], [1, 500])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None)], "k string, v double")
+    counted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    fractions = [0.0, 1.0, 0.3333, *cal.CANDIDATE_FRACTIONS]
+    got = {(r["k"], r["cut"]): r["threshold"] for r in ranked_percentiles(counted, ["k"], "v", "c", fractions).collect()}
+    want = {(k, i): np.quantile(x, p) for k, x in groups.items() for i, p in enumerate(sorted(set(fractions)))}
+    assert set(got) == set(want) and all(abs(got[at] - want[at]) < 1e-9 for at in want)
+    alone = ranked_percentiles(counted.filter("k = 'c'").drop("k"), [], "v", "c", fractions).collect()
+    assert {r["cut"]: r["threshold"] for r in alone} == {i: got["c", i] for i in range(len(set(fractions)))}
+    assert ranked_percentiles(counted.limit(0), ["k"], "v", "c", fractions).collect() == []
+
+
+def test_an_unbounded_pool_is_read_once(spark):
+    """Collapsed scores are written: neither totals nor thresholds go over the pool again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    pool = spark.range(400).selectExpr("id % 90 / 7.0D AS score", "id % 3 = 0 AS is_anomaly").mapInPandas(count, "score double, is_anomaly boolean")
+    points = spark.createDataFrame([(0, 1.0), (1, 5.5)], "cut int, threshold double")
+    assert cal.score_curve(pool, points, [], bounded=False).count() == 2 and seen.value == 400
+    assert cal.score_candidates(pool, [], bounded=False).count() == 198 and seen.value == 800

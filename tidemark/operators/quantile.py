@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import running_sums
@@ -100,3 +100,33 @@ def exact_percentiles(
     a, b = resolve(lower, "_a"), resolve(upper, "_b")
     part = F.col("rank") - lower
     return picked.select(*by, "cut", "fraction", (a + (b - a) * part).alias("threshold"))
+
+
+def _fewer(ranks: Column, n: int, than: Column) -> Column:
+    """How many of the ``n`` sorted ``ranks`` are less than ``than``: a search by halves."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    more = lambda found, step: F.when(F.get(ranks, found + step - 1) < than, step).otherwise(0)
+    return F.aggregate(steps, F.lit(0), lambda found, step: found + more(found, step))
+
+
+def ranked_percentiles(counted: DataFrame, by: list[str], value: str, rows: str, fractions: list[float]) -> DataFrame:
+    """``by, cut, fraction, threshold`` like ``exact_percentiles``, of distinct values with their row counts, for many fractions.
+
+    One running sum over range partitions says which ranks a value takes; only values that take a wanted rank go on.
+    """
+    wanted = sorted(set(fractions))
+    grid = F.array(*[F.lit(float(p)) for p in wanted])
+    present = counted.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.col(rows).alias("_c"))
+    totals = settle(present.groupBy(*by).agg(F.sum("_c").alias("_n"))).df
+    exact = F.transform(grid, lambda p: p * (F.col("_n") - 1))
+    ends = F.concat(F.transform(exact, lambda r: F.floor(r)), F.transform(exact, lambda r: F.ceil(r)))
+    asked = attach(running_sums(present, by, ["_v"], ["_c"]), totals.select(*by, F.array_sort(ends).alias("_ranks")), by)
+    first, last = (_fewer(F.col("_ranks"), 2 * len(wanted), than) for than in (F.col("upto__c") - F.col("_c"), F.col("upto__c")))
+    taken = asked.withColumn("_first", first).withColumn("_last", last)
+    taken = taken.filter("_last > _first")
+    taken = settle(taken.select(*by, "_v", F.explode(F.array_distinct(F.slice("_ranks", F.col("_first") + 1, F.col("_last") - F.col("_first")))).alias("_rank"))).df
+    cuts = totals.select(*by, "_n", F.posexplode(grid).alias("cut", "fraction")).withColumn("rank", F.col("fraction") * (F.col("_n") - 1))
+    for name, rank in (("_a", F.floor("rank")), ("_b", F.ceil("rank"))):
+        cuts = cuts.withColumn("_rank", rank).join(taken.withColumnRenamed("_v", name), [*by, "_rank"]).drop("_rank")
+    part = F.col("rank") - F.floor("rank")
+    return cuts.select(*by, "cut", "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("threshold"))

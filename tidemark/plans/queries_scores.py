@@ -529,11 +529,16 @@ SELECT kind, cut, round(t, 6) AS threshold, count(*) FILTER (score > t AND is_an
 FROM cands CROSS JOIN pool GROUP BY kind, cut, t""",
 )
 def pooled_score_curve(spark, folder):
-    """Both candidate lists on one pool of all rows, spread over range partitions."""
+    """Both candidate lists on one pool of all rows: read once, equal scores collapsed, spread over range partitions."""
     pool = s.read_table(spark, folder, "lineitem").select(F.col("l_extendedprice").cast("double").alias("score"), (F.col("l_returnflag") == "R").alias("is_anomaly"))
-    lists = {"percentile": cal.score_candidates(pool, [], bounded=False), "even": cal.even_candidates(pool, [])}
-    curves = [cal.score_curve(pool, listed, [], bounded=False).select(F.lit(kind).alias("kind"), "*") for kind, listed in lists.items()]
-    return curves[0].unionByName(curves[1]).withColumn("threshold", F.round("threshold", 6))
+    each = cal.distinct_scores(pool, [], bounded=False)
+    n = len(cal.CANDIDATE_FRACTIONS)
+    even = cal.even_candidates(each.withColumnRenamed("value", "score"), [])
+    # One running sum for both lists: the even ones are numbered after the percentiles.
+    listed = cal.distinct_candidates(each, []).unionByName(even.withColumn("cut", F.col("cut") + n))
+    out = cal.distinct_curve(each, listed, [], bounded=False).withColumn("threshold", F.round("threshold", 6))
+    kind = F.when(F.col("cut") < n, "percentile").otherwise("even")
+    return out.select(kind.alias("kind"), F.when(F.col("cut") < n, F.col("cut")).otherwise(F.col("cut") - n).alias("cut"), *out.columns[1:])
 
 
 @query(
