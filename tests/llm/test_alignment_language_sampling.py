@@ -350,3 +350,49 @@ def test_alignment_awkward_rows(spark):
     blank = token_alignment.align(df.filter("text is null"), token_alignment.Tokenizers(spark, *FILES)).collect()
     assert [r["count_sum"] for r in blank] == [0, 0]
     assert json.loads(open(FILES[0], encoding="utf-8").read())["model"]["type"] == "BPE"
+
+
+def made_texts(n):
+    return [" ".join(f"w{i}x{j} and" for j in range(40)) for i in range(n)]
+
+
+def test_alignment_rows_do_not_grow_with_their_block(spark):
+    df = helpers.from_texts(spark, made_texts(400)).coalesce(1)
+    rows = token_alignment.blocks(df, token_alignment.Tokenizers(spark, *FILES), "text", ["doc_id"]).collect()
+    assert max(sum(len(v) for v in r if isinstance(v, bytes | bytearray | list)) for r in rows) < 8_000
+    assert sorted(r["c0"] for r in rows if r["at"] is None) == sorted(r["doc_id"] for r in df.collect())
+
+
+def test_alignment_parts_do_not_change_rows(spark, libraries, monkeypatch):
+    """Units, documents and pairs that leave in many parts, and batches that end inside a block."""
+    pair = token_alignment.Pair(open(FILES[0], encoding="utf-8").read(), open(FILES[1], "rb").read())
+    texts = [None, "", *HARD, *made_texts(20), *HARD]
+
+    def rows():
+        parts = list(token_alignment._block(pair, texts))
+        docs = [r for p in parts if "at" not in p for r in zip(*p.values())]
+        return docs, [tuple(map(int, r)) for p in parts if "at" in p for r in zip(*p.values())]
+
+    whole = rows()
+    assert len(whole[0]) == len(texts)
+    for name, n in (("_UNITS", 7), ("_PAIRS", 10), ("_COUNT_BYTES", 50)):
+        monkeypatch.setattr(token_alignment, name, n)
+    # Units of other parts, the same numbers of pairs.
+    assert rows() == whole
+    with_small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    before = {k: spark.conf.get(k) for k in with_small}
+    try:
+        for k, v in with_small.items():
+            spark.conf.set(k, v)
+        got = token_alignment.align(helpers.from_texts(spark, texts), token_alignment.Tokenizers(spark, *FILES), columns=["doc_id"], size=200).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r)[1:] for r in sorted(got)] == plain_alignments(texts, libraries)
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**31 - 1), st.integers(1, 2**32 - 1)), unique_by=lambda x: x[0]))
+def test_packed_counts_come_back(found):
+    number, times = np.array(sorted(found), np.int64).reshape(-1, 2).T
+    back = token_alignment.unpacked(token_alignment.packed(number, times))
+    assert [b.tolist() for b in back] == [number.tolist(), times.tolist()]

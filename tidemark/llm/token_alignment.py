@@ -8,9 +8,11 @@ an irregular group, and the shift changes by the difference of its token counts.
 
 Texts are handled in blocks of about ``BLOCK_BYTES``. A single space between two letters or signs always
 begins a token of either tokenizer, so a block's texts are cut there into units, and each distinct unit is encoded and
-aligned once. A block is one row: counts per document, the unit numbers of its documents, the token pairs of its units.
-Spark sums the pairs of all blocks, finds the highest count of every B id, and joins the counts back per (block, pair):
-a pair costs a block one row, however often it occurs there, and no document's tokens are shuffled by pair.
+aligned once. A block writes one row per document (its counts, and how often it has which of the block's token pairs)
+and one per distinct pair. Spark sums the pairs of all blocks, finds the highest count of every B id, and joins the counts
+back per (block, pair): a pair costs a block one row, however often it occurs there, and no document's tokens are shuffled
+by pair. A block's counts and then its documents come to one task in that order and are read as they come, so
+neither a row nor a task holds a whole block.
 
 Texts that are null, empty, or that a tokenizer does not give back byte by byte have no tokens and zeros. Rows are
 independent: repeated ids and rows count each, an empty table gives an empty result.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
@@ -46,6 +48,9 @@ _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _COMMON = re.compile("[\t\n\r -~À-ɏ]*").fullmatch
 # Distinct units that are encoded and aligned at a time.
 _UNITS = 1 << 14
+# Rows of pairs, and bytes of the documents' pairs, that leave a worker at a time.
+_PAIRS = 1 << 16
+_COUNT_BYTES = 1 << 20
 _ADDED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
@@ -190,12 +195,25 @@ def shown(number: list[str], a: list[int], b: list[int], first_a: list[int], fir
 
 
 class Units:
-    """The distinct units of a block, encoded and aligned: per unit its counts, its printed groups and its links."""
+    """The distinct units of a block, encoded and aligned: per unit its counts, its printed groups and its links.
+
+    A link is a number of ``pairs``, which rise. ``words`` is emptied on the way.
+    """
 
     def __init__(self, pair: Pair, words: list[str]):
-        parts = [self._part(pair, words[i : i + _UNITS]) for i in range(0, len(words), _UNITS)] or [self._part(pair, [])]
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.links = (np.concatenate(x) for x in list(zip(*parts))[:5])
-        self.text = [t for part in parts for t in part[5]]
+        parts, self.text = [], []
+        words.reverse()
+        while words or not parts:
+            part = words[: -_UNITS - 1 : -1]
+            del words[-_UNITS:]
+            *counts, said = self._part(pair, part)
+            self.text += said
+            parts.append(counts)
+        n_a, n_b, n_groups, n_links, pairs, links = zip(*parts)
+        self.n_a, self.n_b, self.n_groups, self.n_links = map(np.concatenate, (n_a, n_b, n_groups, n_links))
+        self.pairs = np.unique(np.concatenate(pairs))
+        self.links = np.concatenate([np.searchsorted(self.pairs, p).astype(np.int32)[at] for p, at in zip(pairs, links)])
+        self.first = np.cumsum(self.n_links) - self.n_links
         self.fits = self.n_a > 0
 
     @staticmethod
@@ -214,7 +232,36 @@ class Units:
         said = [";".join(text[s : s + n]) for s, n in zip((upto - n_groups).tolist(), n_groups.tolist())]
         link_a, link_b = links(ends_a, ends_b)
         n_links = np.diff(np.searchsorted(link_a, stops), prepend=0)
-        return n_a, n_b, n_groups, n_links, flat_a[link_a] << 32 | flat_b[link_b], said
+        pairs, at = np.unique(flat_a[link_a] << 32 | flat_b[link_b], return_inverse=True)
+        return n_a, n_b, n_groups, n_links, pairs, at.astype(np.int32), said
+
+    def counted(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that the units ``of`` a text link, as rising numbers, and how often; long texts in stretches."""
+        found = []
+        for i in range(0, len(of), _UNITS):
+            part = of[i : i + _UNITS]
+            n = self.n_links[part]
+            at = np.repeat(self.first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.unique(self.links[at], return_counts=True))
+        if len(found) == 1:
+            return found[0]
+        number, times = map(np.concatenate, zip(*found)) if found else np.zeros((2, 0), np.int64)
+        number, at = np.unique(number, return_inverse=True)
+        return number, np.bincount(at, weights=times, minlength=len(number)).astype(np.int64)
+
+
+def packed(number: np.ndarray, times: np.ndarray) -> bytes:
+    """Rising numbers as steps, then counts, of 32 bits each, first bytes first: most of the rest is zero and compresses."""
+    both = np.empty((2, len(number)), "<u4")
+    both[0], both[1] = number, times
+    both[0, 1:] -= both[0, :-1].copy()
+    return both.view(np.uint8).reshape(2, len(number), 4).transpose(0, 2, 1).tobytes()
+
+
+def unpacked(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(data, np.uint8)
+    both = np.ascontiguousarray(flat.reshape(2, 4, len(flat) // 8).transpose(0, 2, 1)).view("<u4").reshape(2, len(flat) // 8).astype(np.int64)
+    return np.cumsum(both[0]), both[1]
 
 
 class Tokenizers:
@@ -230,71 +277,77 @@ class Tokenizers:
         return common.kept("pair", self.name, lambda: Pair(*self.shared.value))
 
 
-def _nested(values: list[np.ndarray] | list[list], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values], dtype=np.int64)]).astype(np.int32)
-    flat = pa.concat_arrays([v if isinstance(v, pa.Array) else pa.array(v, kind) for v in values]) if values else pa.array([], kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+_PER_DOCUMENT = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "counts": pa.binary()}
+_PER_PAIR = {"at": pa.int32(), "pair": pa.int64(), "times": pa.int64()}
+_ROW = "block long, at int, pair long, times long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, counts binary"
 
 
-def _block(pair: Pair, texts: list[str | None]) -> dict[str, list]:
-    """The parts of a block's row: per document, per unit, per distinct token pair."""
+def _block(pair: Pair, texts: Iterable[str | None]) -> Iterator[dict[str, list | np.ndarray]]:
+    """The rows of a block in parts: of its documents, in their order, then of its distinct token pairs."""
     numbers = _Ids()
     held = [np.fromiter(map(numbers.__getitem__, pair.units(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
-    units = Units(pair, list(numbers))
-    out = {"n_a": [], "n_b": [], "n_groups": [], "n_links": [], "groups_sha256": [], "units": []}
+    words = list(numbers)
+    del numbers
+    units = Units(pair, words)
+    times = np.zeros(len(units.pairs), np.int64)
+    out, size = {n: [] for n in _PER_DOCUMENT}, 0
     for of in held:
         if len(of) and not units.fits[of].all():
             of = of[:0]
         for name in ("n_a", "n_b", "n_groups", "n_links"):
-            out[name].append(int(getattr(units, name)[of].sum()) if len(of) else 0)
+            out[name].append(int(getattr(units, name)[of].sum()))
         said = ";".join(map(units.text.__getitem__, of.tolist()))
         out["groups_sha256"].append(hashlib.sha256(said.encode()).hexdigest() if len(of) else "")
-        out["units"].append(of)
-    used = [u for u in out["units"] if len(u)]
-    times = np.bincount(np.concatenate(used), minlength=len(numbers)) if used else np.zeros(len(numbers), np.int64)
-    pairs, at = np.unique(units.links, return_inverse=True)
-    counts = np.bincount(at, weights=np.repeat(times, units.n_links), minlength=len(pairs)).astype(np.int64)
-    out |= {"pairs": pairs, "times": counts, "unit_links": units.n_links.astype(np.int32), "link_pairs": at.astype(np.int32)}
-    return out
-
-
-_PER_DOCUMENT = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string()}
-_PER_BLOCK = {"pairs": pa.int64(), "times": pa.int64(), "unit_links": pa.int32(), "link_pairs": pa.int32()}
-_BLOCK = "n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, units array<binary>, pairs array<long>, times array<long>, unit_links array<int>, link_pairs array<int>"
+        number, n = units.counted(of)
+        times[number] += n
+        out["counts"].append(packed(number, n))
+        size += len(out["counts"][-1])
+        if size > _COUNT_BYTES:
+            yield out
+            out, size = {n: [] for n in _PER_DOCUMENT}, 0
+    if out["n_a"]:
+        yield out
+    # Pairs that only occur in texts without tokens are left out; no document asks for them.
+    used = np.flatnonzero(times)
+    for i in range(0, len(used), _PAIRS):
+        at = used[i : i + _PAIRS]
+        yield {"at": at, "pair": units.pairs[at], "times": times[at]}
 
 
 def blocks(docs: DataFrame, tokenizers: Tokenizers, text: str, columns: list[str], size: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block; ``c0, c1, ..`` hold the ``columns`` of its documents."""
+    """One row per document and one per block and distinct pair (its number in ``at``); ``c0, c1, ..`` hold the ``columns``."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(text).alias("_text"))
+    names = ["block", *_PER_PAIR, *_PER_DOCUMENT, *[f"c{i}" for i in range(len(columns))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers.pair()
 
-        def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(parts).combine_chunks()
-            found = _block(pair, whole.column(len(columns)).to_pylist())
-            kept = [_nested([whole.column(i).combine_chunks()], whole.schema.field(i).type) for i in range(len(columns))]
-            docs_of = [_nested([pa.array(found[n], k)], k) for n, k in _PER_DOCUMENT.items()]
-            units = _nested([pa.array([u.tobytes() for u in found["units"]], pa.binary())], pa.binary())
-            of_block = [_nested([pa.array(found[n], k)], k) for n, k in _PER_BLOCK.items()]
-            names = [f"c{i}" for i in range(len(columns))] + [*_PER_DOCUMENT, "units", *_PER_BLOCK]
-            return pa.RecordBatch.from_arrays([*kept, *docs_of, units, *of_block], names=names)
-
-        parts, held = [], 0
+        def made(parts: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+            whole, begin = pa.Table.from_batches(parts), 0
+            for found in _block(pair, (t.as_py() for t in whole.column(len(columns)))):
+                n, of_docs = len(found["at" if "at" in found else "n_a"]), "at" not in found
+                values = {k: pa.array(found[k], kind) if k in found else pa.nulls(n, kind) for k, kind in (_PER_PAIR | _PER_DOCUMENT).items()}
+                kept = [whole.column(i).slice(begin, n).combine_chunks() if of_docs else pa.nulls(n, whole.schema.field(i).type) for i in range(len(columns))]
+                begin += n * of_docs
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *values.values(), *kept], names=names)
+            common.give_back()
+
+        parts, held, block = [], 0, 0
         for batch in batches:
             for part in common.slices(batch, size):
                 upto = sum(b.as_py() or 0 for b in pa.compute.binary_length(part.column(len(columns))))
                 if parts and held + upto > size:
-                    yield made(parts)
-                    parts, held = [], 0
+                    yield from made(parts, block)
+                    parts, held, block = [], 0, block + 1
                 parts.append(part)
                 held += upto
         if parts:
-            yield made(parts)
+            yield from made(parts, block)
 
-    kinds = "".join(f"{f.name} array<{f.dataType.simpleString()}>, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kinds + _BLOCK)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(run, _ROW + kinds)
+    return out.withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("block"))
 
 
 def pair_counts(written: DataFrame) -> DataFrame:
@@ -302,8 +355,7 @@ def pair_counts(written: DataFrame) -> DataFrame:
 
     A B id has at most as many pairs as A has ids, so its window is bounded by the vocabulary.
     """
-    each = written.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("p.*").filter("times > 0")
-    summed = each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("times").alias("n"))
+    summed = written.filter("at is not null").groupBy("pair").agg(F.sum("times").alias("n"))
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return summed.withColumn("best", F.col("n") == F.max("n").over(of_b))
 
@@ -317,40 +369,44 @@ def align(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", columns:
     asked = [c for c in (columns if columns is not None else docs.columns) if c != text]
     carried = common.without(docs.select(*[F.col(f"`{c}`") for c in asked]), _ADDED).columns
     kinds = {f"c{i}": docs.schema[c].dataType for i, c in enumerate(carried)}
-    written = settle(blocks(docs, tokenizers, text, carried, size).withColumn("block", F.monotonically_increasing_id())).df
+    written = settle(blocks(docs, tokenizers, text, carried, size)).df
     counted = settle(pair_counts(written))
-    asked_pairs = written.select("block", F.explode("pairs").alias("pair"))
-    of_pair = common.join_checked(asked_pairs, counted, ["pair"])
-    stats = of_pair.groupBy("block").agg(F.collect_list(F.struct("pair", "n", "best")).alias("stats"))
-    stats = stats.select("block", F.col("stats.pair").alias("pair"), F.col("stats.n").alias("n"), F.col("stats.best").alias("best"))
-    told = written.drop("times").join(stats, ["block"], "left")
-    names = [*kinds, *_PER_DOCUMENT]
-    work = ["units", "pairs", "unit_links", "link_pairs", "pair", "n", "best"]
+    of_pair = common.join_checked(written.filter("at is not null").select("block", "at", "pair"), counted, ["pair"])
+    names = [*kinds, *list(_PER_DOCUMENT)[:-1]]
+    of_docs = written.filter("at is null").select("block", *names, "counts")
+    told = of_docs.unionByName(of_pair.drop("pair"), allowMissingColumns=True)
+    # A block is whole in one task: first its pairs, then its documents.
+    told = told.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        sums = bests = np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                values = [row.column(c).flatten() for c in range(row.num_columns)]
-                units, (pairs, per_unit, at, pair, n, best) = values[len(names)], [v.to_numpy(zero_copy_only=False) for v in values[len(names) + 1 :]]
-                of = np.searchsorted(pair[order := np.argsort(pair)], pairs) if len(pair) else np.zeros(0, int)
-                known = np.zeros(len(pairs), bool)
-                if len(pair):
-                    of = order[np.minimum(of, len(pair) - 1)]
-                    known = pair[of] == pairs
-                # Pairs that only occur in texts without tokens have no count; no document asks for them.
-                sums, bests = (np.zeros(len(pairs), np.int64) for _ in range(2))
-                if len(pair):
-                    sums[known], bests[known] = n[of[known]], best[of[known]]
-                owner = np.repeat(np.arange(len(per_unit)), per_unit)
-                unit_sum, unit_best = (np.zeros(len(per_unit), np.int64) for _ in range(2))
-                np.add.at(unit_sum, owner, sums[at])
-                np.add.at(unit_best, owner, bests[at])
-                of_docs = [np.frombuffer(u.as_buffer(), np.int32) for u in units]
-                made = [[int(table[d].sum()) for d in of_docs] for table in (unit_best, unit_sum)]
-                yield pa.RecordBatch.from_arrays([*values[: len(names)], *[pa.array(m, pa.int64()) for m in made]], names=[*names, "n_best", "count_sum"])
+            of, paired = batch.column("block").to_numpy(), batch.column("at").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (paired[1:] != paired[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+                if begin == end:
+                    continue
+                part = batch.slice(begin, end - begin)
+                if of[begin] != block:
+                    block, held = of[begin], []
+                    sums = bests = np.zeros(0, np.int64)
+                if paired[begin]:
+                    held.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "best")])
+                    continue
+                if held:
+                    at, n, best = map(np.concatenate, zip(*held))
+                    held = []
+                    sums, bests = (np.zeros(at.max() + 1, np.int64) for _ in range(2))
+                    sums[at], bests[at] = n, best
+                made = []
+                for data in part.column("counts"):
+                    number, times = unpacked(data.as_buffer())
+                    made.append((int(bests[number] @ times), int(sums[number] @ times)))
+                added = [pa.array(m, pa.int64()) for m in zip(*made)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *added], names=[*names, "n_best", "count_sum"])
 
     schema = T.StructType([T.StructField(c, k) for c, k in kinds.items()])
     schema = schema.add("n_a", "long").add("n_b", "long").add("n_groups", "long").add("n_links", "long").add("groups_sha256", "string")
-    out = told.select(*names, *work).mapInArrow(run, schema.add("n_best", "long").add("count_sum", "long"))
+    out = told.mapInArrow(run, schema.add("n_best", "long").add("count_sum", "long"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *_ADDED)
