@@ -379,6 +379,9 @@ def align(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", columns:
     told = told.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker that made blocks does not need the tokenizers any more.
+        common.kept("pair", "", lambda: None)
+        common.give_back()
         block, held = None, []
         sums = bests = np.zeros(0, np.int64)
         for batch in batches:
